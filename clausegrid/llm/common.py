@@ -159,3 +159,19 @@ def reduce_to(df: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
     word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
     marks = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_mask"))
     return df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(marks), "_word").where(F.expr("(shiftright(_mask, _bit) & 1L) = 1L")).drop("_word", "_bit", "_mask")
+
+
+#: A key with more than this share of all rows is hot; there are fewer than 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1e-3
+
+
+def join_known(rows: DataFrame, known: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with ``known``, whose ``key`` is unique and whose ``weight`` is the key's number of rows.
+
+    Rows of hot keys never meet in one task: those keys, fewer than 1 / HOT_SHARE, are broadcast.
+    """
+    total = known.agg(F.sum(weight)).first()[0] or 0
+    is_hot = F.col(weight) > max(1, int(total * HOT_SHARE))
+    hot = F.broadcast(known.where(is_hot))
+    rest = rows.join(hot.select(key), key, "left_anti").join(known.where(~is_hot), key)
+    return rows.join(hot, key).unionByName(rest)
