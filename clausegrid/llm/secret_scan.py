@@ -190,7 +190,7 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
     for k, n in enumerate(LENGTHS.tolist()):
         classes = F.when(F.col("x.end") - F.col("x.start") >= n, k).otherwise(classes)
     seen = found.select(F.explode("more").alias("x")).select((classes * SCORE_BINS + F.least(F.floor(F.col("x.score") * SCORE_BINS), F.lit(SCORE_BINS - 1))).alias("cell"), F.lit(True).alias("token"))
-    seen = seen.unionByName(found.select(F.explode("decoys").cast("long").alias("cell"), F.lit(False).alias("token")))
+    seen = seen.unionByName(found.select(F.explode("decoys").alias("cell")).select(F.col("cell").cast("long"), F.lit(False).alias("token")))
     tokens, decoys = np.zeros(cells), np.zeros(cells)
     for r in seen.groupBy("cell", "token").count().collect():  # two counts for each length class and score bin
         (tokens if r.token else decoys)[r.cell] += r["count"]
