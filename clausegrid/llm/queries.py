@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, language_id, secret_scan, toxicity
+from . import decontaminate, exact_dedup, language_id, ngram_join, piece_codec, secret_scan, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
