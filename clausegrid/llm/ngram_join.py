@@ -13,9 +13,12 @@ in common beside them, can reach the lesser L. A document with so few frequent s
 every partner shares a rare one with it needs no more. The others are also indexed by
 frequent shingles, as many as it takes for every pair of them to share one indexed.
 
-Only components are asked for, so a frequent shingle's documents are not joined in full: each is
-first verified with one partner it shares most with, and pairs are formed of a shingle's
-documents only where their components still differ. No pair is left out otherwise.
+Only components are asked for. Candidates by rare shingles are verified one partner a document
+first, then wherever components still differ. Documents that are indexed by frequent shingles meet
+under leads: a shingle's lead is the document whose prefix its frequent shingles cover best, so the
+shingles of one group of near copies have one lead, and each document comes to a few leads
+instead of all its shingles. What comes to a lead is verified there by matrix products over whole
+sets, in blocks of ``BLOCK`` documents, which return a forest of links and no list of pairs.
 
 Sets are known by a 64-bit hash of all their shingles; documents of equal sets are one node, and
 copies cost a row each. Of n nodes, about n**2 / 2**65 pairs would be taken for equal by chance.
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, forest
 
 WORDS, PERCENT = 4, 85
 #: A shingle in more prefixes than this is frequent.
@@ -46,6 +49,8 @@ _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(64)]
 DOC, PAIR, INDEX = 0, 1, 2
 #: Candidate pairs that a task holds before it writes them.
 HELD = 2_000_000
+#: Documents of a lead that are compared at a time, and shingles of one matrix product.
+BLOCK, COLUMNS = 1024, 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
@@ -162,8 +167,8 @@ def _sum_pairs(a, b, n_a, n_b, times):
     return a[heads], b[heads], n_a[heads], n_b[heads], np.add.reduceat(times, heads) if len(heads) else times
 
 
-def _pairs_of(token, node, size, percent: int, group=None):
-    """Candidate pairs (a < b) of rows with one token; with ``group``, only across groups. Rows are sorted by token."""
+def _pairs_of(token, node, size, percent: int):
+    """Candidate pairs (a < b) of rows with one token. Rows are sorted by token."""
     held, n = [], 0
     live = np.arange(len(token))
     step = 1
@@ -172,8 +177,6 @@ def _pairs_of(token, node, size, percent: int, group=None):
         live = live[token[live] == token[live + step]]
         i, j = live, live + step
         good = 100 * np.minimum(size[i], size[j]) >= percent * np.maximum(size[i], size[j])
-        if group is not None:
-            good &= group[i] != group[j]
         i, j = i[good], j[good]
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
@@ -239,50 +242,58 @@ def _join_bucket(percent: int):
     return reduced
 
 
-def _cross(percent: int):
-    """Reducer: pairs of one bucket of frequent shingles whose components differ."""
+def _links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i, j) whose sets are similar enough, of one list (i < j) or across two."""
+    both = left + (right or [])
+    sizes = np.array([len(x) for x in both])
+    _, column, df = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(both)), sizes)
+    shared = df[column] > 1
+    column, row = np.unique(column[shared], return_inverse=True)[1], row[shared]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    n = len(left)
+    common_count = np.zeros((n, len(right) if right else n), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [begin, begin + COLUMNS])
+        x = np.zeros((len(both), COLUMNS), np.float32)
+        x[row[a:b], column[a:b] - begin] = 1
+        common_count += x[:n] @ (x[n:] if right else x).T
+    i, j = np.nonzero(100 * common_count >= percent * (sizes[:n, None] + (sizes[n:] if right else sizes)[None, :] - common_count))
+    keep = np.ones(len(i), bool) if right else i < j
+    return i[keep], j[keep]
+
+
+def _under_lead(percent: int):
+    """Reducer: links among the documents of one lead and two blocks (or one), as a forest."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches(batches).sort_by([("token", "ascending"), ("n", "ascending")])
-        token, node, size, group = (whole.column(k).to_numpy() for k in ("token", "node", "n", "component"))
-        for a, b, *_ in _pairs_of(token, node, size, percent, group):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        nodes: dict[bool, list] = {False: [], True: []}
+        sets: dict[bool, list] = {False: [], True: []}
+        for batch in batches:
+            for node, second, found in zip(batch.column("node").to_pylist(), batch.column("second").to_pylist(), batch.column("found")):
+                nodes[second].append(node)
+                sets[second].append(np.frombuffer(found.as_buffer(), np.uint64))
+        if not sets[False]:
+            return
+        i, j = _links(sets[False], sets[True] or None, percent)
+        first = np.array(nodes[False], np.int64)
+        second = np.array(nodes[True], np.int64) if nodes[True] else first
+        found = forest(first[i], second[j])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
     return reduced
 
 
-class Sets:
-    """The shingle sets of nodes that are to be verified, made again from the texts."""
-
-    def __init__(self, docs: DataFrame, percent: int, words: int):
-        self.docs, self.percent, self.words = docs, percent, words
-
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, found) for the wanted nodes (distinct, one column node)."""
-        spark = self.docs.sparkSession
-        bits, words = common.REDUCER_BITS, self.words
-        marks = np.zeros(bits // 8, np.uint8)
-        if nodes.count() > bits // 2:
-            marks[:] = 255
-        else:  # a bitmap of at most bits / 8 bytes
-            got = nodes.select(F.shiftrightunsigned(F.col("node"), 44).alias("hi"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 38) & 63 as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toPandas()
-            marks.view(np.uint64)[got.hi.to_numpy()] = got["mask"].to_numpy().view(np.uint64)
-        sent = spark.sparkContext.broadcast(marks)
-
-        def mapped(batches):
-            table = sent.value.view(np.uint64)
-            for batch in batches:
-                seen = {}
-                for found in shingles(*common.utf8(batch.column("text")), words):
-                    if len(found):
-                        node = fingerprint(found)
-                        place = (node & (1 << 64) - 1) >> 38
-                        if node not in seen and int(table[place >> 6]) >> (place & 63) & 1:
-                            seen[node] = found.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["node", "found"])
-
-        made = self.docs.select("text").mapInArrow(mapped, "node bigint, found binary")
-        return made.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
+def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, found): the whole shingle sets of the wanted nodes."""
+
+    def make(batch):
+        for found in shingles(*common.utf8(batch.column("text")), words):
+            if len(found):
+                yield np.array([fingerprint(found)], np.int64), lambda _, found=found: found.tobytes()
+
+    return common.fetch(docs, nodes, make)
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -312,14 +323,17 @@ def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Data
     joined = common.checkpoint(blobs.groupBy("bucket").applyInArrow(reducer, _JOINED_DDL))
     found = joined.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n_a").alias("n_shingles"), F.col("b").alias("node"))
 
-    # What each document's prefix has of frequent shingles, and how many of them it is indexed by.
+    # What each document's prefix has of frequent shingles, and by how many of them, the less frequent first, it is indexed.
     frequent = joined.where(F.col("kind") == INDEX).select(F.col("a").alias("node"), F.col("b").alias("token"), F.col("n_a").alias("n")).distinct()
     limit = lambda n: 1 + F.floor(F.floor((F.lit(percent) * n + 99) / 100) / 10)  # noqa: E731  least_matches
     held = common.checkpoint(frequent.groupBy("node", "n").agg(F.count("*").alias("k")))
-    deep = held.where(F.col("k") >= limit(F.col("n"))).select("node", (F.col("k") - limit(F.col("n")) + 1).alias("q"))
-    index = frequent.join(deep, "node")
-    rank = F.row_number().over(Window.partitionBy("node").orderBy("token"))  # over one document's prefix
-    index = common.checkpoint(index.withColumn("rank", rank).where("rank <= q").select("token", "node", "n"))
+    deep = held.where(F.col("k") >= limit(F.col("n"))).select("node", "k", (F.col("k") - limit(F.col("n")) + 1).alias("q"), (F.col("k") / (F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1 + F.floor(F.col("n") / 10))).alias("cover"))
+    of_deep = common.checkpoint(frequent.join(deep, "node"))
+    used = common.checkpoint(of_deep.groupBy("token").agg(F.count("*").alias("df")))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))  # over one document's prefix
+    index = common.checkpoint(common.join_known(of_deep, used, "token", "df").withColumn("rank", rank).where("rank <= q").select("token", "node", "cover", "k"))
+    leads = index.groupBy("token").agg(F.max(F.struct("cover", "k", "node")).alias("x"), F.count("*").alias("df")).select("token", F.col("x.node").alias("lead"), "df")
+    under = common.checkpoint(common.join_known(index, common.checkpoint(leads), "token", "df").select("lead", "node").distinct())
 
     # Pairs by rare shingles; enough matches for the lesser L, with those that frequent shingles may add.
     pairs = joined.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("times").alias("times"))
@@ -328,29 +342,22 @@ def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Data
     enough = F.col("times") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= 1 + F.floor(F.least("n_a", "n_b") / 10)
     pairs = common.checkpoint(pairs.where(enough).select("a", "b", "times"))
 
-    # One partner for each node first: in a class of similar lengths, the least node that shares a shingle.
-    span = float(np.log(100 / percent))
-    classed = index.withColumn("class", F.floor(F.log("n") / span))
-    leads = classed.groupBy("token", "class").agg(F.min("node").alias("lead"))
-    stars = classed.join(leads, ["token", "class"]).where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("times")).select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"), "times", "node")
-    ends = pairs.select("a", "b", "times", F.col("a").alias("node")).unionByName(pairs.select("a", "b", "times", F.col("b").alias("node"))).unionByName(stars)
-    first = common.checkpoint(ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
-
     # The sets of all that may have to be verified, once.
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(index.select("node")).distinct()
-    sets = common.checkpoint(Sets(docs, percent, words).of(common.checkpoint(nodes)))
-    links = common.checkpoint(_verify(first, sets, percent))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(under.select("node")).distinct()
+    sets = common.checkpoint(_sets(docs, common.checkpoint(nodes), words))
+    in_blocks = under.join(under.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
+    links = common.checkpoint(in_blocks.join(sets, "node").groupBy("lead", "x", "y").applyInArrow(_under_lead(percent), "a bigint, b bigint"))
+
+    # One partner for each node by rare shingles, the one it shares most with; then all whose components still differ.
+    ends = pairs.select("a", "b", "times", F.col("a").alias("node")).unionByName(pairs.select("a", "b", "times", F.col("b").alias("node")))
+    first = common.checkpoint(ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
+    links = common.checkpoint(links.unionByName(_verify(first, sets, percent)))
     group = components(links)
-
-    # All other candidates whose components still differ.
     in_group = lambda side: group.select(F.col("node").alias(side), F.col("component").alias(f"g_{side}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(in_group("a"), "a", "left").join(in_group("b"), "b", "left")
     rest = rest.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).select("a", "b")
-    placed = index.join(group, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    crossing = placed.join(mixed, "token", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(n_buckets)))
-    across = crossing.groupBy("bucket").applyInArrow(_cross(percent), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
-    more = common.checkpoint(_verify(rest.unionByName(across).distinct(), sets, percent))
+    more = common.checkpoint(_verify(rest, sets, percent))
     if not more.isEmpty():
         group = components(links.unionByName(more))
 
