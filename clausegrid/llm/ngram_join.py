@@ -368,9 +368,9 @@ def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Data
     return linked.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """``docs`` with all their columns, one document of each component: the one with the least doc_id."""
-    gone = similar(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = similar(docs, percent, words).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
