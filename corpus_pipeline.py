@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from clausegrid.llm import decontaminate, exact_dedup
+from clausegrid.llm import decontaminate, exact_dedup, language_id, ngram_join, piece_codec
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language ID: documents without letters, or that no learned language is likely for, go."""
+    return language_id.keep_known(docs, language_id.learned(docs))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +17,30 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join, of five words and 0.8 or more: of each group of linked documents, the one with the least doc_id stays."""
+    return ngram_join.keep_one(docs, percent=80, words=5)
+
+
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: spans of test items are cut; documents made up of them go."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("exact dedup", copies), ("benchmark decontamination", benchmark)]
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding: the piece numbers of each text, and whether they decode to it."""
+    return piece_codec.encode(docs)
+
+
+STAGES = [
+    ("language ID", languages),
+    ("exact dedup", copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("SentencePiece encoding", pieces),
+]
 
-#: Language ID, similarity joins and tokenization have no SQL form.
+#: A trained model, a similarity join and a tokenizer have no SQL form.
 ORACLE_SQL = None
 
 
