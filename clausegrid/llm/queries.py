@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fuzzy_lines, language_id, license_scan, ngram_join, piece_codec, secret_scan, toxicity
+from . import decontaminate, exact_dedup, fuzzy_lines, language_id, license_scan, ngram_join, piece_codec, secret_scan, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_language_id": language_id.op4_language_id,
     "op5_secret_scan": secret_scan.op5_secret_scan,
