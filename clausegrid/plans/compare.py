@@ -63,13 +63,14 @@ def parallel_findings(seqs: DataFrame) -> DataFrame:
 def reference_findings(prev: dict[str, DataFrame], curr: dict[str, DataFrame]) -> DataFrame:
     """Broken and shifted citations and removed articles, with the edit that would repoint one."""
     refs = integrity.resolve(curr["refs"], curr["nodes"], KEYS, "in_curr").where("not in_curr")
-    refs = integrity.resolve(refs, prev["nodes"], KEYS, "in_prev").withColumn("in_prev", F.col("in_prev") & (F.col("target_id") != ""))
+    refs = integrity.resolve(refs, prev["nodes"], KEYS, "in_prev").withColumn("in_prev", F.col("in_prev") & (F.col("target_id") != "")).cache()
     removed = integrity.removed(prev["nodes"], curr["nodes"], KEYS)
     wanted = refs.where("in_prev").select(*KEYS, F.col("target_id").alias("node_id")).unionByName(removed.select(*KEYS, "node_id")).distinct()
     old = integrity.node_text(prev["nodes"].join(wanted, [*KEYS, "node_id"], "left_semi"), prev["paragraphs"], KEYS).join(prev["nodes"].select(*KEYS, "node_id", "kind"), [*KEYS, "node_id"])
     new = integrity.node_text(curr["nodes"].where("kind <> 'root'"), curr["paragraphs"], KEYS).join(curr["nodes"].select(*KEYS, "node_id", "kind", "preorder"), [*KEYS, "node_id"])
     moved = integrity.relocations(old.select(*KEYS, "kind", F.col("node_id").alias("gone_id"), F.col("node_text").alias("text")), new.select(*KEYS, "kind", F.col("node_id").alias("cand_id"), "preorder", F.col("node_text").alias("text")), [*KEYS, "kind"])
     to = moved.join(curr["nodes"].select(*KEYS, F.col("node_id").alias("cand_id"), F.col("number").alias("new_number"), F.col("path").alias("new_path")), [*KEYS, "cand_id"]).select(*KEYS, F.col("gone_id").alias("target_id"), "cand_id", "new_number", "new_path")
+    to = to.cache()
     cited = refs.join(to, [*KEYS, "target_id"], "left")
     cited = cited.withColumn("x", integrity.decide(F.col("in_curr"), F.col("in_prev"), F.col("cand_id").isNotNull()))
     para = F.concat(F.lit("Paragraf ["), F.col("para_index").cast("string"), F.lit("] merujuk ke "), F.col("citation"))
