@@ -42,7 +42,7 @@ _NORMAL[0x30:0x3A] = 0x30
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray):
+def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
     """Of one block: document and number of each line with words, its node, SimHash and words' (low bytes, starts, ends, first word)."""
     low = _NORMAL[data]
     breaks = np.flatnonzero(data == 10)
@@ -62,12 +62,13 @@ def lines_of(data: np.ndarray, offsets: np.ndarray):
     place = np.arange(len(starts)) - np.repeat(first, n)
     powers = np.multiply.accumulate(np.full(int(n.max()) + 1, _STEP))
     node = common.mix(np.add.reduceat(hashed * powers[place], first) + n.astype(np.uint64)).view(np.int64)
-    votes = np.zeros((len(full), 64), np.int64)
-    for k in range(0, len(full), 4096):  # bounded scratch space
+    sketch = np.zeros(len(full), np.int64)
+    for k in range(0, len(full) if sketched else 0, 4096):  # bounded scratch space
         a, b = first[k], first[k + 4096] if k + 4096 < len(first) else len(starts)
+        size = n[k : k + 4096]
         bits = np.unpackbits(hashed[a:b].view(np.uint8).reshape(-1, 8), axis=1)
-        votes[k : k + 4096] = np.add.reduceat(bits, first[k : k + 4096] - a, axis=0, dtype=np.int32)
-    sketch = np.packbits(2 * votes > n[:, None], axis=1).view(np.int64).ravel()
+        votes = np.add.reduceat(bits, first[k : k + 4096] - a, axis=0, dtype=np.uint8 if size.max() < 256 else np.int32)
+        sketch[k : k + 4096] = np.packbits(votes > (size // 2)[:, None], axis=1).view(np.int64).ravel()
     return doc[full], number[full], node, sketch, (low, starts, ends, first)
 
 
@@ -110,20 +111,22 @@ def distance(a: str, b: str) -> int:
     return score
 
 
+def _common(same, most: int) -> int:
+    """The greatest k up to ``most`` for which ``same(k)`` holds, if it holds for all that are less."""
+    low = 0
+    while low < most:
+        mid = (low + most + 1) // 2
+        low, most = (mid, most) if same(mid) else (low, mid - 1)
+    return low
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
     if abs(len(a) - len(b)) > most:
         return False
-    start = 0
     shorter = min(len(a), len(b))
-    while start < shorter and a[start : start + 64] == b[start : start + 64]:
-        start += 64
-    start = min(start, shorter)
-    while start < shorter and a[start] == b[start]:
-        start += 1
-    stop = 0
-    while stop < shorter - start and a[len(a) - 1 - stop] == b[len(b) - 1 - stop]:
-        stop += 1
+    start = _common(lambda k: a[:k] == b[:k], shorter)
+    stop = _common(lambda k: a[len(a) - k :] == b[len(b) - k :], shorter - start)
     a, b = a[start : len(a) - stop], b[start : len(b) - stop]
     return max(len(a), len(b)) <= most or distance(a, b) <= most
 
@@ -153,51 +156,62 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         seen = {}
         data, offsets = common.utf8(batch.column("text"))
         for i, j in common.blocks(offsets):
-            *_, node, _, (low, starts, ends, first) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            *_, node, _, (low, starts, ends, first) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
             yield node, lambda k, low=low, starts=starts, ends=ends, first=first: b" ".join(low[s:e].tobytes() for s, e in zip(starts[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist(), ends[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist()))
 
     return common.fetch(docs, nodes, make)
 
 
 def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFrame:
-    """(bucket, blob): each line's node, SimHash and group, in the bucket of each of its keys."""
+    """(bucket, choice, node, sketch, group): lines in the bucket of each of their keys, as one blob a batch and bucket."""
 
     def mapped(batches):
         for batch in batches:
             node, sketch, group = (np.asarray(batch.column(k)) for k in range(3))
+            home = np.concatenate([(common.mix((sketch.view(np.uint64) & mask) + np.uint64(t)) >> np.uint64(33)) % np.uint64(n_buckets) for t, mask in enumerate(masks)])
+            order = np.argsort(home, kind="stable")
+            cuts = np.searchsorted(home[order], np.arange(n_buckets + 1, dtype=np.uint64))
+            choice, of = np.divmod(order, len(node))
             rows = []
-            for t, mask in enumerate(masks):
-                home = (common.mix((sketch.view(np.uint64) & mask) + np.uint64(t)) >> np.uint64(33)) % np.uint64(n_buckets)
-                order = np.argsort(home, kind="stable")
-                cuts = np.searchsorted(home[order], np.arange(n_buckets + 1, dtype=np.uint64))
-                rows += [(b, t, node[o].tobytes(), sketch[o].tobytes(), group[o].tobytes()) for b in range(n_buckets) if len(o := order[cuts[b] : cuts[b + 1]])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "choice", "node", "sketch", "group"])
+            for b in range(n_buckets):
+                if cuts[b + 1] > cuts[b]:
+                    own = of[cuts[b] : cuts[b + 1]]
+                    rows.append((b, choice[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes(), node[own].tobytes(), sketch[own].tobytes(), group[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["bucket", "choice", "node", "sketch", "group"])
 
-    return lines.select("node", "sketch", "group").mapInArrow(mapped, "bucket int, choice int, node binary, sketch binary, group binary")
+    return lines.select("node", "sketch", "group").mapInArrow(mapped, "bucket int, choice binary, node binary, sketch binary, group binary")
 
 
 def _close(masks: list[np.uint64], bits: int, all_pairs: bool):
-    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close; without ``all_pairs`` one partner a line and key."""
+    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close; without ``all_pairs`` one partner a line and key.
+
+    A pair comes from the first choice of blocks that it agrees on, and from no other.
+    """
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list] = {}
+        parts: list[list[np.ndarray]] = []
         for batch in batches:
-            for t, *cells in zip(batch.column("choice").to_pylist(), *(batch.column(k) for k in ("node", "sketch", "group"))):
-                parts.setdefault(t, []).append([np.frombuffer(c.as_buffer(), np.int64) for c in cells])
-        for t, found in parts.items():
-            node, sketch, group = (np.concatenate(x) for x in zip(*found))
-            key = sketch.view(np.uint64) & masks[t]
+            for cells in zip(*(batch.column(k) for k in ("choice", "node", "sketch", "group"))):
+                parts.append([np.frombuffer(c.as_buffer(), np.uint8 if k == 0 else np.int64) for k, c in enumerate(cells)])
+        choices, nodes, sketches, groups = (np.concatenate(x) for x in zip(*parts))
+        for t in np.unique(choices).tolist():
+            own = choices == t
+            node, sketch, group = nodes[own], sketches[own].view(np.uint64), groups[own]
+            key = sketch & masks[t]
             order = np.lexsort((node, key))
-            node, sketch, group, key = node[order], sketch[order].view(np.uint64), group[order], key[order]
+            node, sketch, group, key = node[order], sketch[order], group[order], key[order]
             lone, held, size = np.ones(len(node), bool), [], 0
             live, step = np.arange(len(node)), 1
             while len(live):
                 live = live[live + step < len(node)]
                 live = live[key[live] == key[live + step]]
                 other = live + step
-                good = (np.bitwise_count(sketch[live] ^ sketch[other]) <= bits) & (group[live] != group[other])
+                differ = sketch[live] ^ sketch[other]
+                good = (np.bitwise_count(differ) <= bits) & (group[live] != group[other])
                 if not all_pairs:
                     good &= lone[other]
+                for earlier in masks[:t]:
+                    good &= (differ & earlier) != 0
                 i, j = live[good], other[good]
                 lone[j] = False
                 held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
@@ -226,7 +240,8 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key())
     n_buckets = common.buckets(docs)
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
-    lines = _occurrences(docs).groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(last).alias("first"), F.count("*").alias("rows"))
+    occurrences = common.checkpoint(_occurrences(docs))
+    lines = occurrences.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(last).alias("first"), F.count("*").alias("rows"))
     lines = common.checkpoint(lines)
     masks = block_keys(blocks_for(lines.count(), bits), bits)
     alone = lines.select("node", "sketch", F.col("node").alias("group"))
@@ -243,7 +258,7 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     grouped = lines.join(group, "node", "left").select("node", "rows", "first", F.coalesce("component", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("first").alias("kept"))
     known = common.checkpoint(grouped.join(least, "group").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number")))
-    placed = common.join_known(_occurrences(docs).select("row_key", "number", "node"), known, "node", "rows")
+    placed = common.join_known(occurrences.select("row_key", "number", "node"), known, "node", "rows")
     gone = placed.where((F.col("row_key") != F.col("kept_row")) | (F.col("number") != F.col("kept_number")))
     return gone.groupBy("row_key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
