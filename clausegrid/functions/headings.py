@@ -32,15 +32,13 @@ def ordinal_word(text: Column) -> Column:
 
 def parse_heading(text: Column) -> Column:
     """(kind, number, ordinal, label) of a paragraph that begins with a known heading, else null."""
-    out = F.lit(None)
-    for kind, pattern in reversed(PATTERNS):
+    found = []
+    for kind, pattern in PATTERNS:
         number = F.trim(F.regexp_extract(text, pattern, 1))
-        ordinal = numerals.article_number(number)
-        if kind == "bagian":
-            ordinal = F.coalesce(ordinal_word(number), ordinal)
-        made = F.struct(F.lit(kind).alias("kind"), number.alias("number"), ordinal.cast("int").alias("ordinal"), F.trim(F.regexp_extract(text, pattern, 0)).alias("label"))
-        out = F.when((number != "") & ordinal.isNotNull(), made).otherwise(out)
-    return out
+        ordinal = (lambda n: F.coalesce(ordinal_word(n), numerals.article_number(n))) if kind == "bagian" else numerals.article_number
+        made = lambda n, kind=kind, pattern=pattern, ordinal=ordinal: F.when(n != "", F.struct(F.lit(kind).alias("kind"), n.alias("number"), ordinal(n).cast("int").alias("ordinal"), F.trim(F.regexp_extract(text, pattern, 0)).alias("label")))
+        found.append(numerals.let(number, made))
+    return F.get(F.filter(F.array(*found), lambda h: h["ordinal"].isNotNull()), F.lit(0))
 
 
 def learned_vocabulary(paragraphs: DataFrame, keys: list[str], position: str, text: str) -> DataFrame:

@@ -19,43 +19,41 @@ _FIELDS = "struct<kind:string,form:string,token:string,ordinal:int,ambiguous:boo
 
 def classify(token: Column) -> Column:
     """(kind, ordinal, ambiguous, alt_kind, alt_ordinal) of a bare token; null if it is no ordinal."""
-    digits = token.rlike("^[0-9]+$")
+    return numerals.let(token, _classify)
+
+
+def _classify(token: Column) -> Column:
     upper = token == F.upper(token)
     uniform = upper | (token == F.lower(token))
-    as_roman = numerals.parse_roman(token)
-    as_alpha = F.when(F.length(token) <= 2, numerals.parse_alpha(token))
+    readings = F.struct(numerals.parse_roman(token).alias("roman"), F.when(F.length(token) <= 2, numerals.parse_alpha(token)).alias("alpha"))
     roman_kind, alpha_kind = F.when(upper, "U_ROM").otherwise("L_ROM"), F.when(upper, "UPPER").otherwise("LOWER")
     none, no_kind = F.lit(None).cast("int"), F.lit(None).cast("string")
     made = lambda kind, n, both, alt, alt_n: F.struct(kind.alias("kind"), n.cast("int").alias("ordinal"), F.lit(both).alias("ambiguous"), alt.alias("alt_kind"), alt_n.alias("alt_ordinal"))
-    return (
-        F.when(digits, F.when(token.try_cast("int") > 0, made(F.lit("DIGIT"), token.try_cast("int"), False, no_kind, none)))
-        .when(~uniform, None)
-        .when(as_roman.isNotNull() & as_alpha.isNotNull(), made(roman_kind, as_roman, True, alpha_kind, as_alpha))
-        .when(as_roman.isNotNull(), made(roman_kind, as_roman, False, no_kind, none))
-        .when(as_alpha.isNotNull(), made(alpha_kind, as_alpha, False, no_kind, none))
+    letters = lambda r: (
+        F.when(r["roman"].isNotNull() & r["alpha"].isNotNull(), made(roman_kind, r["roman"], True, alpha_kind, r["alpha"]))
+        .when(r["roman"].isNotNull(), made(roman_kind, r["roman"], False, no_kind, none))
+        .when(r["alpha"].isNotNull(), made(alpha_kind, r["alpha"], False, no_kind, none))
     )
+    number = token.try_cast("int")
+    return F.when(token.rlike("^[0-9]+$"), F.when(number > 0, made(F.lit("DIGIT"), number, False, no_kind, none))).when(uniform, numerals.let(readings, letters))
 
 
 def parse_marker(text: Column) -> Column:
     """The marker at a paragraph's start as a struct, null if it has none. A bracketed token that is no ordinal ends the search."""
-    bracket = F.nullif(F.regexp_extract(text, BRACKET, 1), F.lit(""))
-    decimal = F.nullif(F.regexp_extract(text, DECIMAL, 1), F.lit(""))
-    simple = F.nullif(F.regexp_extract(text, SIMPLE, 1), F.lit(""))
-    found = classify(F.coalesce(bracket, simple))
-    whole = F.coalesce(
-        F.when(bracket.isNotNull(), F.regexp_extract(text, BRACKET, 0)),
-        F.when(decimal.isNotNull(), F.regexp_extract(text, DECIMAL, 0)),
-        F.regexp_extract(text, SIMPLE, 0),
-    )
-    raw = F.regexp_replace(whole, r"^[\s\p{Zs}]+|\s+$", "")
-    form = (
-        F.when(bracket.isNotNull(), "BRACKET")
-        .when(decimal.isNotNull(), F.when(raw.endswith("."), "DOT").otherwise("BARE"))
-        .otherwise(F.when(F.regexp_extract(text, SIMPLE, 2) == ".", "DOT").otherwise("PAREN"))
-    )
-    dotted = F.struct(F.lit("DECIMAL").alias("kind"), form.alias("form"), decimal.alias("token"), F.regexp_extract(decimal, r"([0-9]+)$", 1).try_cast("int").alias("ordinal"), F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("alt_kind"), F.lit(None).cast("int").alias("alt_ordinal"), raw.alias("raw"))
-    plain = F.struct(found["kind"].alias("kind"), form.alias("form"), F.coalesce(bracket, simple).alias("token"), found["ordinal"].alias("ordinal"), found["ambiguous"].alias("ambiguous"), found["alt_kind"].alias("alt_kind"), found["alt_ordinal"].alias("alt_ordinal"), raw.alias("raw"))
-    return F.when(bracket.isNull() & decimal.isNotNull(), dotted.cast(_FIELDS)).when(found.isNotNull(), plain.cast(_FIELDS))
+    group = lambda pattern, k=1: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    parts = F.struct(group(BRACKET).alias("bracket"), group(DECIMAL).alias("decimal"), group(SIMPLE).alias("simple"))
+
+    def read(p):
+        bracket, decimal = p["bracket"], p["decimal"]
+        whole = F.when(bracket.isNotNull(), F.regexp_extract(text, BRACKET, 0)).when(decimal.isNotNull(), F.regexp_extract(text, DECIMAL, 0)).otherwise(F.regexp_extract(text, SIMPLE, 0))
+        raw = F.regexp_replace(whole, r"^[\s\p{Zs}]+|\s+$", "")
+        form = F.when(bracket.isNotNull(), "BRACKET").when(decimal.isNotNull(), F.when(raw.endswith("."), "DOT").otherwise("BARE")).otherwise(F.when(F.regexp_extract(text, SIMPLE, 2) == ".", "DOT").otherwise("PAREN"))
+        token = F.coalesce(bracket, p["simple"])
+        dotted = F.struct(F.lit("DECIMAL").alias("kind"), form.alias("form"), decimal.alias("token"), F.regexp_extract(decimal, r"([0-9]+)$", 1).try_cast("int").alias("ordinal"), F.lit(False).alias("ambiguous"), F.lit(None).cast("string").alias("alt_kind"), F.lit(None).cast("int").alias("alt_ordinal"), raw.alias("raw"))
+        plain = lambda c: F.when(c.isNotNull(), F.struct(c["kind"].alias("kind"), form.alias("form"), token.alias("token"), c["ordinal"].alias("ordinal"), c["ambiguous"].alias("ambiguous"), c["alt_kind"].alias("alt_kind"), c["alt_ordinal"].alias("alt_ordinal"), raw.alias("raw")).cast(_FIELDS))
+        return F.when(bracket.isNull() & decimal.isNotNull(), dotted.cast(_FIELDS)).when(token.isNotNull(), numerals.let(classify(token), plain))
+
+    return numerals.let(parts, read)
 
 
 def node_kind(kind: Column, form: Column) -> Column:

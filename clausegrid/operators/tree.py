@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -199,19 +200,22 @@ def read_paragraphs(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def build(paragraphs: DataFrame, keys: list[str]) -> DataFrame:
-    """The nodes of every document: keys and NODE_FIELDS; parents by id, documents whole in one task each."""
-    read = read_paragraphs(paragraphs, keys)
+    """The nodes of every document: keys and NODE_FIELDS; parents by id. A document is one row of its task's batches."""
     schema = ", ".join(f"`{k}` {dict(paragraphs.dtypes)[k]}" for k in keys) + ", " + NODE_FIELDS
-
-    def grown(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("idx")
-        plain = lambda x: None if x is None or (not isinstance(x, dict) and not hasattr(x, "asDict")) else (x if isinstance(x, dict) else x.asDict())
-        rows = [{"idx": int(i), "text": t or "", "heading": plain(h), "marker": plain(m), "is_caption": bool(c)} for i, t, h, m, c in zip(frame.idx, frame.text, frame.heading, frame.marker, frame.is_caption)]
-        key = tuple(frame[k].iloc[0] for k in keys)
-        names = [*keys, *(f.split()[0] for f in NODE_FIELDS.split(", "))]
-        return pd.DataFrame([key + r for r in rows_of(grow(rows))], columns=names)
-
-    return read.select(*keys, "idx", "text", "heading", "marker", "is_caption").groupBy(*keys).applyInPandas(grown, schema)
+    kinds = {"string": pa.string(), "int": pa.int32()}
+    fields = [(f.split()[0], kinds[f.split()[1]]) for f in NODE_FIELDS.split(", ")]
+    members = F.array_sort(F.collect_list(F.struct("idx", "text", "heading", "marker", "is_caption")))
+    docs = read_paragraphs(paragraphs, keys).groupBy(*keys).agg(members.alias("_paragraphs"))
+
+    def grown(batches):
+        for batch in batches:
+            trees = [rows_of(grow(p)) for p in batch.column("_paragraphs").to_pylist()]
+            of = pa.array([i for i, rows in enumerate(trees) for _ in rows], pa.int32())
+            rows = [r for rows in trees for r in rows]
+            columns = [batch.column(k).take(of) for k in keys] + [pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, *(n for n, _ in fields)])
+
+    return docs.mapInArrow(grown, schema)
 
 
 def owners(paragraphs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
