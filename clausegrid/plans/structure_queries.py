@@ -65,7 +65,7 @@ _TOKENS = "['a','b','c','d','i','v','x','ii','iv','cd']"
 
 @query("resolve_marker_family", f"""
 WITH {SEQ_SQL}, {_ROMANS},
- t AS (SELECT seq_key, pos, {_TOKENS}[(ordinal + seq_key) % 10 + 1] AS token FROM seq WHERE ordinal + pos <> 8),
+ t AS (SELECT seq_key, pos, {_TOKENS}[(ordinal + seq_key) % 10 + 1] AS token FROM seq),
  m AS (SELECT t.*, r.n AS roman, CASE WHEN length(token) = 1 THEN ascii(token) - 96 ELSE (ascii(token) - 96) * 26 + ascii(token[2]) - 96 END AS alpha FROM t LEFT JOIN romans r ON r.roman = upper(t.token)),
  w AS (SELECT seq_key, list(alpha ORDER BY pos) AS alphas, list(coalesce(roman, alpha) ORDER BY pos) AS firsts, arg_min('LOWER', pos) FILTER (roman IS NULL) AS sure FROM m GROUP BY seq_key),
  s AS (SELECT seq_key, sure, list_reduce(list_prepend(0, alphas), lambda n, x: CASE WHEN x = n + 1 THEN n + 1 ELSE n END) AS as_alpha, list_reduce(list_prepend(0, firsts), lambda n, x: CASE WHEN x = n + 1 THEN n + 1 ELSE n END) AS as_roman FROM w)
@@ -73,7 +73,7 @@ SELECT seq_key, coalesce(sure, CASE WHEN as_alpha > as_roman THEN 'LOWER' ELSE '
 """)
 def resolve_marker_family(spark, d):
     words = F.array(*map(F.lit, ["a", "b", "c", "d", "i", "v", "x", "ii", "iv", "cd"]))
-    t = sequences(spark, d).where("ordinal + pos <> 8").withColumn("token", F.get(words, ((F.col("ordinal") + F.col("seq_key")) % 10).cast("int")))
+    t = sequences(spark, d).withColumn("token", F.get(words, ((F.col("ordinal") + F.col("seq_key")) % 10).cast("int")))
     m = t.select("seq_key", "pos", M.classify(F.col("token")).alias("m"))
     lists = m.groupBy("seq_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("ms"))
     return lists.select("seq_key", M.resolve_family(F.col("ms")).alias("kind"))
