@@ -13,7 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Bytes of an Arrow batch; a task holds a batch or two in the JVM and in Python each.
+BATCH_BYTES = "16m"
 U64 = np.uint64
 
 
@@ -43,7 +45,11 @@ def buckets(df: DataFrame) -> int:
 
 
 def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
-    """The wanted columns, by exact name; missing ones become nulls, all others (clashing or not) are left out."""
+    """The wanted columns, by exact name; missing ones become nulls, all others (clashing or not) are left out.
+
+    Sets the session's size of Arrow batches for what follows.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     kinds = {"doc_id": "bigint", "item_id": "bigint"}
     return docs.select(*(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted))
 

@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Units of more bytes are merged one by one.
 LONGEST = 64
 #: Distinct units whose encodings a worker keeps.
-CACHED = 1_000_000
+CACHED = 500_000
 #: Units that advance together.
 TOGETHER = 20_000
 UNIGRAM, BPE = 1, 2
