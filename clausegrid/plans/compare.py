@@ -1,7 +1,8 @@
 """Comparing two versions of many documents at once.
 
 Inputs are paragraphs (pair_id, idx, text) of the old and the new versions. All tables that come out
-are keyed by pair_id; a pair's paragraphs, nodes and citations are shuffled by pair_id only.
+are keyed by pair_id; a pair's paragraphs, nodes and citations are shuffled by pair_id only. What
+several later steps read is checkpointed, which also keeps their plans small.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from clausegrid.checkpoints import checkpoint
 from clausegrid.functions import headings as H
 from clausegrid.functions import text as T
 from clausegrid.operators import diff, integrity, numbering, parallel, report, tree
@@ -63,14 +65,14 @@ def parallel_findings(seqs: DataFrame) -> DataFrame:
 def reference_findings(prev: dict[str, DataFrame], curr: dict[str, DataFrame]) -> DataFrame:
     """Broken and shifted citations and removed articles, with the edit that would repoint one."""
     refs = integrity.resolve(curr["refs"], curr["nodes"], KEYS, "in_curr").where("not in_curr")
-    refs = integrity.resolve(refs, prev["nodes"], KEYS, "in_prev").withColumn("in_prev", F.col("in_prev") & (F.col("target_id") != "")).cache()
+    refs = checkpoint(integrity.resolve(refs, prev["nodes"], KEYS, "in_prev").withColumn("in_prev", F.col("in_prev") & (F.col("target_id") != "")))
     removed = integrity.removed(prev["nodes"], curr["nodes"], KEYS)
     wanted = refs.where("in_prev").select(*KEYS, F.col("target_id").alias("node_id")).unionByName(removed.select(*KEYS, "node_id")).distinct()
     old = integrity.node_text(prev["nodes"].join(wanted, [*KEYS, "node_id"], "left_semi"), prev["paragraphs"], KEYS).join(prev["nodes"].select(*KEYS, "node_id", "kind"), [*KEYS, "node_id"])
     new = integrity.node_text(curr["nodes"].where("kind <> 'root'"), curr["paragraphs"], KEYS).join(curr["nodes"].select(*KEYS, "node_id", "kind", "preorder"), [*KEYS, "node_id"])
     moved = integrity.relocations(old.select(*KEYS, "kind", F.col("node_id").alias("gone_id"), F.col("node_text").alias("text")), new.select(*KEYS, "kind", F.col("node_id").alias("cand_id"), "preorder", F.col("node_text").alias("text")), [*KEYS, "kind"])
     to = moved.join(curr["nodes"].select(*KEYS, F.col("node_id").alias("cand_id"), F.col("number").alias("new_number"), F.col("path").alias("new_path")), [*KEYS, "cand_id"]).select(*KEYS, F.col("gone_id").alias("target_id"), "cand_id", "new_number", "new_path")
-    to = to.cache()
+    to = checkpoint(to)
     cited = refs.join(to, [*KEYS, "target_id"], "left")
     cited = cited.withColumn("x", integrity.decide(F.col("in_curr"), F.col("in_prev"), F.col("cand_id").isNotNull()))
     para = F.concat(F.lit("Paragraf ["), F.col("para_index").cast("string"), F.lit("] merujuk ke "), F.col("citation"))
@@ -90,31 +92,32 @@ def reference_findings(prev: dict[str, DataFrame], curr: dict[str, DataFrame]) -
 
 
 def structure(paragraphs: DataFrame) -> dict[str, DataFrame]:
-    nodes = tree.build(paragraphs, KEYS).cache()
-    return {"paragraphs": paragraphs, "nodes": nodes, "refs": tree.references(paragraphs, nodes, KEYS).cache()}
+    paragraphs = checkpoint(paragraphs.select(*KEYS, "idx", "text"))
+    nodes = checkpoint(tree.build(paragraphs, KEYS))
+    return {"paragraphs": paragraphs, "nodes": nodes, "refs": checkpoint(tree.references(paragraphs, nodes, KEYS))}
 
 
 def compare(prev_paragraphs: DataFrame, curr_paragraphs: DataFrame) -> dict[str, DataFrame]:
     """changes, findings (ordered, with one action at most), plan, plan_summary, plan_warnings, summary and view of every pair."""
     prev, curr = structure(prev_paragraphs), structure(curr_paragraphs)
-    changes = diff.paragraph_changes(prev_paragraphs, curr_paragraphs, KEYS)
+    changes = checkpoint(diff.paragraph_changes(prev["paragraphs"], curr["paragraphs"], KEYS))
     own = lambda side, column: tree.owners(side["paragraphs"], side["nodes"], KEYS).select(*KEYS, F.col("idx").alias(f"_{column}"), F.struct("path", "node_id").alias(column))
     changes = changes.withColumns({"_new": F.get("curr_indexes", F.lit(0)), "_old": F.get("prev_indexes", F.lit(0))})
     changes = changes.join(own(curr, "new"), [*KEYS, "_new"], "left").join(own(prev, "old"), [*KEYS, "_old"], "left")
     owner = F.when(F.col("new.node_id").isNotNull(), F.col("new")).otherwise(F.col("old"))
     changes = changes.withColumns({"context": F.coalesce(owner["path"], F.lit("")), "node_id": F.coalesce(owner["node_id"], F.lit(""))}).drop("_new", "_old", "new", "old")
-    changes = changes.withColumn("title", T.change_title(F.col("type"), F.col("cosmetic"), F.col("prev_text"), F.col("curr_text"), F.col("context"))).cache()
+    changes = checkpoint(changes.withColumn("title", T.change_title(F.col("type"), F.col("cosmetic"), F.col("prev_text"), F.col("curr_text"), F.col("context"))))
 
-    seqs = sequences(curr["nodes"]).cache()
+    seqs = checkpoint(sequences(curr["nodes"]))
     planned = numbering.plan(seqs, [*KEYS, "seq_key"])
     actions = numbering.first_actions(planned, [*KEYS, "pos"], ["preorder"]).select(*KEYS, F.col("pos").alias("para_index"), F.col("old_text").alias("old"), F.col("new_text").alias("new"), F.lit("renumber").alias("action"))
     numbered = numbering_findings(seqs).join(actions, [*KEYS, "para_index"], "left").withColumn("side", F.lit("curr"))
     beside = parallel_findings(seqs).withColumns({"side": F.lit("curr"), "action": F.when(F.col("problem") == "count", "delete"), "old": F.lit(None).cast("string"), "new": F.lit(None).cast("string")}).drop("problem")
-    found = numbered.unionByName(beside.select(numbered.columns)).unionByName(reference_findings(prev, curr).select(numbered.columns))
+    found = checkpoint(numbered.unionByName(beside.select(numbered.columns)).unionByName(reference_findings(prev, curr).select(numbered.columns)))
     found = found.withColumns({"class": F.lit("verified"), "confidence": F.lit(1.0), "action": F.coalesce("action", F.lit(""))})
     nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy("stage", "s1", "s2", "category", "node_id"))
     found = found.withColumn("id", F.concat("category", F.lit("-"), nth.cast("string"))).withColumn("n_actions", (F.col("action") != "").cast("int"))
-    found = report.attach(report.ordered(found, KEYS), changes, KEYS).cache()
+    found = checkpoint(report.attach(report.ordered(found, KEYS), changes, KEYS))
 
     after = numbering.apply_plan(planned)
     left = numbering.findings(after.select(seqs.columns), [*KEYS, "seq_key"])
