@@ -12,7 +12,7 @@ import subprocess
 import zipfile
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +24,7 @@ MAX_BYTES, PDF_SECONDS = 32 << 20, 60
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 PARAGRAPH = "idx int, raw string, style string, list_id int, list_lvl int, in_table boolean, tbl int, tbl_row int, tbl_col int"
 _COLUMNS = [f.split()[0] for f in PARAGRAPH.split(", ")]
+_PLAIN = {"style": "", "list_id": 0, "list_lvl": 0, "in_table": False, "tbl": 0, "tbl_row": 0, "tbl_col": 0}
 
 
 def suffix(path: Column) -> Column:
@@ -149,24 +150,26 @@ def paragraphs(docs: DataFrame, keys: list[str], path: str = "path", content: st
     blank = [F.lit("").alias("style"), F.lit(0).alias("list_id"), F.lit(0).alias("list_lvl"), F.lit(False).alias("in_table"), F.lit(0).alias("tbl"), F.lit(0).alias("tbl_row"), F.lit(0).alias("tbl_col")]
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {PARAGRAPH}, error string"
 
-    def read(frames):
-        for frame in frames:
+    kind = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+
+    def read(batches):
+        for batch in batches:
+            fields = [batch.schema.field(k) for k in keys] + [pa.field(n, kind[t]) for n, t in (f.split() for f in PARAGRAPH.split(", "))] + [pa.field("error", pa.string())]
             rows = []
-            for record in frame.to_dict("records"):
+            for record in batch.to_pylist():
                 key = {k: record[k] for k in keys}
                 try:
                     if record["_format"] == "docx":
-                        found = docx_paragraphs(bytes(record[content]))
+                        found = docx_paragraphs(record[content] or b"")
                     elif record["_format"] == "pdf":
-                        lines = pdf_text(bytes(record[content])).rstrip().split("\n")
-                        found = [{"idx": i, "raw": x.rstrip(" \t"), "style": "", "list_id": 0, "list_lvl": 0, "in_table": False, "tbl": 0, "tbl_row": 0, "tbl_col": 0} for i, x in enumerate(lines)]
+                        found = [_PLAIN | {"idx": i, "raw": x.rstrip(" \t")} for i, x in enumerate(pdf_text(record[content] or b"").rstrip().split("\n"))]
                     else:
                         raise ValueError("unsupported file type")
                     rows += [key | p | {"error": None} for p in found]
                 except (ValueError, ElementTree.ParseError, subprocess.SubprocessError) as e:
-                    rows.append(key | {"error": str(e)})
-            yield pd.DataFrame(rows, columns=[*keys, *_COLUMNS, "error"]).astype({"idx": "Int32", "list_id": "Int32", "list_lvl": "Int32", "tbl": "Int32", "tbl_row": "Int32", "tbl_col": "Int32", "in_table": "boolean"})
+                    rows.append(key | dict.fromkeys(_COLUMNS) | {"error": str(e)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
-    other = marked.where("_format <> 'text'").select(*keys, F.col(content).cast("binary").alias(content), "_format").mapInPandas(read, schema)
+    other = marked.where("_format <> 'text'").select(*keys, F.col(content).cast("binary").alias(content), "_format").mapInArrow(read, schema)
     good = other.where("error is null").select(*keys, "idx", T.normalize(F.col("raw")).alias("text"), *_COLUMNS[1:])
     return plain.select(*keys, "idx", "text", "raw", *blank).unionByName(good), other.where("error is not null").select(*keys, "error")
