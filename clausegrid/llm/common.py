@@ -6,39 +6,19 @@ buffers in blocks of a few MB, so memory stays the same whatever the corpus hold
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clausegrid.checkpoints import checkpoint, shared_dir  # noqa: F401
+
 BLOCK_BYTES = 1 << 20
 #: Bytes of an Arrow batch; a task holds a batch or two in the JVM and in Python each.
 BATCH_BYTES = "16m"
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only for a local master without one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        found = tempfile.mkdtemp(prefix="clausegrid-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage there."""
-    spark = df.sparkSession
-    found = shared_dir(spark)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return df.checkpoint(eager=True)
-
-
 def buckets(df: DataFrame) -> int:
     """How many buckets keyed blobs are dealt to: grows with the input's splits, so a bucket's size does not."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
@@ -54,6 +34,14 @@ def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string or binary column as its bytes and len + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,6 +1,7 @@
 """Connected components of a link table, without collecting it: alternating large and small stars.
 
-Each task first reduces its links to forests of stars, so the rounds that follow see few links.
+Each task first reduces its links to forests of stars, so the rounds that follow see few links; up
+to ``SMALL`` of them, a fixed bound, are finished in one task without rounds.
 Every round is written to the shared checkpoint folder. A node of any degree is handled by minima
 and joins, never by a list of its neighbours.
 """
@@ -16,6 +17,7 @@ from . import common
 
 #: Links that one task holds at a time.
 HELD = 200_000
+SMALL = 300_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,27 +40,33 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(nodes, np.int64), np.array([root(x) for x in nodes], np.int64)
 
 
-def _local(batches):
-    held, size = [], 0
-    for batch in batches:
-        held.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
-        size += batch.num_rows
-        if size >= HELD:
-            found = forest(*map(np.concatenate, zip(*held)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
-            held, size = [], 0
-    if held:
-        found = forest(*map(np.concatenate, zip(*held)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+def _stars(held: int):
+    """Mapper: links as forests of at least ``held`` links each, but the last."""
 
+    def mapped(batches):
+        kept, size = [], 0
+        for batch in batches:
+            kept.append((np.asarray(batch.column(0)), np.asarray(batch.column(1))))
+            size += batch.num_rows
+            if size >= held:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*kept)))], ["a", "b"])
+                kept, size = [], 0
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*map(np.concatenate, zip(*kept)))], ["a", "b"])
 
-def components(links: DataFrame) -> DataFrame:
+    return mapped
+
+
+def components(links: DataFrame, small: int = SMALL) -> DataFrame:
     """(node, component): the least node of each linked node's component; nodes that are the least are left out.
 
     links: columns a and b (bigint). Self links and repeated links do no harm; no links give no rows.
     """
     edges = links.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).where("a <> b")
-    edges = common.checkpoint(edges.mapInArrow(_local, "a bigint, b bigint").distinct())
+    edges = common.checkpoint(edges.mapInArrow(_stars(HELD), "a bigint, b bigint").distinct())
+    if edges.count() <= small:
+        whole = edges.coalesce(1).mapInArrow(_stars(small + 1), "a bigint, b bigint")  # ``small`` rows at most
+        return common.checkpoint(whole).select(F.col("a").alias("node"), F.col("b").alias("component"))
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -70,3 +78,6 @@ def components(links: DataFrame) -> DataFrame:
         inner = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
         if twice.unionByName(inner).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+
+
+_local = _stars(HELD)

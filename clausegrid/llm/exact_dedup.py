@@ -112,13 +112,16 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, one row of each group of equal texts."""
-    gone = exact_dedup(docs).where("not kept").select("doc_id", F.col("key").alias("_key"))
-    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    twice = common.checkpoint(_entries(docs).groupBy("doc_id", "key").count().where("count > 1").select("doc_id", F.col("key").alias("_key")))
-    out = out.join(gone, ["doc_id", "_key"], "left_anti")
+    key, ident = common.free(docs, "_key"), common.free(docs, "_ident")
+    # A null id compares as the least number, which no document should have.
+    own = lambda c: F.coalesce(F.col(c).cast("bigint"), F.lit(-(1 << 63)))
+    gone = exact_dedup(docs).where("not kept").select(own("doc_id").alias(ident), F.col("key").alias(key)).distinct()
+    out = docs.withColumns({key: F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), ident: own("doc_id")})
+    twice = common.checkpoint(_entries(docs).groupBy(own("doc_id").alias(ident), F.col("key").alias(key)).count().where("count > 1").select(ident, key))
+    out = out.join(gone, [ident, key], "left_anti")
     if not twice.isEmpty():  # the same row several times
-        out = out.join(twice, ["doc_id", "_key"], "left_anti").unionByName(out.join(twice, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]))
-    return out.select(*docs.columns)
+        out = out.join(twice, [ident, key], "left_anti").unionByName(out.join(twice, [ident, key], "left_semi").dropDuplicates([ident, key]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

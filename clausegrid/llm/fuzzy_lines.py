@@ -128,7 +128,13 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     start = _common(lambda k: a[:k] == b[:k], shorter)
     stop = _common(lambda k: a[len(a) - k :] == b[len(b) - k :], shorter - start)
     a, b = a[start : len(a) - stop], b[start : len(b) - stop]
-    return max(len(a), len(b)) <= most or distance(a, b) <= most
+    if max(len(a), len(b)) <= most:
+        return True
+    # Replacing word by word costs no less than the distance; where that is little enough, it need not be found.
+    x, y = a.split(" "), b.split(" ")
+    if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
+        return True
+    return distance(a, b) <= most
 
 
 def _row_key():
@@ -258,21 +264,24 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     grouped = lines.join(group, "node", "left").select("node", "rows", "first", F.coalesce("component", "node").alias("group"))
     least = grouped.groupBy("group").agg(F.min("first").alias("kept"))
     known = common.checkpoint(grouped.join(least, "group").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number")))
-    placed = common.join_known(occurrences.select("row_key", "number", "node"), known, "node", "rows")
+    known = known.join(known.groupBy("kept_row", "kept_number").agg(F.sum("rows").alias("of_group")).where("of_group > 1"), ["kept_row", "kept_number"], "left_semi")
+    known = common.checkpoint(known)  # lines of groups with several occurrences
+    several = common.reduce_to(occurrences.select("row_key", "number", "node"), "node", known.select("node"))
+    placed = common.join_known(several, known, "node", "rows")
     gone = placed.where((F.col("row_key") != F.col("kept_row")) | (F.col("number") != F.col("kept_number")))
     return gone.groupBy("row_key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
 def drop_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all their columns and texts without the removed lines, and ``n_lines`` and ``n_removed``."""
-    gone = removed(docs, bits, similarity)
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
-    parts = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    joined = keyed.join(gone.withColumnRenamed("row_key", "_row").withColumnRenamed("numbers", "_gone"), "_row", "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, i) -> not array_contains(_gone, cast(i as int))), '\\n')")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
-    out = joined.withColumns({"_text": text, "_lines": F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(parts)).cast("long"), "_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long")})
-    return out.select(*(F.col("_text" if c == "text" else c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")), F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"))
+    row, lost = common.free(docs, "_row"), common.free(docs, "_lost")
+    gone = removed(docs, bits, similarity).select(F.col("row_key").alias(row), F.col("numbers").alias(lost))
+    keyed = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
+    joined = keyed.join(gone, row, "left")
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
+    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
+    counts = {"n_lines": F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.greatest(F.coalesce(F.size(lost), F.lit(0)), F.lit(0)).cast("long")}
+    return joined.select(*((text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in counts), *(v.alias(k) for k, v in counts.items()))
 
 
 def op9_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
