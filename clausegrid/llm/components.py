@@ -78,6 +78,3 @@ def components(links: DataFrame, small: int = SMALL) -> DataFrame:
         inner = edges.select(F.col("b").alias("a")).join(edges.select("a"), "a", "left_semi")
         if twice.unionByName(inner).isEmpty():
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-_local = _stars(HELD)

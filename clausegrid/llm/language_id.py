@@ -30,7 +30,7 @@ BUCKETS = 1 << 16
 SIZES = (2, 3, 4)
 DIMENSIONS = 16
 #: Most labelled documents that the model is fitted on.
-MAX_ROWS = 4000
+MAX_ROWS = 2000
 #: Most languages that are learned, the most frequent ones.
 MAX_LANGUAGES = 200
 PRECISION, MAX_REJECTED = 0.99, 0.001

@@ -33,7 +33,9 @@ SPACE = "▁"
 #: Units of more bytes are merged one by one.
 LONGEST = 64
 #: Distinct units whose encodings a worker keeps.
-CACHED = 500_000
+CACHED = 1_000_000
+#: Bytes of text whose units are made distinct together.
+BLOCK = 4 << 20
 #: Units that advance together.
 TOGETHER = 20_000
 UNIGRAM, BPE = 1, 2
@@ -342,7 +344,7 @@ class Codec:
 def encode_column(codec: Codec, column: pa.Array):
     """Of each block of texts: piece numbers, offsets, and whether decoding gives each text back."""
     data, offsets = common.utf8(column)
-    for i, j in common.blocks(offsets):
+    for i, j in common.blocks(offsets, BLOCK):
         texts = [data[a:b].tobytes() for a, b in zip(offsets[i:j].tolist(), offsets[i + 1 : j + 1].tolist())]
         ids, ends = codec.encode(texts)
         back, back_ends = codec.decode(ids, ends)
