@@ -119,3 +119,21 @@ def ask(provider: Callable[[str], str], prompt: str, attempts: int = ATTEMPTS, w
             if k + 1 == attempts:
                 raise
             wait(FIRST_WAIT * 2**k)
+
+
+def ask_grounded(provider: Callable[[str], str], prompt: str, check: Callable[[list], list[str]], attempts: int = ATTEMPTS, wait: Callable[[float], None] = time.sleep):
+    """An answer whose items are checked: if all are rejected, the model is asked once more with the reasons.
+
+    ``check`` gives one reason for each rejected item of an answer, which is a list.
+    """
+    answer = ask(provider, prompt, attempts, wait)
+    reasons = check(answer)
+    if answer and len(reasons) == len(answer):
+        told = "\n".join(f"#{i}: {r}" for i, r in enumerate(reasons))
+        answer = ask(provider, f"{prompt}\n\nRejected:\n{told}", attempts, wait)
+    return answer
+
+
+def missing_tiers(keys: dict[str, str | None], tiers: list[str]) -> list[str]:
+    """The tiers without a key, sorted; none is missing if a model can be used."""
+    return sorted(t for t in tiers if not keys.get(t))
