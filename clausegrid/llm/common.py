@@ -181,8 +181,8 @@ def fetch(docs: DataFrame, nodes: DataFrame, make) -> DataFrame:
     if nodes.count() > REDUCER_BITS // 2:
         marks[:] = ~np.uint64(0)
     else:
-        got = nodes.select(F.shiftrightunsigned(F.col("node"), 44).alias("hi"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 38) & 63 as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toPandas()  # REDUCER_BITS / 64 rows at most
-        marks[got.hi.to_numpy()] = got["mask"].to_numpy().view(np.uint64)
+        got = nodes.select(F.shiftrightunsigned(F.col("node"), 44).alias("hi"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 38) & 63 as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toArrow()  # REDUCER_BITS / 64 rows at most
+        marks[got.column("hi").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast(marks)
 
     def mapped(batches):
