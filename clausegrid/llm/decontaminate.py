@@ -208,7 +208,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 columns = [batch.column("doc_id"), batch.column("text_key"), [n for n, *_ in found], [[dict(zip(("first", "end", "start", "stop"), s)) for s in spans] for _, spans, *_ in found], [sorted(x for x in items if x is not None) for _, _, items, _ in found], [longest for *_, longest in found]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.types)], schema=kinds)
 
-        return texts.mapInArrow(mapped, schema)
+        return texts.mapInArrow(common.tidy(mapped), schema)
 
     passes = [one_pass(a) for a in _automata(benchmark, window, block_words)]
     out = passes[0]
@@ -251,7 +251,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
                     batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(mapped, docs.schema)
+        docs = docs.mapInArrow(common.tidy(mapped), docs.schema)
     return docs
 
 

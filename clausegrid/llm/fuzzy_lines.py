@@ -152,7 +152,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 of = pa.array(doc + i)
                 yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), pa.array(sketch)], ["row_key", "doc_id", "number", "node", "sketch"])
 
-    return docs.mapInArrow(mapped, "row_key bigint, doc_id bigint, number int, node bigint, sketch bigint")
+    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint, sketch bigint")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFram
                     rows.append((b, choice[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes(), node[own].tobytes(), sketch[own].tobytes(), group[own].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["bucket", "choice", "node", "sketch", "group"])
 
-    return lines.select("node", "sketch", "group").mapInArrow(mapped, "bucket int, choice binary, node binary, sketch binary, group binary")
+    return lines.select("node", "sketch", "group").mapInArrow(common.tidy(mapped), "bucket int, choice binary, node binary, sketch binary, group binary")
 
 
 def _close(masks: list[np.uint64], bits: int, all_pairs: bool):
@@ -238,7 +238,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(mapped, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y").mapInArrow(common.tidy(mapped), "a bigint, b bigint")
 
 
 def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
@@ -251,13 +251,13 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     lines = common.checkpoint(lines)
     masks = block_keys(blocks_for(lines.count(), bits), bits)
     alone = lines.select("node", "sketch", F.col("node").alias("group"))
-    one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(_close(masks, bits, False), "a bigint, b bigint").distinct())
+    one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, False)), "a bigint, b bigint").distinct())
     ends = one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct()
     texts = common.checkpoint(_texts(docs, common.checkpoint(ends)))  # a line with any partner has one in ``one``
     links = common.checkpoint(_verify(one, texts, similarity))
     group = components(links)
     again = lines.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("group"))
-    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(_close(masks, bits, True), "a bigint, b bigint").distinct().join(one, ["a", "b"], "left_anti")
+    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, True)), "a bigint, b bigint").distinct().join(one, ["a", "b"], "left_anti")
     more = common.checkpoint(_verify(rest, texts, similarity))
     if not more.isEmpty():
         group = components(links.unionByName(more))

@@ -201,7 +201,7 @@ def fit(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["lang", "at", "share"])
 
     # About max_rows rows, each of at most BUCKETS numbers.
-    got = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in chosen.mapInArrow(mapped, "lang string, at binary, share binary").toLocalIterator())
+    got = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in chosen.mapInArrow(common.tidy(mapped), "lang string, at binary, share binary").toLocalIterator())
     got = [(k, np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for k, a, b in got if a]
     return train([(a, b) for _, a, b in got], [k for k, *_ in got]) if got else None
 
@@ -219,7 +219,7 @@ def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataF
             gone = [k == UNKNOWN or s < sent.value.threshold for k, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(mapped, "doc_id bigint, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(common.tidy(mapped), "doc_id bigint, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -234,7 +234,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             names, scores = sent.value.predict(*common.utf8(batch.column(where)))
             yield batch.filter(pa.array([k != UNKNOWN and s >= sent.value.threshold for k, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(mapped, docs.schema)
+    return docs.mapInArrow(common.tidy(mapped), docs.schema)
 
 
 def learned(docs: DataFrame) -> Model | None:

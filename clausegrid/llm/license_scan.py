@@ -263,7 +263,7 @@ def find(docs: DataFrame, model: Model) -> DataFrame:
             got = list(scan(*common.utf8(batch.column("text")), sent.value))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in got], pa.int64()), pa.array([[dict(zip(("family", "score", "start", "stop"), x)) for x in f] for _, f in got], kind)], ["doc_id", "n_paragraphs", "found"])
 
-    return common.own_columns(docs, "doc_id", "text").mapInArrow(mapped, "doc_id bigint, n_paragraphs bigint, found array<struct<family:string,score:double,start:int,stop:int>>")
+    return common.own_columns(docs, "doc_id", "text").mapInArrow(common.tidy(mapped), "doc_id bigint, n_paragraphs bigint, found array<struct<family:string,score:double,start:int,stop:int>>")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -311,16 +311,16 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(mapped, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y").mapInArrow(common.tidy(mapped), "a bigint, b bigint")
 
 
 def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the least doc_id that its links reach."""
     docs = common.own_columns(docs, "doc_id", "text")
     n_buckets = common.buckets(docs)
-    blobs = docs.mapInArrow(_postings(1, 0, n_buckets, percent, words), "bucket int, kind int, blob binary")
+    blobs = docs.mapInArrow(common.tidy(_postings(1, 0, n_buckets, percent, words)), "bucket int, kind int, blob binary")
     reducer = _join_bucket(percent)
-    joined = common.checkpoint(blobs.groupBy("bucket").applyInArrow(reducer, _JOINED_DDL))
+    joined = common.checkpoint(blobs.groupBy("bucket").applyInArrow(common.tidy(reducer), _JOINED_DDL))
     found = joined.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n_a").alias("n_shingles"), F.col("b").alias("node"))
 
     # What each document's prefix has of frequent shingles, and by how many of them, the less frequent first, it is indexed.
@@ -347,7 +347,7 @@ def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> Data
     sets = common.checkpoint(_sets(docs, common.checkpoint(nodes), words))
     in_blocks = under.join(under.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
-    links = common.checkpoint(in_blocks.join(sets, "node").groupBy("lead", "x", "y").applyInArrow(_under_lead(percent), "a bigint, b bigint"))
+    links = common.checkpoint(in_blocks.join(sets, "node").groupBy("lead", "x", "y").applyInArrow(common.tidy(_under_lead(percent)), "a bigint, b bigint"))
 
     # One partner for each node by rare shingles, the one it shares most with; then all whose components still differ.
     ends = pairs.select("a", "b", "times", F.col("a").alias("node")).unionByName(pairs.select("a", "b", "times", F.col("b").alias("node")))

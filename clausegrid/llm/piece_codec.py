@@ -35,11 +35,11 @@ LONGEST = 64
 #: Distinct units whose encodings a worker keeps.
 CACHED = 1_000_000
 #: Bytes of text whose units are made distinct together.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Units that advance together.
 TOGETHER = 20_000
 UNIGRAM, BPE = 1, 2
-_FILTER_BITS, _MEMO_BITS = 21, 21
+_FILTER_BITS, _MEMO_BITS = 21, 20
 
 
 class Codec:
@@ -116,8 +116,8 @@ class Codec:
 
     def _forget(self) -> None:
         self.seen = np.zeros(0, np.uint64)
-        self.seen_at = np.zeros(0, np.int64)
-        self.seen_n = np.zeros(0, np.int64)
+        self.seen_at = np.zeros(0, np.int32)
+        self.seen_n = np.zeros(0, np.int32)
         self.store = np.zeros(0, np.int32)
 
     @staticmethod
@@ -293,7 +293,7 @@ class Codec:
             sizes[part], at[part] = n, end + np.cumsum(n) - n
             end += len(ids)
         self.store = np.concatenate(parts)
-        whole, whole_at, whole_n = (np.concatenate(x) for x in ((self.seen, keys), (self.seen_at, at), (self.seen_n, sizes)))
+        whole, whole_at, whole_n = (np.concatenate(x) for x in ((self.seen, keys), (self.seen_at, at.astype(np.int32)), (self.seen_n, sizes.astype(np.int32))))
         order = np.argsort(whole)
         self.seen, self.seen_at, self.seen_n = whole[order], whole_at[order], whole_n[order]
 
@@ -320,7 +320,7 @@ class Codec:
                 missing[:] = True  # the cache starts anew
             self._learn(data, units[missing], starts[first[missing]], ends[first[missing]])
         place = np.searchsorted(self.seen, units)
-        n, at = self.seen_n[place][back], self.seen_at[place][back]
+        n, at = self.seen_n[place][back].astype(np.int64), self.seen_at[place][back].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(n)])
         out = self.store[np.arange(total[-1]) + np.repeat(at - total[:-1], n)]
         return out, total[np.searchsorted(starts, offsets)]
@@ -364,7 +364,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(same)), pa.array(np.diff(ends), pa.int64()), pa.array(same), rows], ["doc_id", "n_tokens", "round_trip", "token_ids"])
                 k += len(same)
 
-    return common.own_columns(docs, "doc_id", "text").mapInArrow(mapped, "doc_id bigint, n_tokens bigint, round_trip boolean, token_ids array<int>")
+    return common.own_columns(docs, "doc_id", "text").mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, round_trip boolean, token_ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
@@ -379,7 +379,7 @@ def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
             raw = data.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([raw[a:b].decode(errors="replace") for a, b in zip(ends.tolist(), ends[1:].tolist())], pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "token_ids").mapInArrow(mapped, "doc_id bigint, text string")
+    return tokens.select("doc_id", "token_ids").mapInArrow(common.tidy(mapped), "doc_id bigint, text string")
 
 
 def op10_piece_codec(spark, sf_dir: str) -> DataFrame:
@@ -396,4 +396,4 @@ def op10_piece_codec(spark, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(same)), pa.array(np.diff(ends), pa.int64()), pa.array(digests), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
                 k += len(same)
 
-    return common.own_columns(docs, "doc_id", "text").mapInArrow(mapped, "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return common.own_columns(docs, "doc_id", "text").mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean")

@@ -185,7 +185,7 @@ def find(docs: DataFrame, rate: float = RATE) -> DataFrame:
             decoys = [(_class(np.array([n for n, _ in d])) * SCORE_BINS + _bin([p for _, p in d])).tolist() if d else [] for *_, d in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, span), pa.array(more, token), pa.array(decoys, pa.list_(pa.int32()))], ["doc_id", "base", "more", "decoys"])
 
-    found = common.checkpoint(rows.mapInArrow(mapped, f"doc_id bigint, base {SPAN}, more {TOKENS}, decoys array<int>"))
+    found = common.checkpoint(rows.mapInArrow(common.tidy(mapped), f"doc_id bigint, base {SPAN}, more {TOKENS}, decoys array<int>"))
     classes = F.lit(0)
     for k, n in enumerate(LENGTHS.tolist()):
         classes = F.when(F.col("x.end") - F.col("x.start") >= n, k).otherwise(classes)

@@ -231,8 +231,8 @@ def repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES,
     if depth < 8:
         raise ValueError("strings of at least 8 bytes are supported")
     n_buckets = common.buckets(docs)
-    dealt = docs.select("row_key", "text").mapInArrow(_deal(depth, n_buckets), "bucket int, kind int, blob binary")
-    found = common.checkpoint(dealt.groupBy("bucket").applyInArrow(_match(depth, n_buckets), _FOUND))
+    dealt = docs.select("row_key", "text").mapInArrow(common.tidy(_deal(depth, n_buckets)), "bucket int, kind int, blob binary")
+    found = common.checkpoint(dealt.groupBy("bucket").applyInArrow(common.tidy(_match(depth, n_buckets)), _FOUND))
     requests = found.where(F.col("kind") == REQUEST).select("node", "key", "row_key", "start", "size", "single")
 
     def contexts(batch):
@@ -244,9 +244,9 @@ def repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES,
     total = requests.agg(F.sum(F.col("size") + depth)).first()[0] or 0
     n_shards = max(1, -(-total // shard_bytes))
     shards = requests.join(texts, "node").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(n_shards)))
-    sorted_marks = shards.groupBy("shard").applyInArrow(_sort_shard(depth, n_buckets, memory), _FOUND)
+    sorted_marks = shards.groupBy("shard").applyInArrow(common.tidy(_sort_shard(depth, n_buckets, memory)), _FOUND)
     marks = found.where(F.col("kind") == MARKS).select("home", "blob").unionByName(sorted_marks.select("home", "blob"))
-    return common.checkpoint(marks.groupBy("home").applyInArrow(_merge(), "row_key bigint, starts array<int>, stops array<int>"))
+    return common.checkpoint(marks.groupBy("home").applyInArrow(common.tidy(_merge()), "row_key bigint, starts array<int>, stops array<int>"))
 
 
 def drop_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_BYTES, memory: int = induced_sort.MEMORY) -> DataFrame:
@@ -272,7 +272,7 @@ def drop_repeats(docs: DataFrame, depth: int = DEPTH, shard_bytes: int = SHARD_B
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)), batch.column("starts"), batch.column("stops")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "starts", "stops"])
 
     changed = common.reduce_to(keyed, "row_key", gone.select("row_key")).join(gone, "row_key")
-    changed = changed.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, starts array<int>, stops array<int>")
+    changed = changed.mapInArrow(common.tidy(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, starts array<int>, stops array<int>")
     return same.unionByName(changed)
 
 

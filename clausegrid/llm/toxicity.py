@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (used, totals[0][used], totals[1][used])], ["bucket", "other", "toxic"])
 
     counted = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(3)) > 0
-    counts = sample.where(counted).mapInArrow(count, "bucket bigint, other bigint, toxic bigint").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow().to_pandas()  # BUCKETS rows at most
+    counts = sample.where(counted).mapInArrow(common.tidy(count), "bucket bigint, other bigint, toxic bigint").groupBy("bucket").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")).toArrow().to_pandas()  # BUCKETS rows at most
     other, toxic = np.zeros(BUCKETS), np.zeros(BUCKETS)
     other[counts.bucket], toxic[counts.bucket] = counts.other, counts.toxic
     of = {r.label: r.n for r in sample.where(counted).groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -209,7 +209,7 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
             best, n = score(*common.utf8(batch.column("text")), sent.value)
             yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(n, pa.int64()), batch.column("label")], ["best", "n", "label"])
 
-    rows = sample.where(~counted).mapInArrow(measure, "best double, n bigint, label int").toArrow().to_pandas().sort_values(["label", "best", "n"])  # at most 2 * max_rows rows
+    rows = sample.where(~counted).mapInArrow(common.tidy(measure), "best double, n bigint, label int").toArrow().to_pandas().sort_values(["label", "best", "n"])  # at most 2 * max_rows rows
     z, label = model.normalised(rows.best.to_numpy(), rows.n.to_numpy()), rows.label.to_numpy().astype(float)
     if not (label == 0).any() or not (label == 1).any():
         return None
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             z = sent.value.normalised(best, n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.probability(z)), pa.array(sent.value.p_value(z))], ["doc_id", "score", "p_value"])
 
-    return rows.mapInArrow(mapped, "doc_id bigint, score double, p_value double")
+    return rows.mapInArrow(common.tidy(mapped), "doc_id bigint, score double, p_value double")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
