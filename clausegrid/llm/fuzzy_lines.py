@@ -43,7 +43,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
-    """Of one block: document and number of each line with words, its node, SimHash and words' (low bytes, starts, ends, first word)."""
+    """Of one block: document and number of each line with words, its node, SimHash, characters of its normal form, and words' (low bytes, starts, ends, first word)."""
     low = _NORMAL[data]
     breaks = np.flatnonzero(data == 10)
     begins = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
@@ -56,7 +56,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
     first = cut[full]
     if not len(full):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, (low, starts, ends, first)
+        return none, none, none, none, none, (low, starts, ends, first)
     hashed = common.word_hash(low, starts, ends)
     n = np.diff(np.append(first, len(starts)))
     place = np.arange(len(starts)) - np.repeat(first, n)
@@ -69,7 +69,9 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
         bits = np.unpackbits(hashed[a:b].view(np.uint8).reshape(-1, 8), axis=1)
         votes = np.add.reduceat(bits, first[k : k + 4096] - a, axis=0, dtype=np.uint8 if size.max() < 256 else np.int32)
         sketch[k : k + 4096] = np.packbits(votes > (size // 2)[:, None], axis=1).view(np.int64).ravel()
-    return doc[full], number[full], node, sketch, (low, starts, ends, first)
+    points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
+    size = np.add.reduceat(points[ends] - points[starts], first) + n - 1
+    return doc[full], number[full], node, sketch, size, (low, starts, ends, first)
 
 
 def block_keys(n_blocks: int, bits: int = BITS) -> list[np.uint64]:
@@ -87,8 +89,8 @@ def blocks_for(n_lines: int, bits: int = BITS, per_key: float = PER_KEY) -> int:
     return b
 
 
-def distance(a: str, b: str) -> int:
-    """Edit distance, all cells of a column at once in the bits of an integer."""
+def distance(a: str, b: str, most: int | None = None) -> int:
+    """Edit distance, all cells of a column at once in the bits of an integer; with ``most``, any greater number once it is sure to be greater."""
     if len(a) < len(b):
         a, b = b, a
     n = len(b)
@@ -99,7 +101,7 @@ def distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     mask, top = (1 << n) - 1, 1 << n - 1
     plus, minus, score = mask, 0, n
-    for c in a:
+    for left, c in zip(range(len(a) - 1, -1, -1), a):
         same = where.get(c, 0)
         vertical = same | minus
         horizontal = ((same & plus) + plus ^ plus) | same
@@ -108,6 +110,8 @@ def distance(a: str, b: str) -> int:
         up = (up << 1 | 1) & mask
         plus = (down << 1 & mask) | ~(vertical | up) & mask
         minus = up & vertical
+        if most is not None and score - left > most:
+            break  # a column lowers it by one at most
     return score
 
 
@@ -120,8 +124,13 @@ def _common(same, most: int) -> int:
     return low
 
 
+def _most(length, similarity: float):
+    """The greatest distance that the similarity allows at a length."""
+    return np.floor((1 - similarity) * length + 1e-9).astype(np.int64)
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
-    most = int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+    most = int(_most(np.float64(max(len(a), len(b))), similarity))
     if abs(len(a) - len(b)) > most:
         return False
     shorter = min(len(a), len(b))
@@ -134,7 +143,7 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
         return True
-    return distance(a, b) <= most
+    return distance(a, b, most) <= most
 
 
 def _row_key():
@@ -142,17 +151,17 @@ def _row_key():
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, number, node, sketch): each line with words."""
+    """(row_key, doc_id, number, node, sketch, size): each line with words."""
 
     def mapped(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column("text"))
             for i, j in common.blocks(offsets):
-                doc, number, node, sketch, _ = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                doc, number, node, sketch, size, _ = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 of = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), pa.array(sketch)], ["row_key", "doc_id", "number", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), pa.array(sketch), pa.array(size, pa.int64())], ["row_key", "doc_id", "number", "node", "sketch", "size"])
 
-    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint, sketch bigint")
+    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint, sketch bigint, size bigint")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -162,18 +171,18 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         seen = {}
         data, offsets = common.utf8(batch.column("text"))
         for i, j in common.blocks(offsets):
-            *_, node, _, (low, starts, ends, first) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
+            *_, node, _, _, (low, starts, ends, first) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
             yield node, lambda k, low=low, starts=starts, ends=ends, first=first: b" ".join(low[s:e].tobytes() for s, e in zip(starts[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist(), ends[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist()))
 
     return common.fetch(docs, nodes, make)
 
 
 def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFrame:
-    """(bucket, choice, node, sketch, group): lines in the bucket of each of their keys, as one blob a batch and bucket."""
+    """(bucket, choice, node, sketch, group, size): lines in the bucket of each of their keys, as one blob a batch and bucket."""
 
     def mapped(batches):
         for batch in batches:
-            node, sketch, group = (np.asarray(batch.column(k)) for k in range(3))
+            node, sketch, group, size = (np.asarray(batch.column(k)) for k in range(4))
             home = np.concatenate([(common.mix((sketch.view(np.uint64) & mask) + np.uint64(t)) >> np.uint64(33)) % np.uint64(n_buckets) for t, mask in enumerate(masks)])
             order = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[order], np.arange(n_buckets + 1, dtype=np.uint64))
@@ -182,14 +191,14 @@ def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFram
             for b in range(n_buckets):
                 if cuts[b + 1] > cuts[b]:
                     own = of[cuts[b] : cuts[b + 1]]
-                    rows.append((b, choice[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes(), node[own].tobytes(), sketch[own].tobytes(), group[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 4))], ["bucket", "choice", "node", "sketch", "group"])
+                    rows.append((b, choice[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes(), node[own].tobytes(), sketch[own].tobytes(), group[own].tobytes(), size[own].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 5))], ["bucket", "choice", "node", "sketch", "group", "size"])
 
-    return lines.select("node", "sketch", "group").mapInArrow(common.tidy(mapped), "bucket int, choice binary, node binary, sketch binary, group binary")
+    return lines.select("node", "sketch", "group", "size").mapInArrow(common.tidy(mapped), "bucket int, choice binary, node binary, sketch binary, group binary, size binary")
 
 
-def _close(masks: list[np.uint64], bits: int, all_pairs: bool):
-    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close; without ``all_pairs`` one partner a line and key.
+def _close(masks: list[np.uint64], bits: int, similarity: float, all_pairs: bool):
+    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` one partner a line and key.
 
     A pair comes from the first choice of blocks that it agrees on, and from no other.
     """
@@ -197,15 +206,15 @@ def _close(masks: list[np.uint64], bits: int, all_pairs: bool):
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list[np.ndarray]] = []
         for batch in batches:
-            for cells in zip(*(batch.column(k) for k in ("choice", "node", "sketch", "group"))):
+            for cells in zip(*(batch.column(k) for k in ("choice", "node", "sketch", "group", "size"))):
                 parts.append([np.frombuffer(c.as_buffer(), np.uint8 if k == 0 else np.int64) for k, c in enumerate(cells)])
-        choices, nodes, sketches, groups = (np.concatenate(x) for x in zip(*parts))
+        choices, nodes, sketches, groups, sizes = (np.concatenate(x) for x in zip(*parts))
         for t in np.unique(choices).tolist():
             own = choices == t
-            node, sketch, group = nodes[own], sketches[own].view(np.uint64), groups[own]
+            node, sketch, group, length = nodes[own], sketches[own].view(np.uint64), groups[own], sizes[own]
             key = sketch & masks[t]
             order = np.lexsort((node, key))
-            node, sketch, group, key = node[order], sketch[order], group[order], key[order]
+            node, sketch, group, length, key = node[order], sketch[order], group[order], length[order], key[order]
             lone, held, size = np.ones(len(node), bool), [], 0
             live, step = np.arange(len(node)), 1
             while len(live):
@@ -214,6 +223,7 @@ def _close(masks: list[np.uint64], bits: int, all_pairs: bool):
                 other = live + step
                 differ = sketch[live] ^ sketch[other]
                 good = (np.bitwise_count(differ) <= bits) & (group[live] != group[other])
+                good &= np.abs(length[live] - length[other]) <= _most(np.maximum(length[live], length[other]), similarity)
                 if not all_pairs:
                     good &= lone[other]
                 for earlier in masks[:t]:
@@ -247,17 +257,17 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     n_buckets = common.buckets(docs)
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
     occurrences = common.checkpoint(_occurrences(docs))
-    lines = occurrences.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min(last).alias("first"), F.count("*").alias("rows"))
+    lines = occurrences.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min(last).alias("first"), F.count("*").alias("rows"))
     lines = common.checkpoint(lines)
     masks = block_keys(blocks_for(lines.count(), bits), bits)
-    alone = lines.select("node", "sketch", F.col("node").alias("group"))
-    one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, False)), "a bigint, b bigint").distinct())
+    alone = lines.select("node", "sketch", F.col("node").alias("group"), "size")
+    one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, False)), "a bigint, b bigint").distinct())
     ends = one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct()
     texts = common.checkpoint(_texts(docs, common.checkpoint(ends)))  # a line with any partner has one in ``one``
     links = common.checkpoint(_verify(one, texts, similarity))
     group = components(links)
-    again = lines.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("group"))
-    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, True)), "a bigint, b bigint").distinct().join(one, ["a", "b"], "left_anti")
+    again = lines.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("group"), "size")
+    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, True)), "a bigint, b bigint").distinct().join(one, ["a", "b"], "left_anti")
     more = common.checkpoint(_verify(rest, texts, similarity))
     if not more.isEmpty():
         group = components(links.unionByName(more))
