@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -37,16 +38,28 @@ def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
     return docs.select(*(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted))
 
 
-def tidy(run):
-    """A mapper or reducer that hands the memory it freed back to the system when it ends; idle workers then hold little."""
+#: Seconds between two calls of the system to take freed memory back.
+TRIM_SECONDS = 2.0
+_trimmed = [0.0]
 
-    @functools.wraps(run)
-    def tidied(batches):
-        yield from run(batches)
+
+def trim() -> None:
+    """Hand freed memory back to the system, every few seconds at most."""
+    if time.monotonic() - _trimmed[0] > TRIM_SECONDS:
         try:
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library
             pass
+        _trimmed[0] = time.monotonic()
+
+
+def tidy(run):
+    """A mapper or reducer that trims memory when it ends, so that idle workers hold little."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        trim()
 
     return tidied
 
