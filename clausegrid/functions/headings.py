@@ -16,6 +16,7 @@ PATTERNS = [
     ("pasal", rf"(?i)^\s*Pasal\s+{NUMBER}\b"),
     ("article", rf"(?i)^\s*(?:Article|Clause|Section)\s+{NUMBER}\b"),
 ]
+BEGINS = r"(?i)^\s*(?:BAB|Bagian|Paragraf|Pasal|Article|Clause|Section)\s"
 DEPTHS = {"root": 0, "bab": 1, "bagian": 2, "paragraf": 3, "pasal": 4, "article": 4, "clause": 5, "ayat": 6, "huruf": 7, "angka": 8, "item": 9}
 LEARNED = r"^\s*(\p{L}{2,15})\s+([0-9]{1,4}(?:\.[0-9]{1,3})*|[IVXLCDM]{1,7})\s*[.:)-]?\s*$"
 MIN_HITS, MIN_ASCENDING = 3, 0.7
@@ -38,7 +39,8 @@ def parse_heading(text: Column) -> Column:
         ordinal = (lambda n: F.coalesce(ordinal_word(n), numerals.article_number(n))) if kind == "bagian" else numerals.article_number
         made = lambda n, kind=kind, pattern=pattern, ordinal=ordinal: F.when(n != "", F.struct(F.lit(kind).alias("kind"), n.alias("number"), ordinal(n).cast("int").alias("ordinal"), F.trim(F.regexp_extract(text, pattern, 0)).alias("label")))
         found.append(numerals.let(number, made))
-    return F.get(F.filter(F.array(*found), lambda h: h["ordinal"].isNotNull()), F.lit(0))
+    first = F.get(F.filter(F.array(*found), lambda h: h["ordinal"].isNotNull()), F.lit(0))
+    return F.when(text.rlike(BEGINS), first)  # most paragraphs are done with here
 
 
 def learned_vocabulary(paragraphs: DataFrame, keys: list[str], position: str, text: str) -> DataFrame:

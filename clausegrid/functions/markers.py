@@ -11,6 +11,7 @@ from . import numerals
 BRACKET = r"^[\s\p{Zs}]*\(\s*([0-9]{1,3}|[A-Za-z]{1,4})\s*\)"
 DECIMAL = r"^[\s\p{Zs}]*([0-9]{1,3}(?:\.[0-9]{1,3})+)\.?(\s|$)"
 SIMPLE = r"^[\s\p{Zs}]*([0-9]{1,3}|[A-Za-z]{1,4})\s*([.)])(\s|$)"
+BEGINS = r"^[\s\p{Zs}]*(?:\(|[0-9A-Za-z]{1,4}\s*[.)])"
 #: Highest ordinal with which a list may begin.
 HIGHEST_START = 26
 
@@ -53,7 +54,7 @@ def parse_marker(text: Column) -> Column:
         plain = lambda c: F.when(c.isNotNull(), F.struct(c["kind"].alias("kind"), form.alias("form"), token.alias("token"), c["ordinal"].alias("ordinal"), c["ambiguous"].alias("ambiguous"), c["alt_kind"].alias("alt_kind"), c["alt_ordinal"].alias("alt_ordinal"), raw.alias("raw")).cast(_FIELDS))
         return F.when(bracket.isNull() & decimal.isNotNull(), dotted.cast(_FIELDS)).when(token.isNotNull(), numerals.let(classify(token), plain))
 
-    return numerals.let(parts, read)
+    return F.when(text.rlike(BEGINS), numerals.let(parts, read))  # most paragraphs are done with here
 
 
 def node_kind(kind: Column, form: Column) -> Column:
