@@ -264,10 +264,12 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, False)), "a bigint, b bigint").distinct())
     ends = one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct()
     texts = common.checkpoint(_texts(docs, common.checkpoint(ends)))  # a line with any partner has one in ``one``
-    links = common.checkpoint(_verify(one, texts, similarity))
+    # Of a line's partners the least and the greatest first; whom these leave in other groups comes next.
+    first = common.checkpoint(one.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
+    links = common.checkpoint(_verify(first, texts, similarity))
     group = components(links)
     again = lines.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("group"), "size")
-    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, True)), "a bigint, b bigint").distinct().join(one, ["a", "b"], "left_anti")
+    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, True)), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
     more = common.checkpoint(_verify(rest, texts, similarity))
     if not more.isEmpty():
         group = components(links.unionByName(more))
