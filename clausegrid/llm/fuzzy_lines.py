@@ -11,9 +11,9 @@ With b blocks of bits, two SimHashes within ``BITS`` bits agree on b - BITS bloc
 are found by joining on every choice of b - BITS blocks. b grows with the number of lines, which
 keeps the lines of a key few and changes no result.
 
-Only groups are asked for, so each line is first verified with one partner a key, and the other
-pairs of a key are formed only where its lines are still in several groups. No pair is left out
-otherwise.
+Only groups are asked for, so a key first gives pairs until each of its lines that has a partner is
+in one, and the other pairs of a key are formed only where its lines are still in several groups. No
+pair is left out otherwise.
 
 Null and empty texts have no lines with words. A null doc_id comes last. Rows that repeat both id
 and text count as one row and are answered each. Other columns are ignored (``drop_lines`` keeps them).
@@ -198,7 +198,7 @@ def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFram
 
 
 def _close(masks: list[np.uint64], bits: int, similarity: float, all_pairs: bool):
-    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` one partner a line and key.
+    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` only those of which either line has had no partner at the key.
 
     A pair comes from the first choice of blocks that it agrees on, and from no other.
     """
@@ -225,11 +225,11 @@ def _close(masks: list[np.uint64], bits: int, similarity: float, all_pairs: bool
                 good = (np.bitwise_count(differ) <= bits) & (group[live] != group[other])
                 good &= np.abs(length[live] - length[other]) <= _most(np.maximum(length[live], length[other]), similarity)
                 if not all_pairs:
-                    good &= lone[other]
+                    good &= lone[live] | lone[other]
                 for earlier in masks[:t]:
                     good &= (differ & earlier) != 0
                 i, j = live[good], other[good]
-                lone[j] = False
+                lone[i] = lone[j] = False
                 held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
                 size += len(i)
                 step += 1

@@ -219,6 +219,55 @@ def test_fuzzy_lines(spark, corpus):
     assert sum(r.n_removed for r in got.values()) == sum(len([1 for x in (t or "").split("\n") if normal(x)]) for _, t in rows) - sum(v for k, v in after.items() if k)
 
 
+@pytest.mark.parametrize("n_blocks", [4, 5, 6, 8])
+def test_every_line_with_a_close_line_has_a_pair(n_blocks):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(n_blocks)
+    sketches = []
+    for _ in range(60):
+        centre = rng.getrandbits(64)
+        sketches += [centre] + [centre ^ sum(1 << k for k in rng.sample(range(64), 3)) for _ in range(4)]
+    nodes = rng.sample(range(10**6), len(sketches))
+    masks = fuzzy_lines.block_keys(n_blocks)
+    one = [np.array(x, np.uint64).view(np.int64).tobytes() for x in (nodes, sketches, nodes, [50] * len(nodes))]
+    blob = pa.RecordBatch.from_arrays([pa.array([bytes([t]) * len(nodes) for t in range(len(masks))], pa.binary()), *(pa.array([x] * len(masks), pa.binary()) for x in one)], ["choice", "node", "sketch", "group", "size"])
+    close = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(zip(nodes, sketches)) for b, y in list(zip(nodes, sketches))[:k] if (x ^ y).bit_count() <= 3}
+    found = {every: {p for batch in fuzzy_lines._close(masks, 3, 0.8, every)(iter([blob])) for p in zip(*(batch.column(c).to_pylist() for c in "ab"))} for every in (False, True)}
+    assert found[True] == close
+    assert found[False] <= close
+    assert {x for p in found[False] for x in p} == {x for p in close for x in p}
+
+
+@pytest.mark.parametrize("n_blocks", [4, 6])
+def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, n_blocks):
+    import numpy as np
+
+    monkeypatch.setattr(fuzzy_lines, "blocks_for", lambda n, bits: n_blocks)
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    texts = []
+    for _ in range(30):
+        centre = prose(rng, vocabulary, 60).split()
+        for _ in range(6):
+            variant = list(centre)
+            variant[rng.randrange(60)] = rng.choice(vocabulary)
+            texts.append(" ".join(variant))
+        texts.append(" ".join(centre))
+    sketch = {}
+    for k, t in enumerate(texts):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        sketch[k] = int(fuzzy_lines.lines_of(raw, np.array([0, len(raw)]))[3].view(np.uint64)[0])
+    root = {k: k for k in sketch}
+    for a in sketch:
+        for b in range(a):
+            if (sketch[a] ^ sketch[b]).bit_count() <= 3 and fuzzy_lines.alike(texts[a], texts[b]) and root[a] != root[b]:
+                root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.drop_lines(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {k: int(root[k] != k) for k in sketch}
+
+
 def test_edit_distance():
     rng = random.Random(2)
     for _ in range(300):
