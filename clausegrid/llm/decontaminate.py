@@ -189,6 +189,17 @@ def _automata(benchmark: DataFrame, window: int, block_words: int):
     yield Automaton(block, window)
 
 
+def _merged(spans: list) -> list[list[int]]:
+    """Spans (first word, end word, first byte, end byte) in order; those that overlap or touch as one."""
+    out: list[list[int]] = []
+    for first, end, start, stop in sorted(map(list, spans)):
+        if out and out[-1][1] >= first:
+            out[-1][1], out[-1][3] = max(out[-1][1], end), max(out[-1][3], stop)
+        else:
+            out.append([first, end, start, stop])
+    return out
+
+
 SPANS = "array<struct<first:int,end:int,start:int,stop:int>>"
 
 
@@ -226,33 +237,45 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` with hit spans cut from ``text``; documents with a larger share of hit words than ``max_coverage`` are dropped."""
-    names = docs.columns
+    names, schema = docs.columns, docs.schema
     where = names.index("text")
-    for automaton in _automata(benchmark, window, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(automaton)
+    sent = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, block_words)]
+    held = len(names) if len(sent) > 1 else None  # spans of earlier blocks; the text stays whole up to the last one
+    if held:
+        docs = docs.withColumn(common.free(docs, "_spans"), F.expr("X''"))
+    for block in sent[:-1]:
 
-        def mapped(batches, sent=sent):
+        def marked(batches, block=block):
             for batch in batches:
-                column = batch.column(where)
-                data, offsets = common.utf8(column)
-                keep, changed = np.ones(batch.num_rows, bool), {}
-                for k, (n, spans, _, _) in enumerate(sent.value.scan(data, offsets)):
-                    if spans:
-                        keep[k] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n
-                        raw, at, parts = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                        for *_, start, stop in spans:
-                            parts.append(raw[at:start])
-                            at = stop
-                        changed[k] = b"".join([*parts, raw[at:]]).decode()
-                if changed:
-                    texts = column.to_pylist()
-                    for k, text in changed.items():
-                        texts[k] = text
-                    batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
-                yield batch.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(common.tidy(mapped), docs.schema)
-    return docs
+                spans = [np.array(s, np.int64).tobytes() for _, s, *_ in block.value.scan(*common.utf8(batch.column(where)))]
+                both = [a + b for a, b in zip(batch.column(held).to_pylist(), spans)]
+                yield batch.set_column(held, batch.schema.field(held), pa.array(both, batch.schema.field(held).type))
+
+        docs = docs.mapInArrow(common.tidy(marked), docs.schema)
+
+    def mapped(batches):
+        for batch in batches:
+            column = batch.column(where)
+            data, offsets = common.utf8(column)
+            keep, changed = np.ones(batch.num_rows, bool), {}
+            for k, (n, spans, _, _) in enumerate(sent[-1].value.scan(data, offsets)):
+                if held:
+                    spans = _merged(spans + np.frombuffer(batch.column(held)[k].as_py(), np.int64).reshape(-1, 4).tolist())
+                if spans:
+                    keep[k] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n
+                    raw, at, parts = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
+                    for *_, start, stop in spans:
+                        parts.append(raw[at:start])
+                        at = stop
+                    changed[k] = b"".join([*parts, raw[at:]]).decode()
+            if changed:
+                texts = column.to_pylist()
+                for k, text in changed.items():
+                    texts[k] = text
+                batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
+            yield batch.select(range(len(names))).filter(pa.array(keep))
+
+    return docs.mapInArrow(common.tidy(mapped), schema)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -138,6 +138,21 @@ def test_decontaminate(spark, corpus):
     assert not any(s in " ".join(words1(left[i])) for i, _ in corpus for s in (" ".join(k) for k in windows if len(k) == 10) if left[i])
 
 
+def test_decontaminate_removes_the_same_by_any_block(spark):
+    rng = random.Random(7)
+    w = ["".join(rng.choice("bcdfgklmn") + rng.choice("aeiou") for _ in range(3)) + str(k) for k in range(100)]
+    # Windows of one item overlap those of the next; 30 words in 100 from either of two items are more than half.
+    items = [(1, " ".join(w[10:25])), (2, " ".join(w[20:34])), (3, " ".join(w[40:60])), (4, " ".join(w[60:80]))]
+    other = [f"lain{k}" for k in range(100)]
+    texts = [" ".join(w[5:40] + other), " ".join(w[10:40] + other[:30]), " ".join(other[:20] + w[40:70] + other[20:50]), " ".join(w[40:80] + other[:39]), None, ""]
+    docs = frame(spark, list(enumerate(texts)) + [(0, texts[0])])
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole, blocks = (sorted(map(str, decontaminate.remove(docs, benchmark, block_words=n).collect())) for n in (10**6, 5))
+    assert whole == blocks
+    assert not any(x in " ".join(whole) for x in w[10:34])
+    assert "doc_id=3" not in " ".join(whole)
+
+
 def test_induced_sort_against_counting():
     rng = random.Random(5)
     for _ in range(300):
