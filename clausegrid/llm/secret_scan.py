@@ -11,7 +11,9 @@ least of their p-values, 1 at most, is the token's score: near 0 for words and c
 False discoveries are held by length: runs of letters alone, which are words, take the battery
 too, as decoys, read as base 36 numerals. In each length class, with the decoys of that length or less, the tokens at or above a score are accepted if, were all
 tokens like the decoys, at most ``rate`` of the accepted would be false. Counts of tokens and
-decoys by length and score cover the whole table.
+decoys by length and score cover the whole table. Where a class has fewer than ``SIMULATED`` decoys,
+as many simulated ones join them: letters drawn by their shares in English, of the class's least
+length, so a table without long words accepts random tokens too.
 
 Null counts as empty and has no spans. Offsets are code points, ends exclusive. Rows that repeat
 are answered each; other columns are ignored.
@@ -19,6 +21,7 @@ are answered each; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -40,6 +43,9 @@ _DIGIT, _LETTERS = common.byte_class(b"0123456789"), common.byte_class(b"ABCDEFG
 #: Shares of false spans that are accepted among the added ones.
 RATE = 0.05
 SCORE_BINS = 20
+SIMULATED = 2000
+#: Uses of the letters a to z in 10,000 of English text.
+_LETTER_USE = np.array([817, 149, 278, 425, 1270, 223, 202, 609, 697, 15, 77, 403, 241, 675, 751, 193, 10, 599, 633, 906, 276, 98, 236, 15, 197, 7])
 #: Length classes begin at these lengths.
 LENGTHS = np.array([20, 24, 32, 40, 56, 80, 128])
 
@@ -155,11 +161,21 @@ def _bin(score) -> np.ndarray:
     return np.minimum((np.asarray(score) * SCORE_BINS).astype(int), SCORE_BINS - 1)
 
 
+@functools.cache
+def simulated() -> np.ndarray:
+    """Counts of ``SIMULATED`` simulated decoys of each length class by score bin."""
+    rng, share = np.random.default_rng(5), _LETTER_USE / _LETTER_USE.sum()
+    scores = ([battery(x, 36) for x in rng.choice(26, (SIMULATED, n), p=share) + 10] for n in LENGTHS.tolist())  # letters are 10 to 35
+    return np.array([np.bincount(_bin(s), minlength=SCORE_BINS) for s in scores])
+
+
 def thresholds(tokens: np.ndarray, decoys: np.ndarray, rate: float = RATE) -> list[float]:
     """For each length class the least accepted score, above 1 if none; counts by length class and score bin."""
     out = []
-    for found, like in zip(tokens, decoys.cumsum(0)):  # longer words pass less often, so shorter decoys err on the safe side
-        at_least, false = found[::-1].cumsum()[::-1], (like[::-1].cumsum()[::-1] + 1) / (like.sum() + 1)
+    for found, like, drawn in zip(tokens, decoys.cumsum(0), simulated()):  # longer words pass less often, so shorter decoys err on the safe side
+        own = like[::-1].cumsum()[::-1] / max(like.sum(), 1)
+        like = like + drawn if like.sum() < SIMULATED else like
+        at_least, false = found[::-1].cumsum()[::-1], np.maximum(own, (like[::-1].cumsum()[::-1] + 1) / (like.sum() + 1))
         good = np.flatnonzero(found.sum() * false <= rate * np.maximum(at_least, 1))
         good = good[good >= 1]  # a score in the lowest bin rejects randomness
         out.append(good[0] / SCORE_BINS if len(good) and at_least[good[0]] else 2.0)

@@ -315,6 +315,18 @@ def test_secret_scan(spark):
     assert sum(added[100 + k] for k in range(0, 40, 2)) == 0
 
 
+def test_random_tokens_without_long_words(spark):
+    rng = random.Random(21)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(k, "kata lain " + "".join(rng.choice(base64) for _ in range(44)) + " akhir") for k in range(30)]
+    got = secret_scan.find(frame(spark, rows + [(50, "wxyz1234" * 6 + " bagian " + "x1" * 20), (51, None)])).collect()
+    assert sum(any(s.kind == 3 for s in r.spans) for r in got if r.doc_id is not None and r.doc_id < 30) >= 22
+    assert not any(r.spans for r in got if r.doc_id >= 50)
+    # Like words, false tokens do not pass.
+    worst = secret_scan.thresholds(secret_scan.simulated().astype(float), 0 * secret_scan.simulated())
+    assert worst == [2.0] * len(secret_scan.LENGTHS)
+
+
 def test_license_scan(spark):
     rows = [(1, "Isi biasa.\nLicensed under the Apache License, Version 2.0.\nLagi."), (2, "This work is licensed under the GNU General Public License, version 3."), (3, "Released under the MIT License."), (4, "Licensed under CC BY-NC 4.0."), (5, "the license of the work was under review by the public"), (6, None)]
     docs = frame(spark, rows)
