@@ -4,8 +4,7 @@ Tokens are lower-cased words, hashed to ``BUCKETS`` rows. A token's score is the
 use in toxic against other labelled documents, with a Dirichlet prior in proportion to its use in
 both; each document counts a token once, so that one that repeats itself does not set scores.
 Log-odds count as 0 where a likelihood-ratio test finds fewer than ``DEVIATIONS`` standard
-deviations, or where fewer than ``SUPPORT`` of the documents that the token leans to have it. A
-drift makes the score of ordinary text negative on average. In such a sequence
+deviations. A drift makes the score of ordinary text negative on average. In such a sequence
 the segments of maximal score stand out: a linear-time scan finds them all. The score of a
 document's best segment follows an extreme-value law in documents that are not toxic: with lambda
 the root of E[exp(lambda s)] = 1 under ordinary text, lambda times the score less the logarithm of
@@ -38,7 +37,6 @@ MAX_ROWS = 12_000
 PRIOR = 500.0
 DRIFT = 0.25
 DEVIATIONS = 5.0
-SUPPORT = 0.02
 SIGNIFICANT = 0.01
 WORD_BYTES = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 GUMBEL_MEAN = 0.5772156649015329
@@ -52,7 +50,7 @@ def token_rows(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, rows, first
 
 
-def log_odds(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int], prior: float = PRIOR, drift: float = DRIFT, deviations: float = DEVIATIONS, support: float = SUPPORT) -> np.ndarray:
+def log_odds(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int], prior: float = PRIOR, drift: float = DRIFT, deviations: float = DEVIATIONS) -> np.ndarray:
     """Scores by bucket from the numbers of documents that have it; sizes: all toxic and all other documents."""
     both = toxic + other
     alpha = prior * (both + 0.01) / (both.sum() + 0.01 * len(both))
@@ -60,8 +58,7 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, sizes: tuple[int, int], prior
     share = sizes[0] / sum(sizes)
     with np.errstate(divide="ignore", invalid="ignore"):
         test = 2 * (np.where(toxic > 0, toxic * np.log(toxic / (both * share)), 0) + np.where(other > 0, other * np.log(other / (both * (1 - share))), 0))
-    common_enough = np.where(found > 0, toxic >= support * sizes[0], other >= support * sizes[1])
-    return (np.where((test >= deviations**2) & common_enough, found, 0) - drift).astype(np.float32)
+    return (np.where(test >= deviations**2, found, 0) - drift).astype(np.float32)
 
 
 def decay(scores: np.ndarray, weights: np.ndarray) -> float:

@@ -378,6 +378,25 @@ def test_toxicity(spark):
     assert rows[0][1].encode()[start:stop] == b"idiot scum" and p < 0.01
 
 
+def test_toxic_terms_that_are_rare_each(spark):
+    import numpy as np
+
+    toxic, other = np.zeros(toxicity.BUCKETS), np.full(toxicity.BUCKETS, 5.0)
+    toxic[7], other[7] = 150, 0
+    assert toxicity.log_odds(toxic, other, (8000, 8000))[7] > 1
+    rng = random.Random(14)
+    words = ["".join(rng.choice("bcdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(200)]
+    terms = [f"zq{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(70)]  # each in 1.4 % of toxic documents
+    rows = [(k, prose(rng, words, 15) + (f" {rng.choice(terms)} " if k % 4 == 0 else " ") + prose(rng, words, 15), int(k % 4 == 0)) for k in range(6000)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score >= 0.5 for r in toxicity.predict(docs, toxicity.fit(docs, labels, language_id.remainder(F.col("doc_id"), 5) != 0)).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
+    recall = sum(got[i] for i, y in held if y) / sum(y for _, y in held)
+    assert not any(got[i] for i, y in held if not y)
+    assert recall >= 0.75  # terms in fewer than nine counted documents are not significant
+
+
 def test_segments_are_maximal():
     import numpy as np
 
