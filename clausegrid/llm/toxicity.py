@@ -10,6 +10,10 @@ document's best segment follows an extreme-value law in documents that are not t
 the root of E[exp(lambda s)] = 1 under ordinary text, lambda times the score less the logarithm of
 the number of words is Gumbel distributed, whatever the length. Its location and a logistic curve,
 both fitted on the labelled rows, turn it into p-values of passages and a document's probability.
+All maximal segments count: by the same law the number of segments above a score is Poisson, so the
+r best of a document are tested together by the r-th, for every r at the price of log(2) a step, and
+the best of these tests is the document's score. Its passages are the segments that are significant
+alone, and the r best where they are together.
 
 Learned from at most ``max_rows`` labelled documents of either label, chosen by a hash of their id:
 two thirds are counted, over their whole texts, and one third calibrates. Null and empty texts have no words and score as a document
@@ -91,13 +95,10 @@ def best_segments(scores: np.ndarray, first: np.ndarray) -> np.ndarray:
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score) of a sequence, in linear time."""
     found: list[list] = []  # start, end, sum before, sum after, number of the nearest earlier one with a lesser sum before
-    total = 0.0
-    for i, s in enumerate(scores.tolist()):
-        if s <= 0:
-            total += s
-            continue
-        new = [i, i + 1, total, total + s, -1]
-        total += s
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
+    above = np.flatnonzero(scores > 0)
+    for i, before, after in zip(above.tolist(), sums[above].tolist(), sums[above + 1].tolist()):
+        new = [i, i + 1, before, after, -1]
         while True:
             at = len(found) - 1
             while at >= 0 and found[at][2] >= new[2]:
@@ -126,6 +127,24 @@ class Model:
         """Of a best segment at least as good in a document that is not toxic."""
         return -np.expm1(-np.exp(-np.clip(z, -30, 700)))
 
+    def joint(self, z: np.ndarray) -> tuple[float, int]:
+        """Of a document's segments, best first: the best score of the r best together, as that of one segment, and r."""
+        z = z[: max(1, int((z > -3).sum()))]  # more than twenty such segments are expected below
+        if len(z) < 2:
+            return float(z[0]), 1
+        r, mean = np.arange(1, len(z) + 1), np.exp(-np.clip(z, -30, 700))
+        term, total, k = np.ones(len(z)), np.ones(len(z)), 0
+        while term.max() > 1e-12 * total.min():
+            k += 1
+            term = term * mean / (r + k)
+            total += term
+        tail = np.minimum(-r * z - np.cumsum(np.log(r)) - mean + np.log(total), -1e-12)  # log P(r segments or more)
+        alike = np.where(tail < -30, -tail, -np.log(-np.log1p(-np.exp(np.maximum(tail, -40)))))
+        alike[0] = z[0]
+        alike -= (r - 1) * np.log(2)
+        at = int(alike.argmax())
+        return float(alike[at]), at + 1
+
     def probability(self, z: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.minimum(z, 60) + self.base, -500, 500)))
 
@@ -155,13 +174,25 @@ def score(data: np.ndarray, offsets: np.ndarray, table: np.ndarray):
     return np.concatenate(best), np.concatenate(n)
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, model: Model, significant: float = SIGNIFICANT):
+    """Of each document: its score by all of its segments, and the byte spans and p-values of its significant passages."""
+    for i, j in common.blocks(offsets):
+        own = offsets[i : j + 1] - offsets[i]
+        starts, ends, rows, first = token_rows(data[offsets[i] : offsets[j]], own)
+        scores = model.scores[rows]
+        for k, (a, b) in enumerate(zip(first.tolist(), first[1:].tolist())):
+            found = sorted(segments(scores[a:b]), key=lambda x: -x[2])
+            z = model.normalised(np.array([x for *_, x in found] or [0.0]), np.array(b - a))
+            best, r = model.joint(z)
+            p = model.p_value(z)
+            n = max(int((p <= significant).sum()), r if 2 * model.p_value(np.array(best)) <= significant else 0)
+            yield best, sorted((int(starts[a + s] - own[k]), int(ends[a + e - 1] - own[k]), float(q)) for (s, e, _), q in zip(found[:n], p))
+
+
 def passages(text: str, model: Model, significant: float = SIGNIFICANT) -> list[tuple[int, int, float]]:
     """Byte spans and p-values of the significant toxic passages of one text."""
     data = np.frombuffer(text.encode(), np.uint8)
-    starts, ends, rows, _ = token_rows(data, np.array([0, len(data)]))
-    found = segments(model.scores[rows])
-    p = model.p_value(model.normalised(np.array([x for *_, x in found]), np.full(len(found), len(starts))))
-    return [(int(starts[a]), int(ends[b - 1]), float(q)) for (a, b, _), q in zip(found, p) if q <= significant]
+    return next(judge(data, np.array([0, len(data)]), model, significant))[1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model | None:
@@ -211,28 +242,43 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, max_rows: int = M
     if not (label == 0).any() or not (label == 1).any():
         return None
     model.location = float(z[label == 0].mean()) - GUMBEL_MEAN
+    whole = spark.sparkContext.broadcast(model)
+
+    def judged(batches):
+        for batch in batches:
+            z = [z for z, _ in judge(*common.utf8(batch.column("text")), whole.value)]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), batch.column("label")], ["z", "label"])
+
+    rows = sample.where(~counted).mapInArrow(common.tidy(judged), "z double, label int").toArrow().to_pandas().sort_values(["label", "z"])
+    z, label = rows.z.to_numpy(), rows.label.to_numpy().astype(float)
     weight = np.where(label == 1, sizes[1] / max(1, (label == 1).sum()), sizes[0] / max(1, (label == 0).sum()))
-    calibrate(model, z - model.location, label, weight)
+    calibrate(model, z, label, weight)
     return model
 
 
+PASSAGES = "array<struct<start:int,end:int,p_value:double>>"
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, score, p_value) of every row."""
+    """(doc_id, score, p_value, passages) of every row; passages are byte spans with p-values of their own."""
     rows = common.own_columns(docs, "doc_id", "text")
     if model is None:
-        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(1.0).alias("p_value"))
+        return rows.select("doc_id", F.lit(0.0).alias("score"), F.lit(1.0).alias("p_value"), F.expr(f"cast(array() as {PASSAGES})").alias("passages"))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p_value", pa.float64())]))
 
     def mapped(batches):
         for batch in batches:
-            best, n = score(*common.utf8(batch.column("text")), sent.value.scores)
-            z = sent.value.normalised(best, n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.probability(z)), pa.array(sent.value.p_value(z))], ["doc_id", "score", "p_value"])
+            found = list(judge(*common.utf8(batch.column("text")), sent.value))
+            z = np.array([z for z, _ in found])
+            p = np.minimum(1, 2 * sent.value.p_value(z))  # of all numbers of segments that were tested
+            spans = pa.array([[dict(zip(("start", "end", "p_value"), s)) for s in spans] for _, spans in found], kind)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sent.value.probability(z)), pa.array(p), spans], ["doc_id", "score", "p_value", "passages"])
 
-    return rows.mapInArrow(common.tidy(mapped), "doc_id bigint, score double, p_value double")
+    return rows.mapInArrow(common.tidy(mapped), f"doc_id bigint, score double, p_value double, passages {PASSAGES}")
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), remainder(F.col("doc_id"), 5) != 0)
-    return predict(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "p_value")
+    return predict(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "p_value", F.array_join(F.transform("passages", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("passages"))

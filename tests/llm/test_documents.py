@@ -397,6 +397,20 @@ def test_toxic_terms_that_are_rare_each(spark):
     assert recall >= 0.75  # terms in fewer than nine counted documents are not significant
 
 
+def test_several_moderate_passages_count_together():
+    import numpy as np
+
+    table = np.full(toxicity.BUCKETS, -0.25, np.float32)
+    mark = lambda w: int(toxicity.token_rows(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[2][0])
+    table[mark(b"idiot")] = 3.0
+    model = toxicity.Model(table, 1.0, -4.0)
+    text = lambda n: ("kata " * 40 + "idiot ") * n + "kata " * 41 * (12 - n)
+    raw = [text(n).encode() for n in (1, 12)]
+    (one, none), (many, all_of) = toxicity.judge(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]), model)
+    assert none == [] and many > one + 5
+    assert [raw[1][a:b] for a, b, _ in all_of] == [b"idiot"] * 12
+
+
 def test_segments_are_maximal():
     import numpy as np
 
