@@ -12,7 +12,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausegrid.checkpoints import checkpoint, shared_dir  # noqa: F401
@@ -28,6 +28,16 @@ def buckets(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named c0, c1, ... by place, as names that differ in case only cannot be told apart."""
+    return docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+
+
+def place(docs: DataFrame, name: str) -> str:
+    """What ``plain(docs)`` calls the first column of exactly that name."""
+    return f"c{docs.columns.index(name)}"
+
+
 def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
     """The wanted columns, by exact name; missing ones become nulls, all others (clashing or not) are left out.
 
@@ -35,7 +45,7 @@ def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     kinds = {"doc_id": "bigint", "item_id": "bigint"}
-    return docs.select(*(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in wanted))
+    return plain(docs).select(*((F.col(place(docs, c)) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in wanted))
 
 
 #: Seconds between two calls of the system to take freed memory back.
@@ -64,12 +74,24 @@ def tidy(run):
     return tidied
 
 
-def free(docs: DataFrame, name: str) -> str:
-    """A column name that ``docs`` does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
+def as_id(column) -> Column:
+    """A document's id as a number that is never null; a null id compares as the least number, which no document should have."""
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(-(1 << 63)))
+
+
+def text_key(column="text") -> Column:
+    """A 64-bit hash of a text; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
+
+
+def keep_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with all its columns, without the rows of ``gone`` (ident, text_key; distinct), and once each of those that repeat in both."""
+    out = plain(docs).withColumns({"ident": as_id(place(docs, "doc_id")), "text_key": text_key(place(docs, "text"))})
+    twice = checkpoint(out.groupBy("ident", "text_key").count().where("count > 1").select("ident", "text_key"))
+    out = out.join(gone, ["ident", "text_key"], "left_anti")
+    if not twice.isEmpty():
+        out = out.join(twice, ["ident", "text_key"], "left_anti").unionByName(out.join(twice, ["ident", "text_key"], "left_semi").dropDuplicates(["ident", "text_key"]))
+    return out.drop("ident", "text_key").toDF(*docs.columns)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
