@@ -13,11 +13,15 @@ found each; an item without an id counts as hit but is not listed. Rows that rep
 each. An empty benchmark hits nothing. Other columns pass through or are ignored.
 
 The automaton goes to the tasks, so the benchmark is split into blocks of at most ``block_words``
-words; each block is one pass over the documents, whose spans are joined by document.
+words (about 60 bytes each in a worker); each block is one pass over the documents, whose spans are joined by
+document. A text is hashed word by word as a whole; one of any length costs its own bytes several times.
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,75 +37,105 @@ WORD_BYTES = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, with the items of each window."""
+    """Suffix automaton of several word sequences, with the items of each window, in flat arrays.
+
+    A state's first move is in two arrays; all further ones are in one sorted list of (state, word).
+    """
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int = WINDOW):
         self.window = window
         self.number: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        self.link, self.length = array("i", [-1]), array("i", [0])
+        self.word, self.next = array("i", [-1]), array("i", [-1])
+        self.more: dict[int, dict[int, int]] = {}
+        self.edge = None
         sequences = []
         for item, text in items:
             low = common.LOWER[np.frombuffer(text, np.uint8)]
             starts, ends, _ = common.words(low, np.array([0, len(low)]), WORD_BYTES)
             raw = low.tobytes()
-            sequence = [self.number.setdefault(raw[s:e], len(self.number)) for s, e in zip(starts.tolist(), ends.tolist())]
+            sequence = array("i", [self.number.setdefault(raw[s:e], len(self.number)) for s, e in zip(starts.tolist(), ends.tolist())])
             if sequence:
                 sequences.append((item, sequence))
         for _, sequence in sequences:
             last = 0
             for word in sequence:
                 last = self._extend(last, word)
-        self.items_at: dict[int, set] = {}  # by the state of a whole window
-        self.short_at: dict[int, dict[int, set]] = {}  # by state, then by length
+        edges = np.array([(state << 32 | word, to) for state, moves in self.more.items() for word, to in moves.items()], np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        self.edge, self.edge_next = array("q", edges[:, 0].tobytes()), array("i", edges[:, 1].astype(np.int32).tobytes())
+        self.more = {}
+        windows = array("q")  # (state of a whole window, item)
+        self.short_at: dict[int, list] = {}  # by state: (length, item) of items that are one short window
         self.shortest = min([min(len(s), window) for _, s in sequences], default=window)
         for item, sequence in sequences:
             state, matched = 0, 0
             for word in sequence:
                 state, matched = self.step(state, matched, word)
-                if matched >= window:
-                    self.items_at.setdefault(self.at_length(state, window), set()).add(item)
+                if matched >= window and item is not None:
+                    windows.extend((self.at_length(state, window), item))
             if len(sequence) < window:
-                self.short_at.setdefault(self.at_length(state, len(sequence)), {}).setdefault(len(sequence), set()).add(item)
+                self.short_at.setdefault(self.at_length(state, len(sequence)), []).append((len(sequence), item))
+        pairs = np.unique(np.frombuffer(windows, np.int64).reshape(-1, 2), axis=0) if windows else np.zeros((0, 2), np.int64)
+        self.window_state, self.window_item = (array("q", np.ascontiguousarray(pairs[:, k]).tobytes()) for k in (0, 1))
         self.hashes = np.sort(np.array([common.hash_of(w) for w in self.number], np.uint64))
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
 
+    def move(self, state: int, word: int) -> int:
+        """The state after ``word``, or -1."""
+        if self.word[state] == word:
+            return self.next[state]
+        if self.edge is None:  # still being built
+            return self.more.get(state, {}).get(word, -1)
+        key = state << 32 | word
+        at = bisect_left(self.edge, key)
+        return self.edge_next[at] if at < len(self.edge) and self.edge[at] == key else -1
+
+    def _set(self, state: int, word: int, to: int) -> None:
+        if self.word[state] in (-1, word):
+            self.word[state], self.next[state] = word, to
+        else:
+            self.more.setdefault(state, {})[word] = to
+
     def _extend(self, last: int, word: int) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if word in nxt[last]:
-            old = nxt[last][word]
+        link, length = self.link, self.length
+        old = self.move(last, word)
+        if old >= 0:
             return old if length[old] == length[last] + 1 else self._clone(last, word, old)
-        new = self._state({}, 0, length[last] + 1)
+        new = self._state(0, length[last] + 1)
         at = last
-        while at >= 0 and word not in nxt[at]:
-            nxt[at][word] = new
+        while at >= 0 and (old := self.move(at, word)) < 0:
+            self._set(at, word, new)
             at = link[at]
         if at >= 0:
-            old = nxt[at][word]
             link[new] = old if length[old] == length[at] + 1 else self._clone(at, word, old)
         return new
 
-    def _state(self, moves: dict[int, int], link: int, length: int) -> int:
-        self.next.append(moves)
+    def _state(self, link: int, length: int) -> int:
         self.link.append(link)
         self.length.append(length)
-        return len(self.next) - 1
+        self.word.append(-1)
+        self.next.append(-1)
+        return len(self.link) - 1
 
     def _clone(self, at: int, word: int, old: int) -> int:
-        copy = self._state(dict(self.next[old]), self.link[old], self.length[at] + 1)
+        copy = self._state(self.link[old], self.length[at] + 1)
+        self.word[copy], self.next[copy] = self.word[old], self.next[old]
+        if old in self.more:
+            self.more[copy] = dict(self.more[old])
         self.link[old] = copy
-        while at >= 0 and self.next[at].get(word) == old:
-            self.next[at][word] = copy
+        while at >= 0 and self.move(at, word) == old:
+            self._set(at, word, copy)
             at = self.link[at]
         return copy
 
     def step(self, state: int, matched: int, word: int) -> tuple[int, int]:
         """The state and length of the longest match that ends with ``word``."""
-        while state and word not in self.next[state]:
+        while (to := self.move(state, word)) < 0 and state:
             state = self.link[state]
             matched = self.length[state]
-        return (self.next[state][word], matched + 1) if word in self.next[state] else (0, 0)
+        return (to, matched + 1) if to >= 0 else (0, 0)
 
     def at_length(self, state: int, n: int) -> int:
         """The state of the suffix of n words."""
@@ -109,6 +143,10 @@ class Automaton:
             state = self.link[state]
         return state
 
+    def items_of(self, state: int) -> array:
+        """The items of the window that ends in a state."""
+        return self.window_item[bisect_left(self.window_state, state) : bisect_right(self.window_state, state)]
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         out = self.maybe[(hashes >> np.uint64(48)).astype(np.int64)]
         at = np.flatnonzero(out)
@@ -130,9 +168,9 @@ class Automaton:
             if self.short_at:
                 at = state
                 while at > 0:
-                    for n, of in self.short_at.get(at, {}).items():
+                    for n, item in self.short_at.get(at, ()):
                         if n <= matched:
-                            items |= of
+                            items.add(item)
                             reach = max(reach, n)
                     at = self.link[at]
             if reach:
@@ -143,7 +181,7 @@ class Automaton:
                         start = min(start, spans.pop()[0])
                 spans.append((start, i + 1))
         for s in states:
-            items |= self.items_at[s]
+            items.update(self.items_of(s))
         return spans, items, longest
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
@@ -189,28 +227,17 @@ def _automata(benchmark: DataFrame, window: int, block_words: int):
     yield Automaton(block, window)
 
 
-def _merged(spans: list) -> list[list[int]]:
-    """Spans (first word, end word, first byte, end byte) in order; those that overlap or touch as one."""
-    out: list[list[int]] = []
-    for first, end, start, stop in sorted(map(list, spans)):
-        if out and out[-1][1] >= first:
-            out[-1][1], out[-1][3] = max(out[-1][1], end), max(out[-1][3], stop)
-        else:
-            out.append([first, end, start, stop])
-    return out
-
-
 SPANS = "array<struct<first:int,end:int,start:int,stop:int>>"
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(doc_id, text_key, n_words, spans, items, longest): hit words of each document and the items they are from."""
     spark = docs.sparkSession
-    texts = common.own_columns(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    texts = common.own_columns(docs, "doc_id", "text").select("doc_id", common.text_key().alias("text_key"), "text")
     schema = f"doc_id bigint, text_key bigint, n_words bigint, spans {SPANS}, items array<bigint>, longest int"
     kinds = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([(k, pa.int32()) for k in ("first", "end", "start", "stop")]))), ("items", pa.list_(pa.int64())), ("longest", pa.int32())])
 
-    def one_pass(automaton: Automaton) -> DataFrame:
+    def one_pass(automaton: Automaton, last: bool) -> DataFrame:
         sent = spark.sparkContext.broadcast(automaton)  # of block_words words at most
 
         def mapped(batches):
@@ -219,61 +246,76 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
                 columns = [batch.column("doc_id"), batch.column("text_key"), [n for n, *_ in found], [[dict(zip(("first", "end", "start", "stop"), s)) for s in spans] for _, spans, *_ in found], [sorted(x for x in items if x is not None) for _, _, items, _ in found], [longest for *_, longest in found]]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds.types)], schema=kinds)
 
-        return texts.mapInArrow(common.tidy(mapped), schema)
+        out = texts.mapInArrow(common.tidy(mapped), schema)
+        if not last:  # one block at a time is in memory
+            out = common.checkpoint(out)
+            sent.destroy()
+        return out
 
-    passes = [one_pass(a) for a in _automata(benchmark, window, block_words)]
-    out = passes[0]
-    if len(passes) > 1:
-        for more in passes[1:]:
-            out = out.unionByName(more)
+    # Of documents without a hit, the first block's row is enough.
+    automata, out, n_passes = _automata(benchmark, window, block_words), None, 0
+    this = next(automata)
+    while this is not None:
+        after = next(automata, None)
+        found = one_pass(this, last=after is None and not n_passes)
+        out = found if out is None else out.unionByName(found.where("size(spans) > 0 or longest > 0"))
+        this, n_passes = after, n_passes + 1
+    if n_passes > 1:
         merged = f"""aggregate(array_sort(flatten(collect_list(spans))), cast(array() as {SPANS}), (a, x) ->
             if(size(a) > 0 and element_at(a, -1).end >= x.first,
                concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(element_at(a, -1).end, x.end), 'start', element_at(a, -1).start, 'stop', greatest(element_at(a, -1).stop, x.stop)))),
                concat(a, array(x))))"""
-        out = out.groupBy("doc_id", "text_key").agg((F.count("*") / len(passes)).cast("int").alias("times"), F.max("n_words").alias("n_words"), F.expr(merged).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
-        out = out.withColumn("again", F.explode(F.sequence(F.lit(1), "times"))).drop("again", "times")
+        times = common.checkpoint(texts.groupBy("doc_id", "text_key").count().where("count > 1"))
+        out = out.groupBy("doc_id", "text_key").agg(F.max("n_words").alias("n_words"), F.expr(merged).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+        if not times.isEmpty():  # rows that repeat are answered each
+            again = times.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_text"), F.col("count").alias("_times"))
+            out = out.join(again, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_text")), "left").withColumn("_times", F.explode(F.sequence(F.lit(1), F.coalesce("_times", F.lit(1)).cast("int")))).drop("_doc", "_text", "_times")
     return out
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = MAX_COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` with hit spans cut from ``text``; documents with a larger share of hit words than ``max_coverage`` are dropped."""
-    names, schema = docs.columns, docs.schema
-    where = names.index("text")
-    sent = [docs.sparkSession.sparkContext.broadcast(a) for a in _automata(benchmark, window, block_words)]
-    held = len(names) if len(sent) > 1 else None  # spans of earlier blocks; the text stays whole up to the last one
-    if held:
-        docs = docs.withColumn(common.free(docs, "_spans"), F.expr("X''"))
-    for block in sent[:-1]:
-
-        def marked(batches, block=block):
-            for batch in batches:
-                spans = [np.array(s, np.int64).tobytes() for _, s, *_ in block.value.scan(*common.utf8(batch.column(where)))]
-                both = [a + b for a, b in zip(batch.column(held).to_pylist(), spans)]
-                yield batch.set_column(held, batch.schema.field(held), pa.array(both, batch.schema.field(held).type))
+    """``docs`` with hit spans cut from ``text``; documents with a larger share of hit words than ``max_coverage`` are dropped.
 
-        docs = docs.mapInArrow(common.tidy(marked), docs.schema)
+    Spans are those of the whole benchmark on the text as it came, whatever the blocks.
+    """
+    names, schema = docs.columns, docs.schema
+    where, width = names.index("text"), len(names)
+    automata = _automata(benchmark, window, block_words)
+    only, second = next(automata), next(automata, None)
+    sent = docs.sparkSession.sparkContext.broadcast(only if second is None else None)
+    if second is not None:  # the spans of all blocks first, then one join with the documents that have any
+        marks = find(docs, benchmark, window, block_words).where("size(spans) > 0").select(common.as_id("doc_id").alias("ident"), "text_key", "n_words", "spans").dropDuplicates(["ident", "text_key"])
+        keyed = common.plain(docs).withColumns({"ident": common.as_id(common.place(docs, "doc_id")), "text_key": common.text_key(common.place(docs, "text"))})
+        docs = keyed.join(marks, ["ident", "text_key"], "left").select(*keyed.columns[:width], "n_words", "spans")
+
+    def hits(batch):
+        """Of each row its number of words and its spans, as far as it has any."""
+        if sent.value is None:
+            for k, (n, spans) in enumerate(zip(batch.column("n_words").to_pylist(), batch.column("spans").to_pylist())):
+                if spans:
+                    yield k, n, [tuple(s.values()) for s in spans]
+        else:
+            yield from ((k, n, spans) for k, (n, spans, _, _) in enumerate(sent.value.scan(*common.utf8(batch.column(where)))) if spans)
 
     def mapped(batches):
         for batch in batches:
             column = batch.column(where)
             data, offsets = common.utf8(column)
             keep, changed = np.ones(batch.num_rows, bool), {}
-            for k, (n, spans, _, _) in enumerate(sent[-1].value.scan(data, offsets)):
-                if held:
-                    spans = _merged(spans + np.frombuffer(batch.column(held)[k].as_py(), np.int64).reshape(-1, 4).tolist())
-                if spans:
-                    keep[k] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n
-                    raw, at, parts = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
-                    for *_, start, stop in spans:
-                        parts.append(raw[at:start])
-                        at = stop
-                    changed[k] = b"".join([*parts, raw[at:]]).decode()
+            for k, n, spans in hits(batch):
+                keep[k] = sum(e - s for s, e, _, _ in spans) <= max_coverage * n
+                raw, at, parts = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
+                for *_, start, stop in spans:
+                    parts.append(raw[at:start])
+                    at = stop
+                changed[k] = b"".join([*parts, raw[at:]]).decode()
             if changed:
                 texts = column.to_pylist()
                 for k, text in changed.items():
                     texts[k] = text
                 batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
-            yield batch.select(range(len(names))).filter(pa.array(keep))
+            kept = batch.select(range(width)).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(kept.columns, names)
 
     return docs.mapInArrow(common.tidy(mapped), schema)
 
