@@ -2,12 +2,22 @@
 
 A document is its set of hashed word shingles in the order of the hashes. If two sets of similarity
 ``percent`` / 100 or more have at least c common shingles, then for any L up to c their prefixes of
-n - c + L shingles have L in common. Each document's prefix is lengthened to that of
-L = 1 + n // 10, so a pair has to share that many prefix shingles (the lesser L of the two) before
-it is verified.
-
-How prefix shingles are used depends on what their candidates would cost, that is, on how many
-prefixes hold them. Rare ones (``FREQUENT`` prefixes at most) are joined in full and matches are
+n - c + L shingles have L in common. A longer prefix costs postings but asks for more matches
+before a pair is verified, so each document has the L that is cheapest for it:
+
+1. The prefixes of L = 1 of all documents are dealt out by shingle, which gives each shingle's
+   frequency, over the whole table, and each document's estimated candidates: the sum S of how many others
+   share each of its p prefix shingles. By a longer prefix these are S (p + L - 1) / p postings, and
+   S (p + L - 1) / p / L documents at most that have L of them.
+2. ``level`` weighs postings, pairs and verifications, in microseconds, for L = 1 and for 5, 10 and
+   20 % of n, and takes the cheapest. Documents with few candidates keep L = 1 (they are
+   shallow, S is ``FREQUENT`` at most), the others are deep.
+3. A pair is a candidate if it shares the lesser of its two L. As prefixes only grow with L, both
+   prefixes hold those of the lesser L, so no pair is lost whose documents chose differently. Pairs
+   with a shallow document need one match: they come from step 1's postings. Deep documents
+   are read again, post their longer prefixes, and are counted against each other only.
+
+Among deep documents, rare shingles (in ``FREQUENT`` prefixes at most) are joined in full and matches are
 counted by pair; a pair is a candidate if its matches, and the frequent shingles that both may have
 in common beside them, can reach the lesser L. A document with so few frequent shingles that
 every partner shares a rare one with it needs no more. The others are also indexed by
@@ -17,15 +27,18 @@ Only components are asked for. Candidates by rare shingles are verified one part
 first, then wherever components still differ. Documents that are indexed by frequent shingles meet
 under leads: a shingle's lead is the document whose prefix its frequent shingles cover best, so the
 shingles of one group of near copies have one lead, and each document comes to a few leads
-instead of all its shingles. What comes to a lead is verified there by matrix products over whole
-sets, in blocks of ``BLOCK`` documents, which return a forest of links and no list of pairs.
+instead of all its shingles. Each is compared, in blocks of ``BLOCK`` documents by classes of size, with its lead and its block first,
+by matrix products over whole sets that return a forest of links and no list of pairs. Only what then is
+in another component than its lead meets the other blocks, and only those of its own or the next class of size: others are too
+long or too short. A lead with N documents, most of them like it, so costs N sets and no more.
 
 Sets are known by a 64-bit hash of all their shingles; documents of equal sets are one node, and
 copies cost a row each. Of n nodes, about n**2 / 2**65 pairs would be taken for equal by chance.
 
 Words are runs of bytes that are no white space, A-Z lower-cased. A document with fewer words than a
 shingle has its whole sequence as one; without words (or null) it has none and links with nothing.
-Rows that repeat are answered each; other columns are ignored.
+A very long text is one set like any other. Rows that repeat are answered each; a null doc_id
+is no component's least while another is there. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -43,14 +56,18 @@ from .components import components, forest
 WORDS, PERCENT = 4, 85
 #: A shingle in more prefixes than this is frequent.
 FREQUENT = 32
+#: L beyond 1 by level, in per cent of a set.
+LEVELS = (0, 5, 10, 20)
+#: Microseconds of a posting, of a pair of postings, of verifying a pair, of each shingle of one, and of reading a document again.
+POSTING, MATCH, VERIFY, PER_SHINGLE, AGAIN = 0.3, 0.2, 10.0, 0.02, 130.0
 WORD_BYTES = ~common.byte_class([0x20, *range(9, 14)])
 _STEPS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(64)]
 #: Kinds of rows that the first join returns.
-DOC, PAIR, INDEX = 0, 1, 2
+DOC, PAIR, INDEX, COST = 0, 1, 2, 3
 #: Candidate pairs that a task holds before it writes them.
 HELD = 2_000_000
 #: Documents of a lead that are compared at a time, and shingles of one matrix product.
-BLOCK, COLUMNS = 1024, 4096
+BLOCK, COLUMNS = 512, 4096
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, words: int = WORDS):
@@ -83,18 +100,31 @@ def required(n, percent: int = PERCENT):
     return (percent * n + 99) // 100
 
 
-def matches(n):
-    """L, the prefix matches that are asked for; grows with n and is at most ``required``."""
-    return 1 + n // 10
+def matches(n, level=0, percent: int = PERCENT):
+    """L at a level: the prefix matches that are asked for."""
+    return np.minimum(1 + n * np.asarray(LEVELS)[level] // 100, required(n, percent))
 
 
-def prefix(n, percent: int = PERCENT):
-    return n - required(n, percent) + matches(n)
+def prefix(n, level=0, percent: int = PERCENT):
+    return n - required(n, percent) + matches(n, level, percent)
 
 
 def least_matches(n, percent: int = PERCENT):
-    """L of the smallest set that a set of n can link with."""
-    return matches(required(n, percent))
+    """The least L of any pair of deep documents that a set of n is in: that of the smallest set it can link with, at the lowest level."""
+    return matches(required(n, percent), 1, percent)
+
+
+def level(n: Column, candidates: Column, percent: int = PERCENT) -> Column:
+    """The cheapest level of a set of n whose prefix of L = 1 has so many estimated candidates."""
+    c = F.floor((F.lit(percent) * n + 99) / 100)
+    costs = []
+    for k, share in enumerate(LEVELS):
+        match = F.least(1 + F.floor(n * share / 100), c)
+        whole = n - c + match
+        postings = candidates / (n - c + 1) * whole
+        costs.append(whole * POSTING + postings * MATCH + postings / match * (VERIFY + n * PER_SHINGLE) + (AGAIN if k else 0))
+    best = F.array_position(F.array(*costs), F.least(*costs)).cast("int") - 1
+    return F.when(candidates > FREQUENT, F.greatest(best, F.lit(1))).otherwise(best)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -110,8 +140,17 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-def _postings(column: int, ids: int, n_buckets: int, percent: int, words: int):
-    """Mapper: blobs of prefix shingles by bucket; shingles that are frequent in a batch alone are only named there."""
+def _level_of(marks: np.ndarray, node: int) -> int:
+    cell = (node & (1 << 64) - 1) >> 39
+    return int(marks[cell >> 5] >> np.uint64(2 * (cell & 31))) & 3
+
+
+def _postings(column: int, n_buckets: int, percent: int, words: int, levels=None):
+    """Mapper: blobs of prefix shingles by bucket; shingles that are frequent in a batch alone are only named there.
+
+    Without ``levels`` (a broadcast of two bits a cell of nodes) prefixes are those of L = 1 and rows are
+    passed on; with it only deep documents are read.
+    """
 
     def mapped(batches):
         turn = 0
@@ -121,11 +160,16 @@ def _postings(column: int, ids: int, n_buckets: int, percent: int, words: int):
                 sizes.append(len(found))
                 prints.append(fingerprint(found) if len(found) else 0)
                 if len(found) and prints[-1] not in seen:
-                    seen[prints[-1]] = len(found)
-                    parts.append(found[: prefix(len(found), percent)].copy())
-            rows = [(turn % n_buckets, DOC, _pack(np.asarray(batch.column(ids).fill_null(0)), np.asarray(batch.column(ids).is_valid()).astype(np.uint8), np.array(sizes, np.int64), np.array(prints, np.int64)))]
+                    deep = 0 if levels is None else _level_of(levels.value, prints[-1])
+                    if levels is None or deep:
+                        seen[prints[-1]] = len(found), deep
+                        parts.append(found[: prefix(len(found), deep, percent)].copy())
+            rows = []
+            if levels is None:
+                ids = batch.column("doc_id")
+                rows.append((turn % n_buckets, DOC, _pack(np.asarray(ids.fill_null(0)), np.asarray(ids.is_valid()).astype(np.uint8), np.array(sizes, np.int64), np.array(prints, np.int64), np.asarray(batch.column("text_key")))))
             if parts:
-                node, size = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32)
+                node, (size, deep) = np.array(list(seen), np.int64), np.array(list(seen.values()), np.int32).T
                 token, of = np.concatenate(parts), np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
                 order = np.argsort(token, kind="stable")
                 token, of = token[order], of[order]
@@ -133,7 +177,11 @@ def _postings(column: int, ids: int, n_buckets: int, percent: int, words: int):
                 count = np.diff(np.r_[heads, len(token)])
                 hot = np.repeat(count > FREQUENT, count)
                 if hot.any():
-                    rows.append((turn % n_buckets, INDEX, _pack(node[of[hot]], size[of[hot]].astype(np.int32), token[hot])))
+                    if levels is None:
+                        used, times = np.unique(of[hot], return_counts=True)
+                        rows.append((turn % n_buckets, COST, _pack(node[used], size[used], times)))
+                    else:
+                        rows.append((turn % n_buckets, INDEX, _pack(node[of[hot]], size[of[hot]], deep[of[hot]], token[hot])))
                 named = token[heads[count > FREQUENT]]
                 token, of = token[~hot], of[~hot]
                 home, named_home = (((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(n_buckets) for x in (token, named))
@@ -145,7 +193,7 @@ def _postings(column: int, ids: int, n_buckets: int, percent: int, words: int):
                     hot_own = named[named_home == b]
                     if len(own) or len(hot_own):
                         used, times = np.unique(of_own, return_counts=True)
-                        rows.append((b, PAIR, _pack(node[used], size[used], times.astype(np.int32), own, hot_own)))
+                        rows.append((b, PAIR, _pack(node[used], size[used], deep[used], times.astype(np.int32), own, hot_own)))
             turn += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "blob"])
 
@@ -160,6 +208,67 @@ def _joined(kind: int, a, b, n_a, n_b, times) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), a if isinstance(a, pa.Array) else pa.array(a, pa.int64()), *(pa.array(x, pa.int64()) for x in (b, n_a, n_b, times))], schema=_JOINED)
 
 
+def _bucket(batches: Iterator[pa.RecordBatch], passed):
+    """The postings of one bucket that share a shingle (token, node, size, level; by token and node), where each shingle begins, how many nodes have it, and whether it was frequent in a batch. ``passed`` takes the other rows."""
+    node, size, deep, token, named = [], [], [], [], []
+    for batch in batches:
+        for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
+            blob = blob.as_buffer()
+            if kind != PAIR:
+                passed(kind, blob)
+                continue
+            of, n, at, times, tokens, hot = _unpack(blob, np.int64, np.int32, np.int32, np.int32, np.uint64, np.uint64)
+            node.append(np.repeat(of, times))
+            size.append(np.repeat(n, times))
+            deep.append(np.repeat(at, times))
+            token.append(tokens)
+            named.append(hot)
+    if not node:
+        none = np.zeros(0, np.int64)
+        return none.view(np.uint64), none, none, none, none, none, none.astype(bool)
+    token, node, size, deep = (np.concatenate(x) for x in (token, node, size, deep))
+    order = np.argsort(token, kind="stable")
+    token = token[order]
+    many = np.zeros(len(token), bool)
+    many[1:] = token[1:] == token[:-1]
+    many[:-1] |= many[1:]
+    hot = np.unique(np.concatenate(named))
+    if len(hot):
+        many |= hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
+    order, token = order[many], token[many]  # shingles of one prefix alone match nothing
+    node, size, deep = node[order], size[order], deep[order]
+    order = np.lexsort((node, token))
+    token, node, size, deep = token[order], node[order], size[order], deep[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
+    token, node, size, deep = token[new], node[new], size[new], deep[new]  # copies in several batches
+    heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[heads, len(token)])
+    known = hot[np.minimum(np.searchsorted(hot, token[heads]), len(hot) - 1)] == token[heads] if len(hot) else np.zeros(len(heads), bool)
+    return token, node, size, deep, heads, count, known
+
+
+def _count_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reducer of prefixes of L = 1: each node's estimated candidates by this bucket's shingles, and the postings of shingles that shallow documents may share."""
+    out = []
+
+    def passed(kind, blob):
+        if kind == DOC:
+            ids, valid, sizes, prints, keys = _unpack(blob, np.int64, np.uint8, np.int64, np.int64, np.int64)
+            out.append(_joined(DOC, pa.array(ids, mask=valid == 0), prints, sizes, keys, sizes))
+        else:
+            of, n, times = _unpack(blob, np.int64, np.int32, np.int64)
+            out.append(_joined(COST, of, of, n, n, times * (FREQUENT + 1)))
+
+    token, node, size, _, heads, count, known = _bucket(batches, passed)
+    yield from out
+    if len(token):
+        others = np.repeat(count - 1 + known * (FREQUENT + 1), count)
+        used, first, back = np.unique(node, return_index=True, return_inverse=True)
+        yield _joined(COST, used, used, size[first], size[first], np.bincount(back, others).astype(np.int64))
+        low = others <= FREQUENT
+        yield _joined(PAIR, node[low], token[low].view(np.int64), size[low], size[low], others[low])
+
+
 def _sum_pairs(a, b, n_a, n_b, times):
     order = np.lexsort((b, a))
     a, b, n_a, n_b, times = (x[order] for x in (a, b, n_a, n_b, times))
@@ -167,8 +276,8 @@ def _sum_pairs(a, b, n_a, n_b, times):
     return a[heads], b[heads], n_a[heads], n_b[heads], np.add.reduceat(times, heads) if len(heads) else times
 
 
-def _pairs_of(token, node, size, percent: int):
-    """Candidate pairs (a < b) of rows with one token. Rows are sorted by token."""
+def _pairs_of(token, node, size, need, percent: int):
+    """Candidate pairs (a < b), each with the matches it needs, of rows with one token. Rows are sorted by token."""
     held, n = [], 0
     live = np.arange(len(token))
     step = 1
@@ -180,7 +289,7 @@ def _pairs_of(token, node, size, percent: int):
         i, j = i[good], j[good]
         swap = node[i] > node[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        held.append((node[i], node[j], size[i].astype(np.int64), size[j].astype(np.int64), np.ones(len(i), np.int64)))
+        held.append((node[i], node[j], need[i].astype(np.int64), need[j].astype(np.int64), np.ones(len(i), np.int64)))
         n += len(i)
         if n >= HELD:
             held = [_sum_pairs(*map(np.concatenate, zip(*held)))]
@@ -193,50 +302,21 @@ def _pairs_of(token, node, size, percent: int):
 
 
 def _join_bucket(percent: int):
-    """Reducer: joins the postings of one bucket of shingles; passes the rest on as rows."""
+    """Reducer: joins the postings of one bucket of shingles of deep documents; passes the rest on as rows."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, size, token, named = [], [], [], []
-        for batch in batches:
-            for kind, blob in zip(batch.column("kind").to_pylist(), batch.column("blob")):
-                blob = blob.as_buffer()
-                if kind == DOC:
-                    ids, valid, sizes, prints = _unpack(blob, np.int64, np.uint8, np.int64, np.int64)
-                    yield _joined(DOC, pa.array(ids, mask=valid == 0), prints, sizes, sizes, sizes)
-                elif kind == INDEX:
-                    of, n, tokens = _unpack(blob, np.int64, np.int32, np.uint64)
-                    yield _joined(INDEX, of, tokens.view(np.int64), n, n, n)
-                else:
-                    of, n, times, tokens, hot = _unpack(blob, np.int64, np.int32, np.int32, np.uint64, np.uint64)
-                    node.append(np.repeat(of, times))
-                    size.append(np.repeat(n, times))
-                    token.append(tokens)
-                    named.append(hot)
-        if not node:
-            return
-        token, node, size = np.concatenate(token), np.concatenate(node), np.concatenate(size)
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        many = np.zeros(len(token), bool)
-        many[1:] = token[1:] == token[:-1]
-        many[:-1] |= many[1:]
-        hot = np.unique(np.concatenate(named))
-        if len(hot):
-            many |= hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
-        order, token = order[many], token[many]  # shingles of one prefix alone match nothing
-        node, size = node[order], size[order]
-        order = np.lexsort((node, token))
-        token, node, size = token[order], node[order], size[order]
-        new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(token) else np.zeros(0, bool)
-        token, node, size = token[new], node[new], size[new]  # copies in several batches
-        heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
-        count = np.diff(np.r_[heads, len(token)])
-        frequent = count > FREQUENT
-        if len(hot):
-            frequent |= hot[np.minimum(np.searchsorted(hot, token[heads]), len(hot) - 1)] == token[heads]
-        frequent = np.repeat(frequent, count)
-        yield _joined(INDEX, node[frequent], token[frequent].view(np.int64), size[frequent], size[frequent], size[frequent])
-        for found in _pairs_of(token[~frequent], node[~frequent], size[~frequent], percent):
+        out = []
+
+        def passed(_, blob):
+            of, n, at, tokens = _unpack(blob, np.int64, np.int32, np.int32, np.uint64)
+            out.append(_joined(INDEX, of, tokens.view(np.int64), n, at, n))
+
+        token, node, size, deep, heads, count, known = _bucket(batches, passed)
+        yield from out
+        frequent = np.repeat((count > FREQUENT) | known, count)
+        yield _joined(INDEX, node[frequent], token[frequent].view(np.int64), size[frequent], deep[frequent], size[frequent])
+        rare = ~frequent
+        for found in _pairs_of(token[rare], node[rare], size[rare], matches(size[rare], deep[rare], percent), percent):
             yield _joined(PAIR, *found)
 
     return reduced
@@ -265,7 +345,7 @@ def _links(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int)
 
 
 def _under_lead(percent: int):
-    """Reducer: links among the documents of one lead and two blocks (or one), as a forest."""
+    """Reducer: links among the documents of one group, or of those of its first list with those of its second, as a forest."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes: dict[bool, list] = {False: [], True: []}
@@ -285,6 +365,33 @@ def _under_lead(percent: int):
     return reduced
 
 
+def _lead_links(under: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all similar documents under each lead; ``under`` is (lead, node, n), distinct."""
+    share = (np.log(100 / percent) if percent < 100 else 1e-9) * (1 + 1e-9)
+    # Sizes of two classes that are not next to each other differ by more than ``percent`` allows.
+    placed = under.withColumn("class", F.floor(F.log("n") / F.lit(float(share))).cast("long"))
+    blocks_of = placed.groupBy("lead", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = common.checkpoint(placed.join(blocks_of, ["lead", "class"]).select("lead", "class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node"))
+    cells = common.checkpoint(placed.select("lead", "class", "block").distinct())
+    by = ["lead", "class", "block"]
+    both = placed.select(*by, "node").unionByName(cells.select(*by, F.col("lead").alias("node"))).distinct().withColumn("second", F.lit(False))
+    links = common.checkpoint(both.join(sets, "node").groupBy(*by).applyInArrow(common.tidy(_under_lead(percent)), "a bigint, b bigint"))
+    group = components(links)
+    label = lambda side: group.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+    left = placed.join(label("node"), "node", "left").join(label("lead"), "lead", "left").where(F.coalesce("of_node", "node") != F.coalesce("of_lead", "lead")).select(*by, "node")
+    left = common.checkpoint(left)
+    if left.isEmpty():
+        return links
+    chunks_of = left.groupBy("lead", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    probes = left.join(chunks_of, ["lead", "class"]).select("lead", F.col("class").alias("of"), F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int").alias("chunk"), "node")
+    probes = common.checkpoint(probes)
+    met = probes.select("lead", "of", "chunk").distinct().join(cells, "lead").where(F.abs(F.col("of") - F.col("class")) <= 1)
+    met = common.checkpoint(met)
+    key = ["lead", "of", "chunk", "class", "block"]
+    rows = placed.join(met, by).select(*key, "node", F.lit(True).alias("second")).unionByName(probes.join(met, ["lead", "of", "chunk"]).select(*key, "node", F.lit(False).alias("second")))
+    return links.unionByName(common.checkpoint(rows.join(sets, "node").groupBy(*key).applyInArrow(common.tidy(_under_lead(percent)), "a bigint, b bigint")))
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, found): the whole shingle sets of the wanted nodes."""
 
@@ -314,64 +421,109 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(common.tidy(mapped), "a bigint, b bigint")
 
 
-def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: the least doc_id that its links reach."""
-    docs = common.own_columns(docs, "doc_id", "text")
-    n_buckets = common.buckets(docs)
-    blobs = docs.mapInArrow(common.tidy(_postings(1, 0, n_buckets, percent, words)), "bucket int, kind int, blob binary")
-    reducer = _join_bucket(percent)
-    joined = common.checkpoint(blobs.groupBy("bucket").applyInArrow(common.tidy(reducer), _JOINED_DDL))
-    found = joined.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n_a").alias("n_shingles"), F.col("b").alias("node"))
+def _texts_of(docs: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the text of a wanted node, one text a node, and a few others; sifted in the JVM."""
+    wanted = found.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key")).select("text_key")
+    return common.reduce_to(docs, "text_key", common.checkpoint(wanted.distinct()))
+
+
+def _deep_pairs(docs: DataFrame, deep: DataFrame, n_buckets: int, percent: int, words: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b, times) among deep documents by rare shingles, and (lead, node, n) of those that are indexed by frequent ones."""
+    # Two bits a cell; nodes that share one have the same level, the bits of both.
+    got = deep.select(F.shiftrightunsigned("node", 44).alias("hi"), F.expr("shiftleft(cast(level as bigint), cast(2 * (shiftrightunsigned(node, 39) & 31) as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toArrow()  # 2**20 rows at most
+    marks = np.zeros(1 << 20, np.uint64)
+    marks[got.column("hi").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+    levels = docs.sparkSession.sparkContext.broadcast(marks)
+    blobs = docs.select("text").mapInArrow(common.tidy(_postings(0, n_buckets, percent, words, levels)), "bucket int, kind int, blob binary")
+    joined = common.checkpoint(blobs.groupBy("bucket").applyInArrow(common.tidy(_join_bucket(percent)), _JOINED_DDL))
 
     # What each document's prefix has of frequent shingles, and by how many of them, the less frequent first, it is indexed.
     frequent = joined.where(F.col("kind") == INDEX).select(F.col("a").alias("node"), F.col("b").alias("token"), F.col("n_a").alias("n")).distinct()
-    limit = lambda n: 1 + F.floor(F.floor((F.lit(percent) * n + 99) / 100) / 10)  # noqa: E731  least_matches
+    c = lambda n: F.floor((F.lit(percent) * n + 99) / 100)  # noqa: E731  required
+    limit = F.least(1 + F.floor(c(F.col("n")) * LEVELS[1] / 100), c(c(F.col("n"))))  # least_matches
     held = common.checkpoint(frequent.groupBy("node", "n").agg(F.count("*").alias("k")))
-    deep = held.where(F.col("k") >= limit(F.col("n"))).select("node", "k", (F.col("k") - limit(F.col("n")) + 1).alias("q"), (F.col("k") / (F.col("n") - F.floor((F.lit(percent) * F.col("n") + 99) / 100) + 1 + F.floor(F.col("n") / 10))).alias("cover"))
-    of_deep = common.checkpoint(frequent.join(deep, "node"))
-    used = common.checkpoint(of_deep.groupBy("token").agg(F.count("*").alias("df")))
+    dense = held.where(F.col("k") >= limit).select("node", "k", (F.col("k") - limit + 1).alias("q"), (F.col("k") / F.col("n")).alias("cover"))
+    of_dense = common.checkpoint(frequent.join(dense, "node"))
+    used = common.checkpoint(of_dense.groupBy("token").agg(F.count("*").alias("df")))
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "token"))  # over one document's prefix
-    index = common.checkpoint(common.join_known(of_deep, used, "token", "df").withColumn("rank", rank).where("rank <= q").select("token", "node", "cover", "k"))
+    index = common.checkpoint(common.join_known(of_dense, used, "token", "df").withColumn("rank", rank).where("rank <= q").select("token", "node", "n", "cover", "k"))
     leads = index.groupBy("token").agg(F.max(F.struct("cover", "k", "node")).alias("x"), F.count("*").alias("df")).select("token", F.col("x.node").alias("lead"), "df")
-    under = common.checkpoint(common.join_known(index, common.checkpoint(leads), "token", "df").select("lead", "node").distinct())
+    under = common.checkpoint(common.join_known(index, common.checkpoint(leads), "token", "df").select("lead", "node", "n").distinct())
 
     # Pairs by rare shingles; enough matches for the lesser L, with those that frequent shingles may add.
     pairs = joined.where(F.col("kind") == PAIR).groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("times").alias("times"))
     k_of = lambda side: held.select(F.col("node").alias(side), F.col("k").alias(f"k_{side}"))
     pairs = pairs.join(k_of("a"), "a", "left").join(k_of("b"), "b", "left")
-    enough = F.col("times") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= 1 + F.floor(F.least("n_a", "n_b") / 10)
-    pairs = common.checkpoint(pairs.where(enough).select("a", "b", "times"))
+    enough = F.col("times") + F.least(F.coalesce("k_a", F.lit(0)), F.coalesce("k_b", F.lit(0))) >= F.least("n_a", "n_b")
+    return pairs.where(enough).select("a", "b", "times"), under
+
+
+def linked(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, keep_key) of every row; keep_key is the text_key of the component's first row, by (doc_id, text_key)."""
+    docs = common.own_columns(docs, "doc_id", "text").withColumn("text_key", common.text_key())
+    n_buckets = common.buckets(docs)
+    blobs = docs.mapInArrow(common.tidy(_postings(1, n_buckets, percent, words)), "bucket int, kind int, blob binary")
+    counted = common.checkpoint(blobs.groupBy("bucket").applyInArrow(common.tidy(_count_bucket), _JOINED_DDL))
+    found = counted.where(F.col("kind") == DOC).select(F.col("a").alias("doc_id"), F.col("n_b").alias("text_key"), F.col("n_a").alias("n_shingles"), F.col("b").alias("node"))
+    cost = counted.where(F.col("kind") == COST).groupBy(F.col("a").alias("node")).agg(F.first("n_a").alias("n"), F.sum("times").alias("candidates"))
+    deep = common.checkpoint(cost.select("node", level(F.col("n"), F.col("candidates"), percent).alias("level")).where("level > 0"))
+
+    # Pairs with a shallow document share a shingle that no more than FREQUENT others have.
+    postings = counted.where(F.col("kind") == PAIR).select(F.col("a").alias("node"), F.col("b").alias("token"), F.col("n_a").alias("n"))
+    postings = common.checkpoint(postings.join(deep.select("node", F.lit(True).alias("deep")), "node", "left").select("node", "token", "n", F.coalesce("deep", F.lit(False)).alias("deep")))
+    some = postings.where("not deep").select("token").distinct()
+    postings = postings.join(some, "token", "left_semi")
+    left, right = (postings.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "deep"))) for side in "ab")
+    alike = (F.col("node_a") < F.col("node_b")) & ~(F.col("deep_a") & F.col("deep_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = left.join(right, "token").where(alike).groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("times"))
+    under = None
+    if not deep.isEmpty():
+        more, under = _deep_pairs(_texts_of(docs, found, deep.select("node")), deep, n_buckets, percent, words)
+        pairs = pairs.unionByName(more)
+    pairs = common.checkpoint(pairs)
 
     # The sets of all that may have to be verified, once.
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(under.select("node")).distinct()
-    sets = common.checkpoint(_sets(docs, common.checkpoint(nodes), words))
-    in_blocks = under.join(under.groupBy("lead").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    in_blocks = in_blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("lead", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).alias("second"))
-    links = common.checkpoint(in_blocks.join(sets, "node").groupBy("lead", "x", "y").applyInArrow(common.tidy(_under_lead(percent)), "a bigint, b bigint"))
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    if under is not None:
+        nodes = nodes.unionByName(under.select("node"))
+    nodes = common.checkpoint(nodes.distinct())
+    sets = common.checkpoint(_sets(_texts_of(docs, found, nodes), nodes, words))
 
     # One partner for each node by rare shingles, the one it shares most with; then all whose components still differ.
     ends = pairs.select("a", "b", "times", F.col("a").alias("node")).unionByName(pairs.select("a", "b", "times", F.col("b").alias("node")))
     first = common.checkpoint(ends.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("times", "a", "b")).alias("x")).select("x.a", "x.b").distinct())
-    links = common.checkpoint(links.unionByName(_verify(first, sets, percent)))
+    links = _verify(first, sets, percent)
+    if under is not None:
+        links = links.unionByName(_lead_links(under, sets, percent))
+    links = common.checkpoint(links)
     group = components(links)
     in_group = lambda side: group.select(F.col("node").alias(side), F.col("component").alias(f"g_{side}"))
     rest = pairs.select("a", "b").join(first, ["a", "b"], "left_anti").join(in_group("a"), "a", "left").join(in_group("b"), "b", "left")
-    rest = rest.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).select("a", "b")
+    rest = rest.where(F.coalesce("g_a", "a") != F.coalesce("g_b", "b")).select("a", "b").distinct()
     more = common.checkpoint(_verify(rest, sets, percent))
     if not more.isEmpty():
         group = components(links.unionByName(more))
 
-    by_node = common.checkpoint(found.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).join(group, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least", "rows"))
-    least = by_node.groupBy("component").agg(F.min("least").alias("component_id"))
-    answer = by_node.join(least, "component").select("node", "component_id", "rows")
-    linked = common.join_known(found.where("n_shingles > 0"), answer, "node", "rows").select("doc_id", "n_shingles", "component_id")
-    return linked.unionByName(found.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("least")
+    by_node = common.checkpoint(found.where("n_shingles > 0").groupBy("node").agg(least, F.count("*").alias("rows")).join(group, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "least", "rows"))
+    of_component = common.checkpoint(by_node.groupBy("component").agg(F.min("least").alias("first"), F.count("*").alias("nodes")))
+    answer = common.join_known(by_node, of_component, "component", "nodes").select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_key").alias("keep_key"), "rows")
+    answered = common.join_known(found.where("n_shingles > 0"), common.checkpoint(answer), "node", "rows").select("doc_id", "text_key", "n_shingles", "component_id", "keep_key")
+    return answered.unionByName(found.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"), F.col("text_key").alias("keep_key")))
+
+
+def similar(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: the least doc_id that its links reach."""
+    return linked(docs, percent, words).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``docs`` with all their columns, one document of each component: the one with the least doc_id."""
-    gone = similar(docs, percent, words).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with all their columns, one row of each component: the first by (doc_id, hash of the text), null ids last, and one of those that repeat it.
+
+    Documents without words are no copies of each other, so all different rows of them stay.
+    """
+    gone = linked(docs, percent, words).where(~(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("keep_key"))))
+    return common.keep_rows(docs, gone.select(common.as_id("doc_id").alias("ident"), "text_key").distinct())
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:
