@@ -146,8 +146,8 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     return distance(a, b, most) <= most
 
 
-def _row_key():
-    return F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+def _row_key(doc_id, text):
+    return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 
 def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """(row_key, numbers): the numbers of the lines to remove from each row that loses any."""
-    docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key())
+    docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     n_buckets = common.buckets(docs)
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
     occurrences = common.checkpoint(_occurrences(docs))
@@ -286,14 +286,14 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
 
 def drop_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all their columns and texts without the removed lines, and ``n_lines`` and ``n_removed``."""
-    row, lost = common.free(docs, "_row"), common.free(docs, "_lost")
-    gone = removed(docs, bits, similarity).select(F.col("row_key").alias(row), F.col("numbers").alias(lost))
-    keyed = docs.withColumn(row, F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.col("doc_id").isNull(), F.coalesce(F.col("text"), F.lit(""))))
-    joined = keyed.join(gone, row, "left")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(lost, i)), "\n")
-    text = F.when(F.col(lost).isNull(), F.col("text")).otherwise(kept)
-    counts = {"n_lines": F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"), "n_removed": F.greatest(F.coalesce(F.size(lost), F.lit(0)), F.lit(0)).cast("long")}
-    return joined.select(*((text if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns if c not in counts), *(v.alias(k) for k, v in counts.items()))
+    gone = removed(docs, bits, similarity).select("row_key", F.col("numbers").alias("lost"))
+    keyed, text = common.plain(docs), F.col(common.place(docs, "text"))
+    joined = keyed.withColumn("row_key", _row_key(F.col(common.place(docs, "doc_id")).cast("bigint"), text)).join(gone, "row_key", "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lost", i)), "\n")
+    counts = {"n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("lost"), F.lit(0)), F.lit(0)).cast("long")}
+    names = [(c, k) for c, k in zip(docs.columns, keyed.columns) if c.lower() not in counts]
+    cut = F.when(F.col("lost").isNull(), text).otherwise(kept)
+    return joined.select(*((cut if k == common.place(docs, "text") else F.col(k)).alias(k) for _, k in names), *counts.values()).toDF(*(c for c, _ in names), *counts)
 
 
 def op9_fuzzy_lines(spark, sf_dir: str) -> DataFrame:
