@@ -369,22 +369,24 @@ def _lead_links(under: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect all similar documents under each lead; ``under`` is (lead, node, n), distinct."""
     share = (np.log(100 / percent) if percent < 100 else 1e-9) * (1 + 1e-9)
     # Sizes of two classes that are not next to each other differ by more than ``percent`` allows.
-    placed = under.withColumn("class", F.floor(F.log("n") / F.lit(float(share))).cast("long"))
-    blocks_of = placed.groupBy("lead", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = common.checkpoint(placed.join(blocks_of, ["lead", "class"]).select("lead", "class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node"))
+    placed = under.select("lead", "node", F.struct("lead", F.floor(F.log("n") / F.lit(float(share))).cast("long").alias("class")).alias("of"))
+    size = placed.groupBy("of").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    placed = common.join_known(placed, common.checkpoint(size), "of", "rows")
+    placed = common.checkpoint(placed.select("lead", F.col("of.class").alias("class"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "node"))
     cells = common.checkpoint(placed.select("lead", "class", "block").distinct())
     by = ["lead", "class", "block"]
     both = placed.select(*by, "node").unionByName(cells.select(*by, F.col("lead").alias("node"))).distinct().withColumn("second", F.lit(False))
     links = common.checkpoint(both.join(sets, "node").groupBy(*by).applyInArrow(common.tidy(_under_lead(percent)), "a bigint, b bigint"))
     group = components(links)
-    label = lambda side: group.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
-    left = placed.join(label("node"), "node", "left").join(label("lead"), "lead", "left").where(F.coalesce("of_node", "node") != F.coalesce("of_lead", "lead")).select(*by, "node")
+    homes = placed.groupBy("lead").agg(F.count("*").alias("rows")).join(group.select(F.col("node").alias("lead"), F.col("component").alias("home")), "lead", "left")
+    left = common.join_known(placed.join(group, "node", "left"), common.checkpoint(homes), "lead", "rows")
+    left = left.where(F.coalesce("component", "node") != F.coalesce("home", "lead")).select("lead", "node", F.struct("lead", "class").alias("of"))
     left = common.checkpoint(left)
     if left.isEmpty():
         return links
-    chunks_of = left.groupBy("lead", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    probes = left.join(chunks_of, ["lead", "class"]).select("lead", F.col("class").alias("of"), F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int").alias("chunk"), "node")
-    probes = common.checkpoint(probes)
+    size = left.groupBy("of").agg(F.count("*").alias("rows")).withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int"))
+    probes = common.join_known(left, common.checkpoint(size), "of", "rows")
+    probes = common.checkpoint(probes.select("lead", F.col("of.class").alias("of"), F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int").alias("chunk"), "node"))
     met = probes.select("lead", "of", "chunk").distinct().join(cells, "lead").where(F.abs(F.col("of") - F.col("class")) <= 1)
     met = common.checkpoint(met)
     key = ["lead", "of", "chunk", "class", "block"]
