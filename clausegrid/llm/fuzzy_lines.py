@@ -2,21 +2,27 @@
 
 A line is what stands between newlines; its normal form is its words (digits 0-9 as 0, A-Z
 lower-cased, bytes from 0x80), joined by single spaces. Lines without words are left alone. Lines
-of equal normal form are one node. Two nodes link if their 64-bit SimHashes over words differ in at
-most ``BITS`` bits and their normal forms have an edit similarity (1 - distance / longer length) of
-``SIMILARITY`` or more. Of each connected group of lines the first occurrence by (doc_id, line
-number) stays, all others are removed.
-
-With b blocks of bits, two SimHashes within ``BITS`` bits agree on b - BITS blocks at least, so all
-are found by joining on every choice of b - BITS blocks. b grows with the number of lines, which
-keeps the lines of a key few and changes no result.
+of equal normal form are one node. A line has a 64-bit SimHash of all its words, and a number of blocks
+(``CLASSES``, by its number of words). A word's hash deals it to one block, and a block is the 32-bit SimHash of
+its own different words. So an edited word changes two blocks at most, that of the old word and that of the
+new one, and by the pigeonhole principle lines that differ in fewer words than half their blocks agree on a
+block. (In blocks cut from one SimHash every word has a vote in every block; one word in ten
+changes nine bits of 64, all over.) Lines that agree on a block of two words or more, or on three of five blocks where lines have fewer than
+ten words, are compared: they link if their SimHashes differ in at most ``BITS`` bits and their normal forms have
+an edit similarity (1 - distance / longer length) of ``SIMILARITY`` or more. Lines near the upper
+end of a class are in the next one too, so that lines of similar length always meet.
+
+Of each connected group of lines the first occurrence by (doc_id, row, line number) stays, all others are
+removed. README gives the recall against all pairs.
 
 Only groups are asked for, so a key first gives pairs until each of its lines that has a partner is
 in one, and the other pairs of a key are formed only where its lines are still in several groups. No
 pair is left out otherwise.
 
 Null and empty texts have no lines with words. A null doc_id comes last. Rows that repeat both id
-and text count as one row and are answered each. Other columns are ignored (``drop_lines`` keeps them).
+and text count as one row and are answered each. A very long text is read in its Arrow batch, a very long
+line is one line. An empty table gives no rows. Other columns, whatever their names, are ignored (``drop_lines`` keeps
+them, but for such as are called n_lines or n_removed).
 """
 
 from __future__ import annotations
@@ -32,9 +38,13 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BITS, SIMILARITY = 3, 0.8
-#: Lines that one key should hold at most, by chance.
-PER_KEY = 1.0
+BITS, SIMILARITY = 22, 0.8
+#: Lines of so many words or more have so many blocks, of which so many together are a key; from the last class on, twice the words have twice the blocks.
+CLASSES = [(1, 5, 3), (10, 5, 1), (20, 6, 1), (40, 10, 1), (80, 16, 1), (160, 24, 1)]
+#: Different words that a key must stand for.
+LEAST = 2
+#: Words that are dealt to blocks together.
+TOGETHER = 1 << 18
 HELD = 2_000_000
 _WORD = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _NORMAL = common.LOWER.copy()
@@ -43,7 +53,7 @@ _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
 def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
-    """Of one block: document and number of each line with words, its node, SimHash, characters of its normal form, and words' (low bytes, starts, ends, first word)."""
+    """Of one block: document and number of each line with words, its node, SimHash, characters of its normal form, and words' (low bytes, starts, ends, first word, hashes)."""
     low = _NORMAL[data]
     breaks = np.flatnonzero(data == 10)
     begins = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
@@ -56,7 +66,7 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
     first = cut[full]
     if not len(full):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, (low, starts, ends, first)
+        return none, none, none, none, none, (low, starts, ends, first, none.view(np.uint64))
     hashed = common.word_hash(low, starts, ends)
     n = np.diff(np.append(first, len(starts)))
     place = np.arange(len(starts)) - np.repeat(first, n)
@@ -71,22 +81,64 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
         sketch[k : k + 4096] = np.packbits(votes > (size // 2)[:, None], axis=1).view(np.int64).ravel()
     points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
     size = np.add.reduceat(points[ends] - points[starts], first) + n - 1
-    return doc[full], number[full], node, sketch, size, (low, starts, ends, first)
-
-
-def block_keys(n_blocks: int, bits: int = BITS) -> list[np.uint64]:
-    """Masks of every choice of n_blocks - bits blocks."""
-    edges = [64 * k // n_blocks for k in range(n_blocks + 1)]
-    block = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    return [np.uint64(sum(c)) for c in combinations(block, n_blocks - bits)]
-
-
-def blocks_for(n_lines: int, bits: int = BITS, per_key: float = PER_KEY) -> int:
-    """Fewest blocks whose keys hold ``per_key`` of so many lines by chance."""
-    b = bits + 1
-    while b < 9 and n_lines / 2 ** (64 * (b - bits) // b) > per_key:
-        b += 1
-    return b
+    return doc[full], number[full], node, sketch, size, (low, starts, ends, first, hashed)
+
+
+def _simhash(hashed: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Majority of the last 32 bits of the hashes, of runs of words."""
+    bits = np.unpackbits(hashed.astype(np.uint32).view(np.uint8).reshape(-1, 4), axis=1)
+    votes = np.add.reduceat(bits, heads, axis=0, dtype=np.uint8 if sizes.max() < 256 else np.int32)
+    return np.packbits(votes > (sizes // 2)[:, None], axis=1).view(np.uint32).ravel().astype(np.uint64)
+
+
+def classes(most: int):
+    """(least words, most words, blocks, blocks of a key) of every class that lines of up to ``most`` words need, the upper end of the class below included."""
+    found = list(CLASSES)
+    while found[-1][0] * 4 // 5 <= most:
+        low, blocks, together = found[-1]
+        found.append((2 * low, 2 * blocks, together))
+    for (low, blocks, together), (high, *_) in zip(found, found[1:]):
+        yield low * 4 // 5, high, blocks, together
+
+
+def block_keys(hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): the keys of lines whose words have these hashes and begin at ``first``."""
+    lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if not len(first):
+        return lines[0], keys[0]
+    n = np.diff(np.append(first, len(hashed)))
+    for k, (low, high, blocks, together) in enumerate(classes(int(n.max()))):
+        chosen = np.flatnonzero((n >= low) & (n < high))
+        ends = np.cumsum(n[chosen])
+        for own in np.split(chosen, np.unique(np.searchsorted(ends, np.arange(TOGETHER, ends[-1] + 1, TOGETHER)) + 1)) if len(chosen) else ():
+            if not len(own):
+                continue
+            size = n[own]
+            of = np.repeat(np.arange(len(own)), size)
+            word = common.mix(hashed[np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + first[own][of]] + np.uint64(k))
+            # In the order of (line, hash), so in that of blocks too, which are ranges of hashes; a word counts once.
+            order = np.argsort(of.astype(np.uint64) << np.uint64(44) | word >> np.uint64(20))
+            of, word = of[order], word[order]
+            new = np.r_[True, (word[1:] != word[:-1]) | (of[1:] != of[:-1])]
+            of, word = of[new], word[new]
+            at = of * blocks + (((word >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)).astype(np.int64)
+            heads = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            held = np.diff(np.append(heads, len(at)))
+            block = common.mix(_simhash(common.mix(word), heads, held) * np.uint64(2 * k + 3) + held.astype(np.uint64))
+            at = at[heads]
+            if together == 1:
+                good = held >= LEAST
+                lines.append(own[at[good] // blocks])
+                keys.append(common.mix(block[good] + (at[good] % blocks).astype(np.uint64)))
+            else:
+                grid, count = np.zeros(len(own) * blocks, np.uint64), np.zeros(len(own) * blocks, np.int64)
+                grid[at], count[at] = block, held
+                grid, count = grid.reshape(-1, blocks), count.reshape(-1, blocks)
+                for t, choice in enumerate(combinations(range(blocks), together)):
+                    good = count[:, choice].sum(1) >= LEAST
+                    lines.append(own[good])
+                    keys.append(common.mix((grid[:, choice] * _STEP ** np.arange(1, together + 1, dtype=np.uint64)).sum(1, dtype=np.uint64) + np.uint64(t))[good])
+    return np.concatenate(lines), np.concatenate(keys)
 
 
 def distance(a: str, b: str, most: int | None = None) -> int:
@@ -150,18 +202,37 @@ def _row_key(doc_id, text):
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, number, node, sketch, size): each line with words."""
+LINE, KEYS = 0, 1
+
+
+def _read(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(kind, row_key, doc_id, number, node) of each line with words, and (kind, bucket, blob) of the keys, nodes, sketches and sizes of each batch's different lines."""
+    names = ["kind", "row_key", "doc_id", "number", "node", "bucket", "blob"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
     def mapped(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column("text"))
+            held: list[tuple] = []
             for i, j in common.blocks(offsets):
-                doc, number, node, sketch, size, _ = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                doc, number, node, sketch, size, (*_, first, hashed) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 of = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), pa.array(sketch), pa.array(size, pa.int64())], ["row_key", "doc_id", "number", "node", "sketch", "size"])
-
-    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint, sketch bigint, size bigint")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), LINE, np.int32)), batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), *(pa.nulls(len(node), t) for t in kinds[5:])], names)
+                line, key = block_keys(hashed, first)
+                held.append((key, node[line], sketch[line], size[line]))
+            key, node, sketch, size = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 4
+            if len(key):
+                home = (common.mix(key) >> np.uint64(33)) % np.uint64(n_buckets)
+                order = np.lexsort((node, key, home))
+                key, node, sketch, size, home = (x[order] for x in (key, node, sketch, size, home))
+                new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+                key, node, sketch, size, home = (x[new] for x in (key, node, sketch, size, home))
+                cuts = np.searchsorted(home, np.arange(n_buckets + 1, dtype=np.uint64))
+                full = np.flatnonzero(np.diff(cuts)).tolist()
+                blobs = [np.concatenate([key[a:b].view(np.uint8), node[a:b].view(np.uint8), sketch[a:b].view(np.uint8), size[a:b].astype(np.int32).view(np.uint8)]).tobytes() for a, b in zip(cuts[full].tolist(), cuts[1:][full].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array([KEYS] * len(full), pa.int32()), *(pa.nulls(len(full), t) for t in kinds[1:5]), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names)
+
+    return docs.mapInArrow(common.tidy(mapped), "kind int, row_key bigint, doc_id bigint, number int, node bigint, bucket int, blob binary")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -171,72 +242,81 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         seen = {}
         data, offsets = common.utf8(batch.column("text"))
         for i, j in common.blocks(offsets):
-            *_, node, _, _, (low, starts, ends, first) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
+            *_, node, _, _, (low, starts, ends, first, _) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
             yield node, lambda k, low=low, starts=starts, ends=ends, first=first: b" ".join(low[s:e].tobytes() for s, e in zip(starts[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist(), ends[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist()))
 
     return common.fetch(docs, nodes, make)
 
 
-def _place(lines: DataFrame, masks: list[np.uint64], n_buckets: int) -> DataFrame:
-    """(bucket, choice, node, sketch, group, size): lines in the bucket of each of their keys, as one blob a batch and bucket."""
+PAIR, KEYED = 0, 1
+_FOUND = "kind int, a bigint, b bigint, sketch bigint, size bigint"
 
-    def mapped(batches):
-        for batch in batches:
-            node, sketch, group, size = (np.asarray(batch.column(k)) for k in range(4))
-            home = np.concatenate([(common.mix((sketch.view(np.uint64) & mask) + np.uint64(t)) >> np.uint64(33)) % np.uint64(n_buckets) for t, mask in enumerate(masks)])
-            order = np.argsort(home, kind="stable")
-            cuts = np.searchsorted(home[order], np.arange(n_buckets + 1, dtype=np.uint64))
-            choice, of = np.divmod(order, len(node))
-            rows = []
-            for b in range(n_buckets):
-                if cuts[b + 1] > cuts[b]:
-                    own = of[cuts[b] : cuts[b + 1]]
-                    rows.append((b, choice[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes(), node[own].tobytes(), sketch[own].tobytes(), group[own].tobytes(), size[own].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), *[pa.binary()] * 5))], ["bucket", "choice", "node", "sketch", "group", "size"])
 
-    return lines.select("node", "sketch", "group", "size").mapInArrow(common.tidy(mapped), "bucket int, choice binary, node binary, sketch binary, group binary, size binary")
+def _partners(key, node, sketch, size, group, bits: int, similarity: float, all_pairs: bool):
+    """Pairs of lines (places in the columns, which are sorted by key) with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` only those of which either line has had no partner at the key. And which lines have one."""
+    lone, held, n = np.ones(len(node), bool), [], 0
+    live, step = np.arange(len(node)), 1
+    while len(live):
+        live = live[live + step < len(node)]
+        live = live[key[live] == key[live + step]]
+        other = live + step
+        good = (np.bitwise_count(sketch[live] ^ sketch[other]) <= bits) & (group[live] != group[other])
+        good &= np.abs(size[live] - size[other]) <= _most(np.maximum(size[live], size[other]), similarity)
+        if not all_pairs:
+            good &= lone[live] | lone[other]
+        i, j = live[good], other[good]
+        lone[i] = lone[j] = False
+        held.append((i, j))
+        n += len(i)
+        step += 1
+        if n >= HELD:
+            yield *map(np.concatenate, zip(*held)), None
+            held, n = [], 0
+    none = np.zeros(0, np.int64)
+    yield *(map(np.concatenate, zip(*held)) if held else (none, none)), np.flatnonzero(~lone)
+
 
+def _rows(kind: int, a, b, sketch, size) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64), pa.int64()) for x in (a, b, sketch, size))], ["kind", "a", "b", "sketch", "size"])
 
-def _close(masks: list[np.uint64], bits: int, similarity: float, all_pairs: bool):
-    """Reducer of a bucket: pairs of lines with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` only those of which either line has had no partner at the key.
 
-    A pair comes from the first choice of blocks that it agrees on, and from no other.
-    """
+def _close(bits: int, similarity: float):
+    """Reducer of a bucket of keys: a partner for every line that has one, as (a, b), and the keys of these lines, as (node, key, sketch, size)."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list[np.ndarray]] = []
+        parts: list[list] = [[], [], [], []]
         for batch in batches:
-            for cells in zip(*(batch.column(k) for k in ("choice", "node", "sketch", "group", "size"))):
-                parts.append([np.frombuffer(c.as_buffer(), np.uint8 if k == 0 else np.int64) for k, c in enumerate(cells)])
-        choices, nodes, sketches, groups, sizes = (np.concatenate(x) for x in zip(*parts))
-        for t in np.unique(choices).tolist():
-            own = choices == t
-            node, sketch, group, length = nodes[own], sketches[own].view(np.uint64), groups[own], sizes[own]
-            key = sketch & masks[t]
-            order = np.lexsort((node, key))
-            node, sketch, group, length, key = node[order], sketch[order], group[order], length[order], key[order]
-            lone, held, size = np.ones(len(node), bool), [], 0
-            live, step = np.arange(len(node)), 1
-            while len(live):
-                live = live[live + step < len(node)]
-                live = live[key[live] == key[live + step]]
-                other = live + step
-                differ = sketch[live] ^ sketch[other]
-                good = (np.bitwise_count(differ) <= bits) & (group[live] != group[other])
-                good &= np.abs(length[live] - length[other]) <= _most(np.maximum(length[live], length[other]), similarity)
-                if not all_pairs:
-                    good &= lone[live] | lone[other]
-                for earlier in masks[:t]:
-                    good &= (differ & earlier) != 0
-                i, j = live[good], other[good]
-                lone[i] = lone[j] = False
-                held.append((np.minimum(node[i], node[j]), np.maximum(node[i], node[j])))
-                size += len(i)
-                step += 1
-                if size >= HELD or not len(live):
-                    a, b = map(np.concatenate, zip(*held))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-                    held, size = [], 0
+            for blob in batch.column("blob"):
+                blob = blob.as_buffer()
+                n = blob.size // 28
+                for k, part in enumerate(parts):
+                    part.append(np.frombuffer(blob, np.int64 if k < 3 else np.int32, n, 8 * n * k))
+        key, node, sketch, size = (np.concatenate(x) for x in parts)
+        order = np.argsort(key, kind="stable")
+        shared = key[order][1:] == key[order][:-1]
+        order = order[np.r_[shared, False] | np.r_[False, shared]]
+        order = order[np.lexsort((node[order], key[order]))]
+        key, node = key[order], node[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(order) else np.zeros(0, bool)
+        key, node, sketch, size = key[new], node[new], sketch[order][new].view(np.uint64), size[order][new].astype(np.int64)
+        for i, j, met in _partners(key, node, sketch, size, node, bits, similarity, False):
+            yield _rows(PAIR, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), i, i)
+            if met is not None:
+                yield _rows(KEYED, node[met], key[met], sketch[met].view(np.int64), size[met])
+
+    return reduced
+
+
+def _close_again(bits: int, similarity: float):
+    """Reducer of a bucket of keys: all pairs of lines of different groups."""
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches)
+        node, key, sketch, size, group = (whole[c].to_numpy() for c in ("node", "key", "sketch", "size", "group"))
+        order = np.lexsort((node, key))
+        key, node, sketch, size, group = (x[order] for x in (key, node, sketch.view(np.uint64), size, group))
+        for i, j, _ in _partners(key, node, sketch, size, group, bits, similarity, True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["a", "b"])
 
     return reduced
 
@@ -256,26 +336,29 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     n_buckets = common.buckets(docs)
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
-    occurrences = common.checkpoint(_occurrences(docs))
-    lines = occurrences.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), F.min(last).alias("first"), F.count("*").alias("rows"))
-    lines = common.checkpoint(lines)
-    masks = block_keys(blocks_for(lines.count(), bits), bits)
-    alone = lines.select("node", "sketch", F.col("node").alias("group"), "size")
-    one = common.checkpoint(_place(alone, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, False)), "a bigint, b bigint").distinct())
-    ends = one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct()
-    texts = common.checkpoint(_texts(docs, common.checkpoint(ends)))  # a line with any partner has one in ``one``
+    read = common.checkpoint(_read(docs, n_buckets))
+    occurrences = read.where(F.col("kind") == LINE).select("row_key", "doc_id", "number", "node")
+    lines = common.checkpoint(occurrences.groupBy("node").agg(F.min(last).alias("first"), F.count("*").alias("rows")))
+    keys = read.where(F.col("kind") == KEYS).select("bucket", "blob")
+    close = common.checkpoint(keys.groupBy("bucket").applyInArrow(common.tidy(_close(bits, similarity)), _FOUND))
+    one = common.checkpoint(close.where(F.col("kind") == PAIR).select("a", "b").distinct())
+    ends = common.checkpoint(one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct())  # a line with any partner has one in ``one``
+    rows = common.checkpoint(lines.join(ends, "node", "left_semi").select(F.col("first.row_key").alias("row_key")).distinct())
+    texts = common.checkpoint(_texts(common.reduce_to(docs, "row_key", rows), ends))
     # Of a line's partners the least and the greatest first; whom these leave in other groups comes next.
     first = common.checkpoint(one.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
     links = common.checkpoint(_verify(first, texts, similarity))
     group = components(links)
-    again = lines.join(ends, "node", "left_semi").join(group, "node", "left").select("node", "sketch", F.coalesce("component", "node").alias("group"), "size")
-    rest = _place(again, masks, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(masks, bits, similarity, True)), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
+    again = close.where(F.col("kind") == KEYED).select(F.col("a").alias("node"), F.col("b").alias("key"), "sketch", "size").join(group, "node", "left")
+    again = again.withColumn("group", F.coalesce("component", "node")).drop("component").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n_buckets)))
+    rest = again.groupBy("bucket").applyInArrow(common.tidy(_close_again(bits, similarity)), "a bigint, b bigint").distinct().join(first, ["a", "b"], "left_anti")
     more = common.checkpoint(_verify(rest, texts, similarity))
     if not more.isEmpty():
         group = components(links.unionByName(more))
     grouped = lines.join(group, "node", "left").select("node", "rows", "first", F.coalesce("component", "node").alias("group"))
-    least = grouped.groupBy("group").agg(F.min("first").alias("kept"))
-    known = common.checkpoint(grouped.join(least, "group").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number")))
+    least = common.checkpoint(grouped.groupBy("group").agg(F.min("first").alias("kept"), F.count("*").alias("nodes")))
+    known = common.join_known(grouped, least, "group", "nodes").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number"))
+    known = common.checkpoint(known)
     known = known.join(known.groupBy("kept_row", "kept_number").agg(F.sum("rows").alias("of_group")).where("of_group > 1"), ["kept_row", "kept_number"], "left_semi")
     known = common.checkpoint(known)  # lines of groups with several occurrences
     several = common.reduce_to(occurrences.select("row_key", "number", "node"), "node", known.select("node"))

@@ -234,53 +234,77 @@ def test_fuzzy_lines(spark, corpus):
     assert sum(r.n_removed for r in got.values()) == sum(len([1 for x in (t or "").split("\n") if normal(x)]) for _, t in rows) - sum(v for k, v in after.items() if k)
 
 
-@pytest.mark.parametrize("n_blocks", [4, 5, 6, 8])
-def test_every_line_with_a_close_line_has_a_pair(n_blocks):
+def test_every_line_with_a_close_line_has_a_pair():
     import numpy as np
     import pyarrow as pa
 
-    rng = random.Random(n_blocks)
-    sketches = []
-    for _ in range(60):
+    rng = random.Random(4)
+    keys, sketches = [], []
+    for k in range(60):  # stars: variants are close to their centre, not to each other
         centre = rng.getrandbits(64)
-        sketches += [centre] + [centre ^ sum(1 << k for k in rng.sample(range(64), 3)) for _ in range(4)]
+        own = [centre] + [centre ^ sum(1 << k for k in rng.sample(range(64), 15)) for _ in range(4)]
+        keys += [k // 3] * len(own)
+        sketches += own
     nodes = rng.sample(range(10**6), len(sketches))
-    masks = fuzzy_lines.block_keys(n_blocks)
-    one = [np.array(x, np.uint64).view(np.int64).tobytes() for x in (nodes, sketches, nodes, [50] * len(nodes))]
-    blob = pa.RecordBatch.from_arrays([pa.array([bytes([t]) * len(nodes) for t in range(len(masks))], pa.binary()), *(pa.array([x] * len(masks), pa.binary()) for x in one)], ["choice", "node", "sketch", "group", "size"])
-    close = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(zip(nodes, sketches)) for b, y in list(zip(nodes, sketches))[:k] if (x ^ y).bit_count() <= 3}
-    found = {every: {p for batch in fuzzy_lines._close(masks, 3, 0.8, every)(iter([blob])) for p in zip(*(batch.column(c).to_pylist() for c in "ab"))} for every in (False, True)}
-    assert found[True] == close
-    assert found[False] <= close
-    assert {x for p in found[False] for x in p} == {x for p in close for x in p}
-
-
-@pytest.mark.parametrize("n_blocks", [4, 6])
-def test_fuzzy_lines_against_all_pairs(spark, monkeypatch, n_blocks):
-    import numpy as np
-
-    monkeypatch.setattr(fuzzy_lines, "blocks_for", lambda n, bits: n_blocks)
+    close = {(min(a, b), max(a, b)) for k, (a, x) in enumerate(zip(nodes, sketches)) for j, (b, y) in enumerate(zip(nodes[:k], sketches)) if (x ^ y).bit_count() <= 22 and keys[j] == keys[k]}
+    blob = b"".join(np.array(x, np.uint64).tobytes() for x in (keys, nodes, sketches)) + np.full(len(nodes), 50, np.int32).tobytes()
+    found = [r for batch in fuzzy_lines._close(22, 0.8)(iter([pa.RecordBatch.from_arrays([pa.array([blob])], ["blob"])])) for r in batch.to_pylist()]
+    pairs = {(r["a"], r["b"]) for r in found if r["kind"] == fuzzy_lines.PAIR}
+    assert pairs <= close
+    assert {x for p in pairs for x in p} == {x for p in close for x in p}
+    keyed = [r for r in found if r["kind"] == fuzzy_lines.KEYED]
+    again = pa.RecordBatch.from_pydict({"node": [r["a"] for r in keyed], "key": [r["b"] for r in keyed], "sketch": [r["sketch"] for r in keyed], "size": [r["size"] for r in keyed], "group": [r["a"] for r in keyed]})
+    assert {(r["a"], r["b"]) for batch in fuzzy_lines._close_again(22, 0.8)(iter([again])) for r in batch.to_pylist()} == close
+
+
+def test_fuzzy_lines_against_all_pairs(spark):
     rng = random.Random(17)
-    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
     texts = []
-    for _ in range(30):
-        centre = prose(rng, vocabulary, 60).split()
-        for _ in range(6):
-            variant = list(centre)
-            variant[rng.randrange(60)] = rng.choice(vocabulary)
-            texts.append(" ".join(variant))
-        texts.append(" ".join(centre))
-    sketch = {}
-    for k, t in enumerate(texts):
-        raw = np.frombuffer(t.encode(), np.uint8)
-        sketch[k] = int(fuzzy_lines.lines_of(raw, np.array([0, len(raw)]))[3].view(np.uint64)[0])
-    root = {k: k for k in sketch}
-    for a in sketch:
+    for n in (14, 30, 60, 100, 200):
+        for _ in range(8):
+            centre = [rng.choice(vocabulary) for _ in range(n)]
+            star = [list(centre) for _ in range(5)]
+            for variant in star:  # each one word from the centre
+                variant[rng.randrange(n)] = rng.choice(vocabulary)
+            chain = [list(centre)]
+            for _ in range(4 + n // 8):  # each one word from the one before; the last ones are too far from the first
+                chain.append(list(chain[-1]))
+                chain[-1][rng.randrange(n)] = rng.choice(vocabulary)
+            texts += [" ".join(x) for x in [*star, *chain]]
+    rng.shuffle(texts)
+    root = dict(enumerate(texts))
+    root = {k: k for k in root}
+    for a in root:
         for b in range(a):
-            if (sketch[a] ^ sketch[b]).bit_count() <= 3 and fuzzy_lines.alike(texts[a], texts[b]) and root[a] != root[b]:
+            if root[a] != root[b] and fuzzy_lines.alike(texts[a], texts[b]):
                 root = {k: min(root[a], root[b]) if v in (root[a], root[b]) else v for k, v in root.items()}
     got = {r.doc_id: r.n_removed for r in fuzzy_lines.drop_lines(frame(spark, list(enumerate(texts)))).collect()}
-    assert got == {k: int(root[k] != k) for k in sketch}
+    assert got == {k: int(root[k] != k) for k in root}
+
+
+@pytest.mark.parametrize(("edits", "least"), [(1, {6: 0.7, 12: 0.97, 25: 0.99, 50: 0.99, 120: 0.99}), (2, {12: 0.88, 25: 0.97, 50: 0.99, 120: 0.99}), (3, {25: 0.93, 50: 0.98, 120: 0.99})])
+def test_fuzzy_recall_by_length(edits, least):
+    import numpy as np
+
+    rng = random.Random(edits)
+    vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(3000)]
+    for n, wanted in least.items():
+        lines = []
+        while len(lines) < 800:
+            one = [rng.choice(vocabulary) for _ in range(n)]
+            two = list(one)
+            for k in rng.sample(range(n), edits):
+                two[k] = rng.choice(vocabulary)
+            if one != two and fuzzy_lines.alike(" ".join(one), " ".join(two)):
+                lines += [" ".join(one), " ".join(two)]
+        raw = np.frombuffer("\n".join(lines).encode(), np.uint8)
+        *_, sketch, _, (*_, first, hashed) = fuzzy_lines.lines_of(raw, np.array([0, len(raw)]))
+        keys = collections.defaultdict(set)
+        for k, key in zip(*(x.tolist() for x in fuzzy_lines.block_keys(hashed, first))):
+            keys[k].add(key)
+        found = [bool(keys[k] & keys[k + 1]) and int(sketch[k] ^ sketch[k + 1]).bit_count() <= fuzzy_lines.BITS for k in range(0, len(lines), 2)]
+        assert sum(found) >= wanted * len(found), (n, sum(found) / len(found))
 
 
 def test_edit_distance():
