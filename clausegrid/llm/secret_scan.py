@@ -15,8 +15,9 @@ decoys by length and score cover the whole table. Where a class has fewer than `
 as many simulated ones join them: letters drawn by their shares in English, of the class's least
 length, so a table without long words accepts random tokens too.
 
-Null counts as empty and has no spans. Offsets are code points, ends exclusive. Rows that repeat
-are answered each; other columns are ignored.
+Null counts as empty and has no spans. Offsets are code points, ends exclusive. Spans that begin at one place
+are in the order of their kinds. Rows that repeat are answered each, and each counts in the statistics. A very long text is
+scanned as a whole. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -230,5 +231,5 @@ def listed(spans) -> Column:
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     found = find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as bigint) AS n_{KINDS[k]}") for k in range(3)]  # a lambda's second argument would be the place
     return found.select("doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
