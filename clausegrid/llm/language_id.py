@@ -3,16 +3,21 @@
 A text is the average of the embeddings of its byte n-grams (2 to 4 bytes of lower-cased letters,
 single spaces between words), each hashed to one of ``BUCKETS`` rows; a linear layer and a softmax
 follow. Embeddings and layer are trained by stochastic gradient descent in numpy, on at most
-``max_rows`` labelled documents, dealt evenly over the languages and chosen by a hash of their id.
-A fifth of these is held back from the descent: they set the softmax's temperature, and the
+``max_rows`` labelled documents, dealt evenly over the languages (at least one of each) and chosen by a hash of their id,
+of each its ``MAX_GRAMS`` most frequent n-grams; every language is learned.
+A fifth of these is held back from the descent: they set the softmax's temperature, and, with
+copies of themselves whose letters are shuffled and so of no language, the
 score below which a prediction is rejected (the least at which ``precision`` of the accepted
-are right, and never one that rejects more than ``max_rejected`` of the right ones).
+are right, and never one that rejects more than ``max_rejected`` of the right ones; as these are few rows, at
+``MARGIN`` of their log-odds).
 
 As average and layer are linear, a trained model is one table of scores, an n-gram row and a
 language column, so a text of any length costs a few table look-ups a byte and no embeddings.
 
 Texts that are null or have no letters are ``und`` with score 0, and so is all where no row can be
-learned from. Rows that repeat are answered each. Other columns are ignored.
+learned from. Of languages with equal scores the first by name is predicted. A very long text is scored in its
+Arrow batch, in one pass. Rows that repeat are answered each; an empty table gives no rows. Other columns,
+whatever their names, are ignored (``keep_known`` keeps them).
 """
 
 from __future__ import annotations
@@ -31,9 +36,9 @@ SIZES = (2, 3, 4)
 DIMENSIONS = 16
 #: Most labelled documents that the model is fitted on.
 MAX_ROWS = 2000
-#: Most languages that are learned, the most frequent ones.
-MAX_LANGUAGES = 200
-PRECISION, MAX_REJECTED = 0.99, 0.001
+#: Most different n-grams of one of them.
+MAX_GRAMS = 4096
+PRECISION, MAX_REJECTED, MARGIN = 0.99, 0.001, 0.75
 UNKNOWN = "und"
 
 #: What each byte counts as: letters lower-cased, bytes from 0x80 as they are, the rest a space.
@@ -78,7 +83,19 @@ def counted(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.array([0, len(low)])
     found, n = np.unique(np.concatenate([*grams(low, ends)]) if len(low) else np.zeros(0, np.int32), return_counts=True)
     inside = found < BUCKETS
-    return found[inside].astype(np.int32), (n[inside] / max(1, n[inside].sum())).astype(np.float32)
+    found, n = found[inside], n[inside]
+    if len(found) > MAX_GRAMS:
+        most = np.sort(np.argsort(-n, kind="stable")[:MAX_GRAMS])
+        found, n = found[most], n[most]
+    return found.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+
+
+def shuffled(low: np.ndarray, seed: int = 13) -> np.ndarray:
+    """A text's letters in another order, its spaces where they were: no language, but the letters of one."""
+    out = low.copy()
+    letters = out != 32
+    out[letters] = np.random.default_rng(seed).permutation(out[letters])
+    return out
 
 
 @dataclass
@@ -123,8 +140,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 12, rate: float = 4.0, batch: int = 16, seed: int = 7, precision: float = PRECISION, max_rejected: float = MAX_REJECTED) -> Model:
-    """texts: buckets and shares of each document, as ``counted`` gives them."""
+def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int = 12, rate: float = 4.0, batch: int = 16, seed: int = 7, precision: float = PRECISION, max_rejected: float = MAX_REJECTED, foreign: list[tuple[np.ndarray, np.ndarray]] | None = None) -> Model:
+    """texts: buckets and shares of each document, as ``counted`` gives them; foreign: those of a text of no language for each."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
@@ -133,13 +150,10 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
     table = rng.normal(0, 0.1, (BUCKETS + 1, DIMENSIONS)).astype(np.float32)
     layer, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
 
-    def gathered(rows):
+    def mean(rows, texts=texts):
         at = np.concatenate([texts[r][0] for r in rows])
         share = np.concatenate([texts[r][1] for r in rows])
-        return at, share, np.repeat(np.arange(len(rows)), [len(texts[r][0]) for r in rows])
-
-    def mean(rows):
-        at, share, of = gathered(rows)
+        of = np.repeat(np.arange(len(rows)), [len(texts[r][0]) for r in rows])
         out = np.zeros((len(rows), DIMENSIONS), np.float32)
         if len(at):
             heads = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -163,18 +177,24 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs:
             step += 1
     table[BUCKETS] = 0
     model = Model(languages, np.ascontiguousarray((table @ layer).T.astype(np.float32)), bias.astype(np.float64))
-    raw = np.concatenate([mean(held[k : k + 64])[0] @ layer + bias for k in range(0, len(held), 64)]).astype(np.float64) if len(held) else np.zeros((0, len(languages)))
+    logits = lambda texts: np.concatenate([mean(held[k : k + 64], texts)[0] @ layer + bias for k in range(0, len(held), 64)]).astype(np.float64)
+    raw = logits(texts) if len(held) else np.zeros((0, len(languages)))
     if len(held):
         loss = lambda t: -np.mean(np.log(softmax(raw / t)[np.arange(len(held)), y[held]] + 1e-12))
         model.temperature = float(min(np.geomspace(0.1, 10, 81), key=loss))
         p = softmax(raw / model.temperature)
         score, right = p.max(1), p.argmax(1) == y[held]
-        best = np.argsort(-score)
-        exact = np.cumsum(right[best]) / np.arange(1, len(best) + 1)
+        all_scores, all_right = score, right
+        if foreign:
+            all_scores = np.concatenate([score, softmax(logits(foreign) / model.temperature).max(1)])
+            all_right = np.concatenate([right, np.zeros(len(held), bool)])
+        best = np.argsort(-all_scores)
+        exact = np.cumsum(all_right[best]) / np.arange(1, len(best) + 1)
         good = np.flatnonzero(exact >= precision)
-        wanted = score[best[good[-1]]] if len(good) else 1.0
+        wanted = all_scores[best[good[-1]]] if len(good) else 1.0
         wanted = 0.0 if len(good) and good[-1] == len(best) - 1 else wanted
-        model.threshold = float(min(wanted, np.quantile(score[right], max_rejected) if right.any() else 0.0))
+        least = min(np.quantile(score[right], max_rejected), 1 - 1e-12) if right.any() else 0.0
+        model.threshold = float(min(wanted, 1 / (1 + (1 / least - 1) ** MARGIN) if least else 0.0))
     return model
 
 
@@ -186,10 +206,10 @@ def remainder(doc_id: Column, by: int) -> Column:
 def fit(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model | None:
     """A model of the learnable rows with a language; None where there are none."""
     rows = common.own_columns(docs, "doc_id", "text", "lang").where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    each = max_rows // len(sizes)
+    each = max(1, max_rows // len(sizes))
     share = F.coalesce(*(F.when(F.col("lang") == k, min(1.0, each / n)) for k, n in sizes.items()), F.lit(0.0))
     chosen = rows.where(F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
 
@@ -197,13 +217,13 @@ def fit(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model |
         for batch in batches:
             data, offsets = common.utf8(batch.column("text"))
             low, ends = squeeze(data, offsets)
-            found = [counted(low[a:b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], ["lang", "at", "share"])
+            found = [(*counted(low[a:b]), *counted(shuffled(low[a:b]))) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(4))], ["lang", "at", "share", "other_at", "other_share"])
 
-    # About max_rows rows, each of at most BUCKETS numbers.
-    got = sorted((r.lang, bytes(r.at), bytes(r.share)) for r in chosen.mapInArrow(common.tidy(mapped), "lang string, at binary, share binary").toLocalIterator())
-    got = [(k, np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for k, a, b in got if a]
-    return train([(a, b) for _, a, b in got], [k for k, *_ in got]) if got else None
+    # About max_rows rows, each of twice MAX_GRAMS n-grams at most.
+    got = sorted((r.lang, *map(bytes, r[1:])) for r in chosen.mapInArrow(common.tidy(mapped), "lang string, at binary, share binary, other_at binary, other_share binary").toLocalIterator())
+    got = [(k, *(np.frombuffer(x, (np.int32, np.float32)[i % 2]) for i, x in enumerate(rest))) for k, *rest in got if rest[0]]
+    return train([(a, b) for _, a, b, *_ in got], [k for k, *_ in got], foreign=[(a, b) for *_, a, b in got]) if got else None
 
 
 def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
@@ -211,7 +231,7 @@ def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataF
     rows = common.own_columns(docs, "doc_id", column)
     if model is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, MAX_LANGUAGES columns at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS rows, a column a language
 
     def mapped(batches):
         for batch in batches:
@@ -234,7 +254,8 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             names, scores = sent.value.predict(*common.utf8(batch.column(where)))
             yield batch.filter(pa.array([k != UNKNOWN and s >= sent.value.threshold for k, s in zip(names, scores)], pa.bool_()))
 
-    return docs.mapInArrow(common.tidy(mapped), docs.schema)
+    own = common.plain(docs)
+    return own.mapInArrow(common.tidy(mapped), own.schema).toDF(*docs.columns)
 
 
 def learned(docs: DataFrame) -> Model | None:
