@@ -8,9 +8,10 @@ and on paragraphs of the corpus as the class ``unknown``. The least probability
 is reported is calibrated on copies held back. A prediction stands if enough of the paragraph's
 word pairs are in one of its family's templates, or the other way round.
 
-At most ``max_rows`` documents, chosen by a hash of their text, give the paragraphs that train
-``unknown``; paragraphs that agree with a template are left out of them. Null and empty texts have
-no paragraphs. Rows that repeat are answered each; other columns are ignored.
+At most ``max_rows`` documents, chosen by a hash of their text, give the windows that train
+``unknown``, of each the ``MAX_WINDOWS`` with the least hash in its whole text; windows that agree with a template are left out of them. Null and empty texts have
+no paragraphs. Of families with equal probability the first in the table is predicted. A very long text or line is read in windows
+like any other. Rows that repeat are answered each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -88,8 +89,10 @@ TEMPLATES = {
 FAMILIES = [*TEMPLATES, "unknown"]
 BUCKETS = 1 << 16
 WINDOW = 60
-#: Most documents whose paragraphs train the class ``unknown``, and most paragraphs of each.
-MAX_ROWS, MAX_PARAGRAPHS = 1000, 8
+#: Most documents whose windows train the class ``unknown``, and most windows of each.
+MAX_ROWS, MAX_WINDOWS = 1000, 8
+#: Words of more bytes train as the hash that they are scored by.
+LONG_WORD = 40
 COPIES = 150
 PRECISION = 0.995
 #: Least share of word pairs that a paragraph and a template have in common, of the fewer of the two.
@@ -248,9 +251,22 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     total = texts.count()
     share = min(1.0, max_rows / max(1, total))
     some = texts.where(F.pmod(F.xxhash64(F.lit(9), "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    lines = some.select(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0), 1, MAX_PARAGRAPHS).alias("lines")).select(F.transform("lines", lambda x: F.substring(x, 1, 2000)).alias("lines"))
-    paragraphs = sorted(split(x) for r in lines.toLocalIterator() for x in r.lines)  # about max_rows * MAX_PARAGRAPHS lines
-    return train([p for p in paragraphs if p and not any(agrees(p, k, 0.3) for k in TEMPLATES)])
+
+    def mapped(batches):
+        for batch in batches:
+            rows = []
+            for text in batch.column("text").to_pylist():
+                windows = {}
+                for line in text.split("\n"):
+                    words = [w if len(w.encode()) <= LONG_WORD else f"{common.hash_of(w.encode()):016x}" for w in split(line)]
+                    for k in range(0, len(words), WINDOW):
+                        windows[" ".join(words[k : k + WINDOW])] = None
+                rows += sorted(windows, key=lambda x: (common.hash_of(x.encode()), x))[:MAX_WINDOWS]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["window"])
+
+    # About max_rows * MAX_WINDOWS rows of WINDOW words.
+    windows = sorted(r.window.split(" ") for r in some.mapInArrow(common.tidy(mapped), "window string").toLocalIterator())
+    return train([p for p in windows if not any(agrees(p, k, 0.3) for k in TEMPLATES)])
 
 
 def find(docs: DataFrame, model: Model) -> DataFrame:
