@@ -9,18 +9,23 @@ For a unigram model an arc adds its piece's score and the maximum is the encodin
 encoding is not that maximum: it is what merging by rank gives. There an arc is admitted only if
 merging would leave its piece beside the piece that ends where the arc begins, which the pieces'
 last merges decide without running any; exactly one arc of each position is then left on the
-path, and the path is the merged encoding. Units with several spaces in a row (those pieces share one
-score) and very long units are merged one by one.
+path, and the path is the merged encoding. Units of more than ``LONGEST`` bytes, as of scripts without spaces, are too few of a
+length to advance together: each advances alone, with the substrings of ``STRIDE`` positions probed at
+once. Units with several spaces in a row are merged one by one, as those pieces share one score and the rule about
+last merges does not hold for ties.
 
 Texts are not normalised but for a leading space, as the model says; a text with U+2581 in it
 encodes as if that were a space, so decoding it gives a space. Characters without a piece become byte pieces.
-Null and empty texts have no pieces. Rows that repeat are answered each; other columns are ignored.
+Null and empty texts have no pieces and decode to an empty text. Among equal scores the arc with the
+longest piece wins, which in BPE never decides. Rows that repeat are answered each; an empty table gives no rows; other
+columns, whatever their names, are ignored. A text is encoded as a whole, a very long one in a block of its own.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +35,8 @@ from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Units of more bytes are merged one by one.
-LONGEST = 64
+#: Units of more bytes advance one by one, so many positions probed at once.
+LONGEST, STRIDE = 64, 1 << 14
 #: Distinct units whose encodings a worker keeps.
 CACHED = 1_000_000
 #: Bytes of text whose units are made distinct together.
@@ -82,7 +87,7 @@ class Codec:
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.longest = int(self.size[ids].max())
-        single = np.array([len(b.decode()) == 1 if i in set() or normal[i] else True for i, b in enumerate(self.bytes_of)])
+        single = np.array([len(b.decode()) == 1 if ok else True for b, ok in zip(self.bytes_of, normal)])
         # Merge order: characters first, then pieces by falling score.
         self.rank = np.zeros(len(score), np.int64)
         merged = [i for i in ids.tolist() if not single[i]]
@@ -106,7 +111,7 @@ class Codec:
         self._forget()
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if not k.startswith(("memo", "seen", "store"))}
+        return {k: v for k, v in self.__dict__.items() if not k.startswith(("memo", "seen", "store", "alone"))}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -115,6 +120,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
+        self.alone: dict[int, bool] = {}
         self.seen = np.zeros(0, np.uint64)
         self.seen_at = np.zeros(0, np.int32)
         self.seen_n = np.zeros(0, np.int32)
@@ -269,25 +275,90 @@ class Codec:
             piece = np.where(piece < 0, self.byte_id[units[unit, np.minimum(first + inner, length - 1)]], piece)
         return piece.astype(np.int32), np.bincount(unit, minlength=n)
 
+    def _stays(self, first: int, second: int) -> bool:
+        """``_stay`` of one pair."""
+        key = first * len(self.size) + second
+        found = self.alone.get(key)
+        if found is None:
+            a, b, limit, found = first, second, 1 << 40, True
+            while True:
+                both = self.id_of.get(self.bytes_of[a] + self.bytes_of[b])
+                if both is not None and self.rank[both] < limit:
+                    found = False
+                    break
+                ra, rb = int(self.rank[a]), int(self.rank[b])
+                if ra > rb:
+                    a, limit = int(self.right[a]), ra
+                elif rb:
+                    b, limit = int(self.left[b]), rb + 1
+                else:
+                    break
+            if len(self.alone) >= CACHED:
+                self.alone.clear()
+            self.alone[key] = found
+        return found
+
+    def viterbi_alone(self, unit: np.ndarray) -> np.ndarray:
+        """The encoding of one unit: from each position that is reached, in order, the arcs to later ones."""
+        n = len(unit)
+        back = common.powers(n + 1)[1]
+        sums = common.prefix_hash(unit)
+        begins = np.append((unit & 0xC0) != 0x80, True)
+        starts = np.flatnonzero(begins[:-1])
+        after = np.append(starts[1:], n)  # the end of each character
+        last, origin, best = array("i", [-2]) * (n + 1), array("q", [0]) * (n + 1), array("d", [-np.inf]) * (n + 1)
+        last[0], best[0] = -1, 0.0
+        lowest = float(self.score[self.ids].min()) - 10 if self.kind == UNIGRAM else -1e12
+        for k in range(0, len(starts), STRIDE):
+            own, ends = starts[k : k + STRIDE], after[k : k + STRIDE]
+            arcs = []
+            for size in range(1, self.longest + 1):
+                at = own[own + size <= n]
+                at = at[begins[at + size]]
+                piece = self.probe(self._key((sums[at + size] - sums[at]) * back[at], np.full(1, size)))
+                hit = piece >= 0
+                arcs.append((at[hit], at[hit] + size, piece[hit]))
+            at, to, piece = (np.concatenate(x) for x in zip(*arcs))
+            alone = np.ones(len(own), bool)
+            alone[np.searchsorted(own, at[to == ends[np.searchsorted(own, at)]])] = False  # characters that are a piece
+            at, to, piece = (np.concatenate(x) for x in ((at, own[alone]), (to, ends[alone]), (piece, np.full(int(alone.sum()), -1))))
+            order = np.lexsort((-to, at))
+            value = np.where(piece[order] >= 0, self.score[piece[order]], lowest)
+            fit = (piece[order] < 0) | self.whole[piece[order]] if self.kind == BPE else np.ones(len(order), bool)
+            for j, i, p, v, ok in zip(at[order].tolist(), to[order].tolist(), piece[order].tolist(), value.tolist(), fit.tolist()):
+                before = last[j]
+                if before == -2 or not ok or best[j] + v <= best[i]:
+                    continue
+                if self.kind == BPE and before >= 0 and p >= 0 and not self._stays(before, p):
+                    continue
+                best[i], last[i], origin[i] = best[j] + v, p, j
+        out, i = [], n
+        while i:
+            j = origin[i]
+            out.append([last[i]] if last[i] >= 0 else self.byte_id[unit[j:i]].tolist())
+            i = j
+        return np.array([p for part in reversed(out) for p in part], np.int32)
+
     def _learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """Encode units that were not seen before."""
         if len(self.seen) + len(keys) > CACHED:
             self._forget()
         length = ends - starts
         sizes, at, parts, end = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [self.store], len(self.store)
-        plain = length <= LONGEST
+        tied = np.zeros(len(keys), bool)  # several spaces in a row
         if self.kind == BPE:
-            plain &= ~((data[np.minimum(starts + 1, len(data) - 1)] == 32) & (length > 1) & (data[starts] == 32))
+            tied = (data[np.minimum(starts + 1, len(data) - 1)] == 32) & (length > 1) & (data[starts] == 32)
+        plain = (length <= LONGEST) & ~tied
         groups: list = []
         for n in np.unique(length[plain]).tolist():
             same = np.flatnonzero(plain & (length == n))
             groups += np.array_split(same, -(-len(same) // TOGETHER))
         for part in [*groups, *np.flatnonzero(~plain)[:, None]]:
             rows = data[starts[part][:, None] + np.arange(length[part[0]])]
-            if plain[part[0]] or self.kind == UNIGRAM:
+            if plain[part[0]]:
                 ids, n = self.viterbi(rows)
             else:
-                ids = np.array(self.merge(rows.tobytes()), np.int32)
+                ids = np.array(self.merge(rows.tobytes()), np.int32) if tied[part[0]] else self.viterbi_alone(rows[0])
                 n = np.array([len(ids)])
             parts.append(ids)
             sizes[part], at[part] = n, end + np.cumsum(n) - n
