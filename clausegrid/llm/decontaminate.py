@@ -278,15 +278,15 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     Spans are those of the whole benchmark on the text as it came, whatever the blocks.
     """
-    names, schema = docs.columns, docs.schema
-    where, width = names.index("text"), len(names)
+    names, own = docs.columns, common.plain(docs)
+    where, width, schema = names.index("text"), len(names), own.schema
     automata = _automata(benchmark, window, block_words)
     only, second = next(automata), next(automata, None)
     sent = docs.sparkSession.sparkContext.broadcast(only if second is None else None)
     if second is not None:  # the spans of all blocks first, then one join with the documents that have any
         marks = find(docs, benchmark, window, block_words).where("size(spans) > 0").select(common.as_id("doc_id").alias("ident"), "text_key", "n_words", "spans").dropDuplicates(["ident", "text_key"])
-        keyed = common.plain(docs).withColumns({"ident": common.as_id(common.place(docs, "doc_id")), "text_key": common.text_key(common.place(docs, "text"))})
-        docs = keyed.join(marks, ["ident", "text_key"], "left").select(*keyed.columns[:width], "n_words", "spans")
+        keyed = own.withColumns({"ident": common.as_id(common.place(docs, "doc_id")), "text_key": common.text_key(common.place(docs, "text"))})
+        own = keyed.join(marks, ["ident", "text_key"], "left").select(*keyed.columns[:width], "n_words", "spans")
 
     def hits(batch):
         """Of each row its number of words and its spans, as far as it has any."""
@@ -315,9 +315,9 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
                     texts[k] = text
                 batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
             kept = batch.select(range(width)).filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays(kept.columns, names)
+            yield pa.RecordBatch.from_arrays(kept.columns, schema.names)
 
-    return docs.mapInArrow(common.tidy(mapped), schema)
+    return own.mapInArrow(common.tidy(mapped), schema).toDF(*names)
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

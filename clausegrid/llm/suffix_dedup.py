@@ -15,7 +15,8 @@ whose first bytes occur elsewhere can decide that, so the texts are reduced firs
 
 Hashes are of 64 bits; contexts are taken for equal if two of them agree, of the anchor's bytes and
 of the context. Null counts as empty; texts shorter than ``depth`` bytes keep all. Matches never
-cross documents. Rows that repeat (in id and text) are each other's copies. Other columns are ignored.
+cross documents. Rows that repeat (in id and text) are each other's copies. A text of more than 4 MB is
+read in pieces that overlap. An empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

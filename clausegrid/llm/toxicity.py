@@ -18,8 +18,9 @@ alone, and the r best where they are together.
 Learned from at most ``max_rows`` labelled documents of either label, chosen by a hash of their id:
 two thirds are counted, over their whole texts, and one third calibrates. Null and empty texts have no words and score as a document
 whose best segment is 0. Labels that are null are left out; a document with several labels counts
-with the highest. Without toxic and other labelled rows all scores are 0. Rows that repeat are
-answered each.
+with the highest. Without toxic and other labelled rows all scores are 0. Of segments with equal scores the
+first in the text comes first. A very long text is scored as a whole, whatever its batch. Rows that repeat are answered
+each; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
