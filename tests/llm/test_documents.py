@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from clausegrid.llm import components, decontaminate, exact_dedup, fuzzy_lines, induced_sort, language_id, license_scan, ngram_join, piece_codec, secret_scan, suffix_dedup, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, bucket int, _key int, row_key int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, node long, bucket int, _key int, row_key int, TEXT string, DOC_ID string, Lang int, c0 int, Key string"
 ODD = [
     (1, None), (2, ""), (3, "   \n\n "), (4, "Halo dunia"), (5, "Halo dunia"), (5, "Halo dunia"), (6, "é日本🎉 \x00 AKIA"), (7, "x" * 30_000), (8, "kata " * 9000), (9, "kata " * 9000 + "akhir"),
     (10, "123 456"), (None, "tanpa nomor"), (None, "tanpa nomor"), (11, "HALO DUNIA"), (12, "a\r\nb\tc"),
+    (13, "kata lain " * 100_000), (None, "nomor lain"), (14, "kalimat yang sama dua kali"), (14, "kalimat yang berbeda sekali ini"),
 ]
 
 
 def odd(spark, rows=ODD):
-    return spark.createDataFrame([(i, t, "id" if i and i % 2 else None, "s", len(t or ""), "k", 0, 1, 2, 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, "id" if i and i % 2 else None, "s", len(t or ""), "k", 0, 1, 2, 3, "lain", "7", 5, 6, "K") for i, t in rows], SCHEMA)
 
 
 def low(t):
@@ -96,17 +97,49 @@ def test_odd_rows_are_all_answered(spark):
     assert fuzzy_lines.drop_lines(docs).count() == n
     assert all(r.round_trip for r in piece_codec.encode(docs).collect())
     assert suffix_dedup.drop_repeats(docs).count() == n
-    assert exact_dedup.drop_copies(docs).columns == docs.columns
-    assert exact_dedup.drop_copies(docs).count() == len({t or "" for _, t in ODD})
+    split = {t: words7(t) for _, t in ODD}
+    sets = {t: frozenset(tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))) if w else None for t, w in split.items()}
+    classes = {(i, t or "") if sets[t] is None else sets[t] for i, t in ODD}
+    for stage, left in ((exact_dedup.drop_copies, len({t or "" for _, t in ODD})), (ngram_join.keep_one, len(classes)), (lambda x: language_id.keep_known(x, language_id.learned(x)), None), (lambda x: decontaminate.remove(x, benchmark), None), (fuzzy_lines.drop_lines, n)):
+        kept = stage(docs)
+        assert kept.columns[: len(docs.columns)] == docs.columns
+        rows = kept.collect()
+        assert left is None or len(rows) == left
+        assert all(r[-5:] == ("lain", "7", 5, 6, "K") or r[-7:-2] == ("lain", "7", 5, 6, "K") for r in map(tuple, rows))
+
+
+def test_null_ids_are_copies_too(spark):
+    same = "satu dua tiga empat lima enam tujuh delapan sembilan sepuluh sebelas dua belas"
+    rows = [(None, same), (None, same), (None, same + " akhir"), (3, "lain sama sekali"), (3, same + "  akhir")]
+    for subset, left in ((rows[:3], 1), (rows, 2)):
+        kept = ngram_join.keep_one(frame(spark, subset), percent=80).collect()
+        assert len(kept) == left
+    assert {(r.doc_id, r.text) for r in kept} == {(3, "lain sama sekali"), (3, same + "  akhir")}
 
 
 def test_exact_dedup(spark, corpus):
     want = collections.defaultdict(list)
     for i, t in corpus:
         want[t or ""].append(i)
-    for r in exact_dedup.exact_dedup(frame(spark, corpus), capacity=20, max_depth=6).collect():
-        group = next(g for g in want.values() if r.doc_id in g)
-        assert (r.keep_id, r.group_size, r.kept) == (max(group), len(group), r.doc_id == max(group))
+    # With 3 bits of the hash almost every key holds several texts.
+    for bits in (64, 3):
+        for r in exact_dedup.exact_dedup(frame(spark, corpus), capacity=20, max_depth=6, key_bits=bits).collect():
+            group = next(g for g in want.values() if r.doc_id in g)
+            assert (r.keep_id, r.group_size, r.kept) == (max(group), len(group), r.doc_id == max(group))
+
+
+def test_one_owner_task_a_bucket(spark, corpus):
+    entries = exact_dedup._entries(frame(spark, corpus)).cache()
+    owners = []
+    for capacity in (10**6, 60, 20):
+        index, directory = exact_dedup.build_index(entries, capacity, 6)
+        assert index.rdd.getNumPartitions() == directory.buckets
+        held = index.select("key", F.spark_partition_id().alias("owner")).collect()
+        assert {r.owner for r in held if directory.bucket_of_slot[(r.key % 2**64) >> (64 - directory.depth)] != r.owner} == set() if directory.depth else True
+        assert sorted(r.key for r in held) == sorted(r.key for r in entries.select("key").distinct().collect())
+        owners.append(directory.buckets)
+    assert owners[0] == 1 < owners[1] < owners[2]
+    entries.unpersist()
 
 
 def test_directory_splits_overfull_buckets():
@@ -442,11 +475,50 @@ def test_segments_are_maximal():
     assert [(a, b, s) for a, b, s in found] == [(0, 1, 4.0), (2, 3, 3.0), (4, 11, 7.0)]
 
 
+def test_texts_of_no_language_are_rejected(spark):
+    rng = random.Random(8)
+    words = {"id": "yang dan dengan untuk dalam tidak adalah pasal wajib dapat".split(), "de": "der die und nicht ein sich auf fuer ueber schon".split()}
+    rows = [(k, prose(rng, words[lang], rng.randint(20, 40)), lang) for k in range(600) for lang in [rng.choice(list(words))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.learned(docs)
+    junk = [(k, " ".join("".join(rng.sample(w, len(w))) for w in "qzxwv jjkqx vvbzq xxqjz kwqzz".split() for _ in range(6))) for k in range(50)]
+    assert sum(r.rejected for r in language_id.predict(frame(spark, junk), model).collect()) >= 45
+    assert sum(r.rejected for r in language_id.predict(docs, model).collect()) <= 6
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k * 8 + c, f"{chr(97 + k % 26)}{chr(97 + k // 26)}o" * 12, f"x{k:03}") for k in range(240) for c in range(8)], "doc_id long, text string, lang string")
+    assert len(language_id.learned(docs).languages) >= 238  # every one has learnable rows; a hash may miss one
+
+
+def test_unigram_pieces_match_the_library(tmp_path):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    from sentencepiece import sentencepiece_model_pb2
+
+    rng = random.Random(3)
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = piece_codec.UNIGRAM, True
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, False, True
+    pieces = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)] + [(f"<0x{b:02X}>", 0, 6) for b in range(256)] + [(c, -8 - k / 8, 1) for k, c in enumerate("abcdé日▁")]
+    words = {rng.choice(["▁", ""]) + "".join(rng.choice("abcdé日") for _ in range(rng.randint(2, 6))) for _ in range(300)}
+    for piece, score, kind in pieces + [(w, -2 - rng.randrange(100) / 8, 1) for w in sorted(words)]:  # eighths add up exactly
+        model.pieces.add(piece=piece, score=score, type=kind)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), piece_codec.Codec(str(path))
+    score = {k: p.score for k, p in enumerate(model.pieces)}
+    texts = ["".join(rng.choice("abcdé日 x🎉") for _ in range(rng.randint(0, 30))) for _ in range(300)] + ["".join(rng.choice("abcdé日x") for _ in range(rng.randint(70, 300))) for _ in range(60)]
+    ids, ends = codec.encode([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        own, theirs = ids[ends[k] : ends[k + 1]].tolist(), library.encode(t)
+        assert sum(score[i] for i in own) == sum(score[i] for i in theirs) and library.decode(own) == t
+
+
 def test_piece_codec_matches_the_library(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     library = sentencepiece.SentencePieceProcessor(model_file=piece_codec.MODEL)
     rng = random.Random(1)
-    texts = ["Hello world", "  two  spaces   here ", "a\n\nb", "日本語 🎉", "x" * 200, "", " " * 40, "naïve\tcafé\x00"] + ["".join(rng.choice(of) for _ in range(rng.randint(0, 40))) for of in ("ab ", "etaoin  ", "aé日🎉 \n", "thetionin") for _ in range(300)]
+    texts = ["Hello world", "  two  spaces   here ", "a\n\nb", "日本語 🎉", "x" * 200, "", " " * 40, "naïve\tcafé\x00", "人工智能" * 90, "x" * 3000, "=-" * 100, "日本語テキスト" * 20 + "  " + "한국어" * 40] + ["".join(rng.choice(of) for _ in range(rng.randint(0, 40))) for of in ("ab ", "etaoin  ", "aé日🎉 \n", "thetionin") for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     tokens = piece_codec.encode(docs)
     got = {r.doc_id: r for r in tokens.collect()}
