@@ -8,7 +8,7 @@ its own different words. So an edited word changes two blocks at most, that of t
 new one, and by the pigeonhole principle lines that differ in fewer words than half their blocks agree on a
 block. (In blocks cut from one SimHash every word has a vote in every block; one word in ten
 changes nine bits of 64, all over.) Lines that agree on a block of two words or more, or on three of five blocks where lines have fewer than
-ten words, are compared: they link if their SimHashes differ in at most ``BITS`` bits and their normal forms have
+ten words, are compared: they link if their SimHashes differ in at most ``BITS`` bits, by their length, and their normal forms have
 an edit similarity (1 - distance / longer length) of ``SIMILARITY`` or more. Lines near the upper
 end of a class are in the next one too, so that lines of similar length always meet.
 
@@ -38,7 +38,10 @@ from pyspark.sql import functions as F
 from . import common
 from .components import components
 
-BITS, SIMILARITY = 22, 0.8
+#: Bits that SimHashes may differ in, of lines of fewer than ``SHORT`` characters and of longer ones; an edited word weighs more in a short line.
+SHORT, BITS, SIMILARITY = 80, (18, 12), 0.8
+#: Characters of a line that a key counts; longer lines pass the test of lengths.
+LONG = (1 << 15) - 1
 #: Lines of so many words or more have so many blocks, of which so many together are a key; from the last class on, twice the words have twice the blocks.
 CLASSES = [(1, 5, 3), (10, 5, 1), (20, 6, 1), (40, 10, 1), (80, 16, 1), (160, 24, 1)]
 #: Different words that a key must stand for.
@@ -181,6 +184,15 @@ def _most(length, similarity: float):
     return np.floor((1 - similarity) * length + 1e-9).astype(np.int64)
 
 
+def _apart(a: str, b: str) -> int:
+    """Fewest edits that account for the three-letter strings of one that the other lacks, as each edit breaks three at most."""
+    if len(a) < 24:
+        return 0
+    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in (a, b))
+    x, y = (t[:-2] << 42 | t[1:-1] << 21 | t[2:] for t in (x, y))
+    return -(-int((~np.isin(x, y)).sum()) // 3)
+
+
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     most = int(_most(np.float64(max(len(a), len(b))), similarity))
     if abs(len(a) - len(b)) > most:
@@ -192,6 +204,8 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     if max(len(a), len(b)) <= most:
         return True
     # Replacing word by word costs no less than the distance; where that is little enough, it need not be found.
+    if _apart(a, b) > most:
+        return False
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
         return True
@@ -202,37 +216,46 @@ def _row_key(doc_id, text):
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
-LINE, KEYS = 0, 1
+def _occurrences(docs: DataFrame) -> DataFrame:
+    """(row_key, doc_id, number, node): each line with words."""
+
+    def mapped(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column("text"))
+            for i, j in common.blocks(offsets):
+                doc, number, node, *_ = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
+                of = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node)], ["row_key", "doc_id", "number", "node"])
+
+    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint")
 
 
-def _read(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(kind, row_key, doc_id, number, node) of each line with words, and (kind, bucket, blob) of the keys, nodes, sketches and sizes of each batch's different lines."""
-    names = ["kind", "row_key", "doc_id", "number", "node", "bucket", "blob"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, blob): the keys, nodes, sketches and sizes of each batch's different lines, in the bucket of the key."""
 
     def mapped(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column("text"))
             held: list[tuple] = []
             for i, j in common.blocks(offsets):
-                doc, number, node, sketch, size, (*_, first, hashed) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                of = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), LINE, np.int32)), batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node), *(pa.nulls(len(node), t) for t in kinds[5:])], names)
+                _, _, node, sketch, size, (*_, first, hashed) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 line, key = block_keys(hashed, first)
-                held.append((key, node[line], sketch[line], size[line]))
-            key, node, sketch, size = (np.concatenate(x) for x in zip(*held)) if held else [np.zeros(0, np.int64)] * 4
-            if len(key):
-                home = (common.mix(key) >> np.uint64(33)) % np.uint64(n_buckets)
-                order = np.lexsort((node, key, home))
-                key, node, sketch, size, home = (x[order] for x in (key, node, sketch, size, home))
-                new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-                key, node, sketch, size, home = (x[new] for x in (key, node, sketch, size, home))
-                cuts = np.searchsorted(home, np.arange(n_buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cuts)).tolist()
-                blobs = [np.concatenate([key[a:b].view(np.uint8), node[a:b].view(np.uint8), sketch[a:b].view(np.uint8), size[a:b].astype(np.int32).view(np.uint8)]).tobytes() for a, b in zip(cuts[full].tolist(), cuts[1:][full].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([KEYS] * len(full), pa.int32()), *(pa.nulls(len(full), t) for t in kinds[1:5]), pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names)
-
-    return docs.mapInArrow(common.tidy(mapped), "kind int, row_key bigint, doc_id bigint, number int, node bigint, bucket int, blob binary")
+                held.append((key, node[line], sketch[line], np.minimum(size[line], LONG).astype(np.int16)))
+            if not held or not sum(len(x[0]) for x in held):
+                continue
+            key, node, sketch, size = (np.concatenate(x) for x in zip(*held))
+            home = (common.mix(key) >> np.uint64(33)) % np.uint64(n_buckets)
+            order = np.lexsort((node, key, home))
+            key, node, sketch, size, home = (x[order] for x in (key, node, sketch, size, home))
+            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+            key, node, sketch, size, home = (x[new] for x in (key, node, sketch, size, home))
+            key = key.astype(np.uint32)  # enough within a bucket; who shares it by chance is not close
+            cuts = np.searchsorted(home, np.arange(n_buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            blobs = [b"".join(x[a:b].tobytes() for x in (node, sketch, key, size)) for a, b in zip(cuts[full].tolist(), cuts[1:][full].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+    return docs.select("text").mapInArrow(common.tidy(mapped), "bucket int, blob binary")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -252,7 +275,7 @@ PAIR, KEYED = 0, 1
 _FOUND = "kind int, a bigint, b bigint, sketch bigint, size bigint"
 
 
-def _partners(key, node, sketch, size, group, bits: int, similarity: float, all_pairs: bool):
+def _partners(key, node, sketch, size, group, bits: tuple[int, int], similarity: float, all_pairs: bool):
     """Pairs of lines (places in the columns, which are sorted by key) with one key, in different groups, whose SimHashes are close and whose lengths allow the similarity; without ``all_pairs`` only those of which either line has had no partner at the key. And which lines have one."""
     lone, held, n = np.ones(len(node), bool), [], 0
     live, step = np.arange(len(node)), 1
@@ -260,8 +283,9 @@ def _partners(key, node, sketch, size, group, bits: int, similarity: float, all_
         live = live[live + step < len(node)]
         live = live[key[live] == key[live + step]]
         other = live + step
-        good = (np.bitwise_count(sketch[live] ^ sketch[other]) <= bits) & (group[live] != group[other])
-        good &= np.abs(size[live] - size[other]) <= _most(np.maximum(size[live], size[other]), similarity)
+        longer = np.maximum(size[live], size[other])
+        good = (np.bitwise_count(sketch[live] ^ sketch[other]) <= np.where(longer < SHORT, *bits)) & (group[live] != group[other])
+        good &= (np.abs(size[live] - size[other]) <= _most(longer, similarity)) | (longer >= LONG)
         if not all_pairs:
             good &= lone[live] | lone[other]
         i, j = live[good], other[good]
@@ -280,7 +304,7 @@ def _rows(kind: int, a, b, sketch, size) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(x.astype(np.int64), pa.int64()) for x in (a, b, sketch, size))], ["kind", "a", "b", "sketch", "size"])
 
 
-def _close(bits: int, similarity: float):
+def _close(bits: tuple[int, int], similarity: float):
     """Reducer of a bucket of keys: a partner for every line that has one, as (a, b), and the keys of these lines, as (node, key, sketch, size)."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,26 +312,26 @@ def _close(bits: int, similarity: float):
         for batch in batches:
             for blob in batch.column("blob"):
                 blob = blob.as_buffer()
-                n = blob.size // 28
-                for k, part in enumerate(parts):
-                    part.append(np.frombuffer(blob, np.int64 if k < 3 else np.int32, n, 8 * n * k))
-        key, node, sketch, size = (np.concatenate(x) for x in parts)
+                n = blob.size // 22
+                for part, kind, at in zip(parts, (np.int64, np.uint64, np.uint32, np.int16), (0, 8, 16, 20)):
+                    part.append(np.frombuffer(blob, kind, n, at * n))
+        node, sketch, key, size = (np.concatenate(x) for x in parts)
         order = np.argsort(key, kind="stable")
         shared = key[order][1:] == key[order][:-1]
         order = order[np.r_[shared, False] | np.r_[False, shared]]
         order = order[np.lexsort((node[order], key[order]))]
         key, node = key[order], node[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])] if len(order) else np.zeros(0, bool)
-        key, node, sketch, size = key[new], node[new], sketch[order][new].view(np.uint64), size[order][new].astype(np.int64)
+        key, node, sketch, size = key[new], node[new], sketch[order][new], size[order][new].astype(np.int64)
         for i, j, met in _partners(key, node, sketch, size, node, bits, similarity, False):
             yield _rows(PAIR, np.minimum(node[i], node[j]), np.maximum(node[i], node[j]), i, i)
             if met is not None:
-                yield _rows(KEYED, node[met], key[met], sketch[met].view(np.int64), size[met])
+                yield _rows(KEYED, node[met], key[met].astype(np.int64), sketch[met].view(np.int64), size[met])
 
     return reduced
 
 
-def _close_again(bits: int, similarity: float):
+def _close_again(bits: tuple[int, int], similarity: float):
     """Reducer of a bucket of keys: all pairs of lines of different groups."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,16 +355,14 @@ def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "x", "y").mapInArrow(common.tidy(mapped), "a bigint, b bigint")
 
 
-def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def removed(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """(row_key, numbers): the numbers of the lines to remove from each row that loses any."""
     docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     n_buckets = common.buckets(docs)
     last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
-    read = common.checkpoint(_read(docs, n_buckets))
-    occurrences = read.where(F.col("kind") == LINE).select("row_key", "doc_id", "number", "node")
+    close = common.checkpoint(_keys(docs, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(bits, similarity)), _FOUND))
+    occurrences = common.checkpoint(_occurrences(docs))
     lines = common.checkpoint(occurrences.groupBy("node").agg(F.min(last).alias("first"), F.count("*").alias("rows")))
-    keys = read.where(F.col("kind") == KEYS).select("bucket", "blob")
-    close = common.checkpoint(keys.groupBy("bucket").applyInArrow(common.tidy(_close(bits, similarity)), _FOUND))
     one = common.checkpoint(close.where(F.col("kind") == PAIR).select("a", "b").distinct())
     ends = common.checkpoint(one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct())  # a line with any partner has one in ``one``
     rows = common.checkpoint(lines.join(ends, "node", "left_semi").select(F.col("first.row_key").alias("row_key")).distinct())
@@ -367,7 +389,7 @@ def removed(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -
     return gone.groupBy("row_key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
 
 
-def drop_lines(docs: DataFrame, bits: int = BITS, similarity: float = SIMILARITY) -> DataFrame:
+def drop_lines(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with all their columns and texts without the removed lines, and ``n_lines`` and ``n_removed``."""
     gone = removed(docs, bits, similarity).select("row_key", F.col("numbers").alias("lost"))
     keyed, text = common.plain(docs), F.col(common.place(docs, "text"))
