@@ -133,13 +133,10 @@ def restore_interrupted(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), jobs.restore(status).alias("status"))
 
 
-@query("job_recent", "SELECT o_orderkey AS job_id, CAST(row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS BIGINT) AS place FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 64")
+@query("job_recent", "SELECT o_orderkey AS job_id, o_orderdate AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey")
 def job_recent(spark, d):
-    """The newest jobs, as many as a list shows."""
-    top = table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(jobs.QUEUE)
-    from pyspark.sql import Window
-
-    return top.select(F.col("o_orderkey").alias("job_id"), F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("place"))
+    """All jobs, the newest first."""
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderdate").alias("created")).orderBy(F.desc("created"), "job_id")
 
 
 @query("admission", "SELECT o_orderkey AS job_id, row_number() OVER (ORDER BY o_orderdate, o_orderkey) <= 64 AS admitted FROM orders WHERE o_orderstatus = 'O'")
@@ -148,15 +145,15 @@ def admission(spark, d):
     return jobs.admitted(w, ["o_orderdate", "job_id"]).select("job_id", "admitted")
 
 
-@query("stream_job_state")
+@query("stream_job_state", f"WITH {_PROGRESS} SELECT job_id, node, status FROM p")
 def stream_job_state(spark, d):
-    """Step states kept by a stream over the event files; a stateful stream has no SQL form."""
+    """Step states kept by a stream over the event files: what ``progress_steps`` finds at once."""
     from clausegrid.streaming import jobs as streams
 
     return streams.run_over_files(spark, d)
 
 
-@query("stream_trace")
+@query("stream_trace", f"{_COALESCED} SELECT user_id AS job_id, CAST(seq AS BIGINT) AS seq, node, kind, string_agg(text, '' ORDER BY event_id) AS text FROM s GROUP BY user_id, seq, node, kind")
 def stream_trace(spark, d):
     """Trace entries extended by a stream, one row for each entry as it last stood."""
     from clausegrid.streaming import trace as streams

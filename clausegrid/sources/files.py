@@ -137,15 +137,17 @@ def pdf_text(data: bytes, tool: str = "pdftotext", seconds: int = PDF_SECONDS) -
 
 
 def read_paths(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, content, format, length) of files up to ``max_bytes``."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", "content", "length", file_format(F.col("path")).alias("format"))
+    """(path, content, format, length) of files; those over ``max_bytes`` are ``oversized`` and come without their content, which is not read."""
+    files = spark.read.format("binaryFile").load(path)
+    fits = files.where(F.col("length") <= max_bytes).select("path", "content", "length", file_format(F.col("path")).alias("format"))
+    return fits.unionByName(files.where(F.col("length") > max_bytes).select("path", F.lit(None).cast("binary").alias("content"), "length", F.lit("oversized").alias("format")))
 
 
 def paragraphs(docs: DataFrame, keys: list[str], path: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
     """(paragraphs, errors) of documents of any format, each read where it lies."""
     kinds = dict(docs.dtypes)
-    marked = docs.withColumn("_format", file_format(F.col(path)))
+    found = file_format(F.col(path))
+    marked = docs.withColumn("_format", F.when(F.col("format") == "oversized", "oversized").otherwise(found) if "format" in docs.columns else found)
     plain = text_paragraphs(marked.where("_format = 'text'"), keys, content)
     blank = [F.lit("").alias("style"), F.lit(0).alias("list_id"), F.lit(0).alias("list_lvl"), F.lit(False).alias("in_table"), F.lit(0).alias("tbl"), F.lit(0).alias("tbl_row"), F.lit(0).alias("tbl_col")]
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", {PARAGRAPH}, error string"
@@ -164,7 +166,7 @@ def paragraphs(docs: DataFrame, keys: list[str], path: str = "path", content: st
                     elif record["_format"] == "pdf":
                         found = [_PLAIN | {"idx": i, "raw": x.rstrip(" \t")} for i, x in enumerate(pdf_text(record[content] or b"").rstrip().split("\n"))]
                     else:
-                        raise ValueError("unsupported file type")
+                        raise ValueError("the file is too large" if record["_format"] == "oversized" else "unsupported file type")
                     rows += [key | p | {"error": None} for p in found]
                 except (ValueError, ElementTree.ParseError, subprocess.SubprocessError) as e:
                     rows.append(key | dict.fromkeys(_COLUMNS) | {"error": str(e)})

@@ -6,13 +6,13 @@ late reads the table, then follows the batches.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausegrid.operators import jobs
 
+from .sinks import settle
+
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
@@ -35,15 +35,15 @@ def states(stream: DataFrame) -> DataFrame:
 
 
 def inbox(spark: SparkSession, path: str, max_bytes: int = 32 << 20) -> DataFrame:
-    """Uploaded files as a stream: (pair_id, side, path, content) of <inbox>/<pair>/<side>.<suffix>, oversized ones left out."""
+    """Uploaded files as a stream: (pair_id, side, path, content, error) of <inbox>/<pair>/<side>.<suffix>; an oversized one has an error and no content."""
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(path)
     pair, side = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"(prev|curr)\.[^./]*$", 1)
-    return files.where((F.col("length") <= max_bytes) & (side != "")).select(pair.alias("pair_id"), side.alias("side"), "path", "content")
+    fits = F.col("length") <= max_bytes
+    error = F.when(~fits, F.lit(f"larger than {max_bytes} bytes"))
+    return files.where(side != "").select(pair.alias("pair_id"), side.alias("side"), "path", F.when(fits, F.col("content")).alias("content"), error.alias("error"))
 
 
 def run_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The states after all event files there are now, in a table of this session."""
-    name = f"job_states_{uuid.uuid4().hex[:8]}"
-    query = states(events(spark, f"{sf_dir}/events.parquet*")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("job_id", "node", "status")
+    """The states after all event files there are now: of each step's updates the last."""
+    updates = settle(states(events(spark, f"{sf_dir}/events.parquet*")), "update")
+    return updates.groupBy("job_id", "node").agg(F.max_by("status", "event_id").alias("status"))

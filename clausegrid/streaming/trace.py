@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .jobs import events
+from .sinks import settle
 
 ENTRY = "job_id bigint, seq bigint, node string, kind string, text string, version bigint"
 STATE = "seq bigint, node string, kind string, text string"
@@ -50,7 +50,4 @@ def run_over_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type") == "error", "note").when(F.col("event_type") == "view", "thought").otherwise("tool_call")
     node = F.when(F.col("event_type").isin("view", "click"), "triage").otherwise("analyze")
     pieces = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("order"), node.alias("node"), kind.alias("kind"), F.col("event_type").alias("text"))
-    name = f"trace_{uuid.uuid4().hex[:8]}"
-    query = entries(pieces).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).groupBy("job_id", "seq").agg(F.max_by(F.struct("node", "kind", "text"), "version").alias("x")).select("job_id", "seq", "x.*")
+    return settle(entries(pieces), "append").groupBy("job_id", "seq").agg(F.max_by(F.struct("node", "kind", "text"), "version").alias("x")).select("job_id", F.col("seq").cast("long").alias("seq"), "x.*")

@@ -58,3 +58,19 @@ def test_inbox(spark, tmp_path):
     query = jobs.inbox(spark, str(tmp_path)).writeStream.format("memory").queryName("inbox_rows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.pair_id, r.side) for r in spark.table("inbox_rows").collect()] == [("pair7", "prev")]
+
+
+def test_oversized_files_are_errors(spark, tmp_path):
+    from clausegrid.sources import files
+    from clausegrid.streaming import jobs
+
+    (tmp_path / "pair1").mkdir()
+    (tmp_path / "pair1" / "prev.txt").write_text("Pasal 1\nisi")
+    (tmp_path / "pair1" / "curr.txt").write_text("x" * 200)
+    docs = files.read_paths(spark, f"{tmp_path}/*/*", max_bytes=100)
+    paragraphs, errors = files.paragraphs(docs, ["path"])
+    assert paragraphs.count() == 2
+    assert [(r.path.rsplit("/", 1)[1], r.error) for r in errors.collect()] == [("curr.txt", "the file is too large")]
+    query = jobs.inbox(spark, str(tmp_path), max_bytes=100).writeStream.format("memory").queryName("oversized_rows").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert {(r.side, r.content is None, r.error is None) for r in spark.table("oversized_rows").collect()} == {("prev", False, True), ("curr", True, False)}
