@@ -204,12 +204,10 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     if max(len(a), len(b)) <= most:
         return True
     # Replacing word by word costs no less than the distance; where that is little enough, it need not be found.
-    if _apart(a, b) > most:
-        return False
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
         return True
-    return distance(a, b, most) <= most
+    return _apart(a, b) <= most and distance(a, b, most) <= most
 
 
 def _row_key(doc_id, text):
