@@ -37,7 +37,7 @@ DIMENSIONS = 16
 #: Most labelled documents that the model is fitted on.
 MAX_ROWS = 2000
 #: Most different n-grams of one of them.
-MAX_GRAMS = 4096
+MAX_GRAMS = 1024
 PRECISION, MAX_REJECTED, MARGIN = 0.99, 0.001, 0.75
 UNKNOWN = "und"
 
@@ -223,7 +223,10 @@ def fit(docs: DataFrame, learnable: Column, max_rows: int = MAX_ROWS) -> Model |
     # About max_rows rows, each of twice MAX_GRAMS n-grams at most.
     got = sorted((r.lang, *map(bytes, r[1:])) for r in chosen.mapInArrow(common.tidy(mapped), "lang string, at binary, share binary, other_at binary, other_share binary").toLocalIterator())
     got = [(k, *(np.frombuffer(x, (np.int32, np.float32)[i % 2]) for i, x in enumerate(rest))) for k, *rest in got if rest[0]]
-    return train([(a, b) for _, a, b, *_ in got], [k for k, *_ in got], foreign=[(a, b) for *_, a, b in got]) if got else None
+    model = train([(a, b) for _, a, b, *_ in got], [k for k, *_ in got], foreign=[(a, b) for *_, a, b in got]) if got else None
+    got.clear()
+    common.trim()  # the driver goes on
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
