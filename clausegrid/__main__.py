@@ -75,6 +75,8 @@ def _inspect(spark: SparkSession, asked) -> int:
     else:
         for r in sinks.tree_lines(found["nodes"], plan.KEYS).orderBy("preorder").collect():
             print(r.line)
+        for r in sinks.finding_lines(found["findings"], plan.KEYS).orderBy("place").collect():
+            print(r.line)
     for r in found["refs"].orderBy("para_index", "ref_seq").select(F.format_string("[%d] %s -> %s", "para_index", "raw", "target_id").alias("line")).collect() if asked.refs else []:
         print(r.line)
     return 0

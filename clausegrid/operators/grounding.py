@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from clausegrid.functions import text as T
 
+# Fixed value: what a finding says whose edits were all rejected.
+REJECTED = " (usulan perbaikan otomatis ditolak validator; perlu tinjauan manual)"
+
 
 def rejection(kind: Column, index: Column, n_paragraphs: Column, text: Column, old: Column, new: Column) -> Column:
     """The first rule that an action breaks, null if it holds: out_of_range, no_index, empty_old, not_found, no_change."""
@@ -32,10 +35,12 @@ def ground_actions(actions: DataFrame, paragraphs: DataFrame, keys: list[str]) -
 
 
 def ground_findings(findings: DataFrame, grounded: DataFrame, keys: list[str]) -> DataFrame:
-    """``findings`` with counts of accepted and rejected actions; one with none left loses half its confidence."""
+    """``findings`` with counts of accepted and rejected actions; one with none left loses half its confidence, and its message says so."""
     per = grounded.groupBy(*keys).agg(F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
     out = findings.join(per, keys, "left").withColumns({"accepted": F.coalesce("accepted", F.lit(0).cast("long")), "rejected": F.coalesce("rejected", F.lit(0).cast("long"))})
-    return out.withColumn("confidence", F.when((F.col("accepted") == 0) & (F.col("rejected") > 0), F.col("confidence") * 0.5).otherwise(F.col("confidence")))
+    lost = (F.col("accepted") == 0) & (F.col("rejected") > 0)
+    said = {"message": F.concat("message", F.when(lost, REJECTED).otherwise(""))} if "message" in findings.columns else {}
+    return out.withColumns({"confidence": F.when(lost, F.col("confidence") * 0.5).otherwise(F.col("confidence")), **said})
 
 
 def feedback(grounded: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -19,7 +19,7 @@ def runs(headings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parallel_runs(headings: DataFrame, keys: list[str]) -> DataFrame:
-    """Members of long runs of documents whose runs alternate; adds run, run_len, place (from 1), shortest and base (the first run's ordinal there)."""
+    """Members of long runs of documents whose runs alternate; adds run, run_len, place (from 1), shortest, base (the first run's ordinal there) and, where headings have them, its base_pos, base_keyword, base_number and base_label."""
     long = runs(headings, keys).where(F.col("run_len") >= MIN_RUN)
     whole = Window.partitionBy(*keys)
     long = long.withColumn("run", F.row_number().over(whole.orderBy("first_pos", "keyword")))
@@ -29,8 +29,9 @@ def parallel_runs(headings: DataFrame, keys: list[str]) -> DataFrame:
     members = members.withColumn("switches", F.sum(F.coalesce((F.col("ahead") != F.col("keyword")).cast("int"), F.lit(0))).over(whole))
     kept = members.where((F.col("n_runs") >= 2) & (F.col("n") >= 2 * MIN_RUN) & (F.col("switches") >= MIN_ALTERNATION * (F.col("n") - 1)))
     kept = kept.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "keyword").orderBy("pos")))
-    base = F.max(F.when(F.col("run") == 1, F.col("ordinal"))).over(Window.partitionBy(*keys, "place"))
-    return kept.withColumn("base", base).drop("ahead")
+    first = lambda c: F.max(F.when(F.col("run") == 1, F.col(c))).over(Window.partitionBy(*keys, "place"))
+    named = {f"base_{c}": first(c) for c in ("pos", "keyword", "number", "label") if c in headings.columns}
+    return kept.withColumns({"base": first("ordinal"), **named}).drop("ahead")
 
 
 def mismatches(headings: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,7 +43,8 @@ def mismatches(headings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def describe(headings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, counts): how many headings each parallel run has, in run order."""
+    """(keys, counts, counted): how many headings each parallel run has, in run order, as text and as a list."""
     p = parallel_runs(headings, keys).groupBy(*keys, "run", "keyword").agg(F.count("*").alias("n"))
-    text = F.concat(F.lit('"'), F.col("keyword"), F.lit('" punya '), F.col("n").cast("string"))
-    return p.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", text.alias("text")))), lambda x: x["text"]), " dan ").alias("counts"))
+    p = p.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("run", "keyword", F.col("n").cast("string").alias("n")))).alias("_runs"))
+    said = lambda between, after: F.transform("_runs", lambda x: F.concat(F.lit('"'), x["keyword"], F.lit(between), x["n"], F.lit(after)))
+    return p.select(*keys, F.array_join(said('" punya ', ""), " dan ").alias("counts"), said('": ', " judul").alias("counted"))

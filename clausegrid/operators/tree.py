@@ -23,7 +23,7 @@ ARTICLES = ("pasal", "article")
 CAPTIONED = ("bab", "bagian", "paragraf")
 ALPHA = ("LOWER", "UPPER")
 
-NODE_FIELDS = "node_id string, parent_id string, preorder int, kind string, label string, number string, ordinal int, marker_kind string, marker_form string, marker_raw string, level int, head_index int, start int, end int, title string, path string, article_id string, article_number string, article_kind string"
+NODE_FIELDS = "node_id string, parent_id string, preorder int, kind string, label string, number string, ordinal int, marker_kind string, marker_form string, marker_raw string, level int, head_index int, start int, end int, title string, path string, full_path string, article_id string, article_number string, article_kind string"
 REF_FIELDS = "para_index int, ref_seq int, raw string, start int, end int, kind string, pasal string, ayat string, huruf string, angka string, lang string"
 
 
@@ -54,13 +54,12 @@ class Node:
 
     def path(self) -> str:
         """The citation of a node, from its article down."""
-        parts, node = [], self
-        while node and node.kind != "root":
-            parts.append(node.cited())
-            if node.kind in ARTICLES:
-                break
-            node = node.parent
-        return " ".join(reversed(parts))
+        above = "" if self.kind in ("root", *ARTICLES) else self.parent.path()
+        return f"{above} {self.cited()}".strip() if self.kind != "root" else ""
+
+    def full_path(self) -> str:
+        """The citation of a node with all that it lies in."""
+        return f"{self.parent.full_path()} {self.cited()}".strip() if self.kind != "root" else ""
 
 
 def one_family(a: dict, b: dict) -> bool:
@@ -184,7 +183,7 @@ def rows_of(root: Node) -> list[tuple]:
         a = n.article()
         m = n.marker or {}
         start = max(0, n.head)
-        out.append((n.ident, n.parent.ident if n.parent else None, k, n.kind, n.label, n.number, n.ordinal, m.get("kind"), m.get("form"), m.get("raw"), n.level, n.head, start, max(start, n.end), n.title, n.path(), a.ident if a else None, a.number if a else None, a.kind if a else None))
+        out.append((n.ident, n.parent.ident if n.parent else None, k, n.kind, n.label, n.number, n.ordinal, m.get("kind"), m.get("form"), m.get("raw"), n.level, n.head, start, max(start, n.end), n.title, n.path(), n.full_path(), a.ident if a else None, a.number if a else None, a.kind if a else None))
     return out
 
 

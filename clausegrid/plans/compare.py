@@ -31,11 +31,11 @@ def sequences(nodes: DataFrame) -> DataFrame:
     first = F.first("label").over(Window.partitionBy(*KEYS, "seq_key").orderBy("head_index"))
     labels = F.create_map(*(F.lit(x) for pair in LEVEL_LABELS.items() for x in pair))
     label = F.when(F.col("kind") == "bab", "BAB").when(is_article, F.btrim(F.get(F.split(first, r"\s+"), F.lit(0)), F.lit(".:)-"))).otherwise(F.try_element_at(labels, F.col("kind")))
-    return out.select(*KEYS, "seq_key", F.col("head_index").alias("pos"), "node_id", "ordinal", "number", F.coalesce("marker_kind", F.lit("DIGIT")).alias("kind"), F.coalesce("marker_form", F.lit("BARE")).alias("form"), F.coalesce("marker_raw", "number").alias("raw"), F.col("kind").alias("node_kind"), "keyword", label.alias("seq_label"), F.when(is_list, F.coalesce("parent_path", F.lit(""))).otherwise("").alias("scope"), "parent_number", "parent_kind", "preorder")
+    return out.select(*KEYS, "seq_key", F.col("head_index").alias("pos"), "node_id", "ordinal", "number", F.coalesce("marker_kind", F.lit("DIGIT")).alias("kind"), F.coalesce("marker_form", F.lit("BARE")).alias("form"), F.coalesce("marker_raw", "number").alias("raw"), F.col("kind").alias("node_kind"), "keyword", label.alias("seq_label"), F.when(is_list, F.coalesce("parent_path", F.lit(""))).otherwise("").alias("scope"), "parent_number", "parent_kind", "preorder", "label")
 
 
 def numbering_findings(seqs: DataFrame) -> DataFrame:
-    """(pair_id, category, severity, message, para_index, node_id, stage, s1, s2): defects with messages."""
+    """(pair_id, category, severity, message, evidence, para_index, node_id, stage, s1, s2): defects with messages."""
     found = numbering.findings(seqs, [*KEYS, "seq_key"])
     inside = F.when(F.col("scope") != "", F.concat(F.lit(" dalam "), F.col("scope"))).otherwise("")
     label, number = F.col("seq_label"), F.col("number")
@@ -47,24 +47,29 @@ def numbering_findings(seqs: DataFrame) -> DataFrame:
         .when(F.col("category") == numbering.OUT_OF_ORDER, say(label, " ", number, " muncul setelah ", label, " ", F.col("before_number"), inside, " — urutan mundur"))
         .otherwise(say(label, " ", F.col("missing"), " hilang", inside, " — melompat dari ", F.col("before_number"), " ke ", number))
     )
-    out = found.select(*KEYS, "category", "severity", message.alias("message"), F.col("pos").alias("para_index"), "node_id", F.lit(1).alias("stage"), F.col("check_seq").alias("s1"), F.col("pos").alias("s2"))
+    at = lambda pos, number: say("[", pos.cast("string"), "] ", label, " ", number)
+    evidence = F.when(F.col("category") == numbering.DUPLICATE, F.array(at(F.col("holder"), number), at(F.col("pos"), number))).when(F.col("category") == numbering.GAP, F.array(at(F.col("before_pos"), F.col("before_number")), at(F.col("pos"), number)))
+    out = found.select(*KEYS, "category", "severity", message.alias("message"), evidence.alias("evidence"), F.col("pos").alias("para_index"), "node_id", F.lit(1).alias("stage"), F.col("check_seq").alias("s1"), F.col("pos").alias("s2"))
     clauses = seqs.where((F.col("node_kind") == "clause") & F.col("parent_kind").isin(*tree.ARTICLES))
     wrong = numbering.prefix_mismatches(clauses)
     text = say("Klausul ", number, " berada di bawah ", F.col("scope"), " tetapi diawali ", F.col("got"), ", seharusnya ", F.col("parent_number"))
-    return out.unionByName(wrong.select(*KEYS, "category", "severity", text.alias("message"), F.col("pos").alias("para_index"), "node_id", F.lit(1).alias("stage"), F.lit(9).alias("s1"), F.col("pos").alias("s2")))
+    return out.unionByName(wrong.select(*KEYS, "category", "severity", text.alias("message"), F.lit(None).cast("array<string>").alias("evidence"), F.col("pos").alias("para_index"), "node_id", F.lit(1).alias("stage"), F.lit(9).alias("s1"), F.col("pos").alias("s2")))
 
 
 def parallel_findings(seqs: DataFrame) -> DataFrame:
-    heads = seqs.where(F.col("node_kind").isin(*tree.ARTICLES)).select(*KEYS, "keyword", "pos", "ordinal", "number", "node_id")
+    heads = seqs.where(F.col("node_kind").isin(*tree.ARTICLES)).select(*KEYS, "keyword", "pos", "ordinal", "number", "label", "node_id")
     wrong = parallel.mismatches(heads, KEYS).join(parallel.describe(heads, KEYS), KEYS)
     count = F.concat(F.lit("Jumlah judul antar-bagian tidak sama ("), F.col("counts"), F.lit('). "'), F.col("keyword"), F.lit('" '), F.col("number"), F.lit(" tidak punya pasangan"))
-    place = F.concat(F.lit("Penomoran antar-bagian tidak sinkron pada urutan ke-"), F.col("place").cast("string"), F.lit(': "'), F.col("keyword"), F.lit('" '), F.col("number"))
-    return wrong.select(*KEYS, "category", "severity", F.when(F.col("problem") == "count", count).otherwise(place).alias("message"), F.col("pos").alias("para_index"), "node_id", F.lit(2).alias("stage"), F.when(F.col("problem") == "count", 0).otherwise(1).alias("s1"), F.col("pos").alias("s2"), "problem")
+    place = F.concat(F.lit("Penomoran antar-bagian tidak sinkron pada urutan ke-"), F.col("place").cast("string"), F.lit(': "'), F.col("base_keyword"), F.lit('" '), F.col("base_number"), F.lit(' berpasangan dengan "'), F.col("keyword"), F.lit('" '), F.col("number"))
+    at = lambda pos, label: F.concat(F.lit("["), F.col(pos).cast("string"), F.lit("] "), F.col(label))
+    evidence = F.when(F.col("problem") == "count", F.col("counted")).otherwise(F.array(at("base_pos", "base_label"), at("pos", "label")))
+    return wrong.select(*KEYS, "category", "severity", F.when(F.col("problem") == "count", count).otherwise(place).alias("message"), evidence.alias("evidence"), F.col("pos").alias("para_index"), "node_id", F.lit(2).alias("stage"), F.when(F.col("problem") == "count", 0).otherwise(1).alias("s1"), F.col("pos").alias("s2"), "problem")
 
 
 def reference_findings(prev: dict[str, DataFrame], curr: dict[str, DataFrame]) -> DataFrame:
     """Broken and shifted citations and removed articles, with the edit that would repoint one."""
     refs = integrity.resolve(curr["refs"], curr["nodes"], KEYS, "in_curr").where("not in_curr")
+    refs = integrity.quoted(refs, curr["paragraphs"], KEYS)
     refs = checkpoint(integrity.resolve(refs, prev["nodes"], KEYS, "in_prev").withColumn("in_prev", F.col("in_prev") & (F.col("target_id") != "")))
     removed = integrity.removed(prev["nodes"], curr["nodes"], KEYS)
     wanted = refs.where("in_prev").select(*KEYS, F.col("target_id").alias("node_id")).unionByName(removed.select(*KEYS, "node_id")).distinct()
@@ -83,11 +88,11 @@ def reference_findings(prev: dict[str, DataFrame], curr: dict[str, DataFrame]) -
     )
     fixed = integrity.repoint(F.col("raw"), F.col("pasal"), F.col("new_number"))
     action = F.when(F.col("x.action") == "reference_update", F.when(fixed.isNotNull(), "reference_update").otherwise("")).otherwise(F.col("x.action"))
-    one = cited.select(*KEYS, "x.category", "x.severity", message.alias("message"), "para_index", F.coalesce("cand_id", F.lit("")).alias("node_id"), F.lit("curr").alias("side"), F.lit(3).alias("stage"), F.col("para_index").alias("s1"), F.col("ref_seq").alias("s2"), action.alias("action"), F.col("raw").alias("old"), F.when(F.col("x.category") == "shifted_reference", fixed).alias("new"))
+    one = cited.select(*KEYS, "x.category", "x.severity", message.alias("message"), "evidence", "para_index", F.coalesce("cand_id", F.lit("")).alias("node_id"), F.lit("curr").alias("side"), F.lit(3).alias("stage"), F.col("para_index").alias("s1"), F.col("ref_seq").alias("s2"), action.alias("action"), F.col("raw").alias("old"), F.when(F.col("x.category") == "shifted_reference", fixed).alias("new"))
     gone = removed.join(to.select(*KEYS, F.col("target_id").alias("node_id"), "new_path"), [*KEYS, "node_id"], "left")
     said = F.concat(F.col("path"), F.lit(" tidak lagi ada di versi baru"), F.when(F.col("new_path").isNotNull(), F.concat(F.lit("; isinya tampak menjadi "), F.col("new_path"))).otherwise(""))
     none = F.lit(None).cast("string")
-    two = gone.select(*KEYS, F.lit("section_removed").alias("category"), F.when(F.col("new_path").isNotNull(), "minor").otherwise("major").alias("severity"), said.alias("message"), F.col("head_index").alias("para_index"), "node_id", F.lit("prev").alias("side"), F.lit(4).alias("stage"), F.col("preorder").alias("s1"), F.lit(0).alias("s2"), F.lit("").alias("action"), none.alias("old"), none.alias("new"))
+    two = gone.select(*KEYS, F.lit("section_removed").alias("category"), F.when(F.col("new_path").isNotNull(), "minor").otherwise("major").alias("severity"), said.alias("message"), F.lit(None).cast("array<string>").alias("evidence"), F.col("head_index").alias("para_index"), "node_id", F.lit("prev").alias("side"), F.lit(4).alias("stage"), F.col("preorder").alias("s1"), F.lit(0).alias("s2"), F.lit("").alias("action"), none.alias("old"), none.alias("new"))
     return one.unionByName(two)
 
 
@@ -129,6 +134,8 @@ def compare(prev_paragraphs: DataFrame, curr_paragraphs: DataFrame) -> dict[str,
 
 
 def inspect(paragraphs: DataFrame) -> dict[str, DataFrame]:
-    """The tree, the citations and the learned heading words of single documents."""
+    """The tree, the citations, those that lead nowhere (as findings) and the learned heading words of single documents."""
     found = structure(paragraphs)
-    return {"nodes": found["nodes"], "refs": found["refs"], "vocabulary": H.learned_vocabulary(paragraphs, KEYS, "idx", "text")}
+    broken = integrity.quoted(integrity.check(found["refs"], found["nodes"], KEYS), found["paragraphs"], KEYS)
+    broken = broken.select(*KEYS, F.concat("category", F.lit("-"), F.col("para_index").cast("string"), F.lit("-"), F.col("ref_seq").cast("string")).alias("id"), F.lit("verified").alias("class"), "category", "severity", "message", "evidence", "para_index", "citation", F.lit(1.0).alias("confidence"))
+    return {"nodes": found["nodes"], "refs": found["refs"], "findings": report.ordered(broken, KEYS), "vocabulary": H.learned_vocabulary(paragraphs, KEYS, "idx", "text")}

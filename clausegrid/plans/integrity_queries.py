@@ -49,6 +49,25 @@ def broken_refs(spark, d):
     return _resolved(spark, d).withColumn("x", x).where("x is not null").groupBy("l_orderkey", "ref_id", "x.severity", "x.action").agg(F.count("*").alias("n"))
 
 
+@query("single_document_refs", f"{_RESOLVED} SELECT ref_id, 'broken_reference' AS category, 'major' AS severity, 'Referensi ke Pasal ' || pasal || CASE WHEN ayat <> '' THEN ' ayat (' || ayat || ')' ELSE '' END || ' tidak dapat ditemukan dalam dokumen' AS message, CAST(count(*) AS BIGINT) AS n FROM x WHERE NOT in_curr GROUP BY ALL")
+def single_document_refs(spark, d):
+    """Citations that lead nowhere, without an older version to hold them against."""
+    from clausegrid.functions import references as R
+
+    refs = _refs(spark, d).withColumn("citation", R.citation(F.lit("id"), *(F.col(c) for c in ("pasal", "ayat", "huruf", "angka"))))
+    return integrity.check(refs, _versions(spark, d)[1], ["pair"]).groupBy("ref_id", "category", "severity", "message").agg(F.count("*").alias("n"))
+
+
+@query("ref_evidence", f"""WITH {LINES_SQL}, r AS (SELECT doc_id, idx, text, strpos(text, ' the ') - 1 AS a, strpos(text, ' the ') + 4 AS b FROM lines WHERE contains(text, ' the '))
+SELECT doc_id, idx AS para_index, '[' || idx || '] ' || CASE WHEN a > 60 THEN '...' ELSE '' END || substr(text, greatest(a - 60, 0) + 1, least(b + 60, length(text)) - greatest(a - 60, 0)) || CASE WHEN b + 60 < length(text) THEN '...' ELSE '' END AS evidence FROM r""")
+def ref_evidence(spark, d):
+    """What stands around the first `` the `` of every line, as a citation would be quoted."""
+    p = lines(spark, d)
+    at = F.instr("text", " the ")
+    refs = p.where(at > 0).select("doc_id", F.col("idx").alias("para_index"), (at - 1).alias("start"), (at + 4).alias("end"), F.lit(" the ").alias("raw"))
+    return integrity.quoted(refs, p, ["doc_id"]).select("doc_id", "para_index", F.col("evidence")[0].alias("evidence"))
+
+
 @query("ref_history", f"{_RESOLVED} SELECT in_curr, in_prev, CAST(count(*) AS BIGINT) AS n FROM x GROUP BY ALL")
 def ref_history(spark, d):
     return _resolved(spark, d).groupBy("in_curr", "in_prev").agg(F.count("*").alias("n"))
@@ -298,6 +317,35 @@ def advisory_build(spark, d):
     return out.select("user_id", "id", "category", "change_id", "severity", F.round("confidence", 4).alias("confidence"))
 
 
+@query("advisory_places", """
+WITH f AS (SELECT conv_id, turn, turn + 1 AS change_id, CASE WHEN turn % 4 = 0 THEN 99 END AS own FROM conversations),
+ c AS (SELECT conv_id, turn AS change_id, 'pasal:' || turn AS node_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE turn * 2 END AS first_at FROM conversations)
+SELECT f.conv_id, CAST(turn AS BIGINT) AS turn, CAST(coalesce(own, first_at) AS BIGINT) AS para_index, coalesce(node_id, '') AS node_id FROM f LEFT JOIN c USING (conv_id, change_id)""")
+def advisory_places(spark, d):
+    """Each turn as advice on the change that is the next turn; every third change touches no paragraph of the new version."""
+    t = table(spark, d, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"))
+    advice = t.select("conv_id", "turn", (F.col("turn") + 1).alias("change_id"), F.when(F.col("turn") % 4 == 0, 99).cast("long").alias("paragraph_index"))
+    indexes = F.when(F.col("turn") % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col("turn") * 2, F.col("turn") * 2 + 1))
+    changes = t.select("conv_id", F.col("turn").alias("change_id"), F.concat(F.lit("pasal:"), F.col("turn").cast("string")).alias("node_id"), indexes.alias("curr_indexes"))
+    return advisory.placed(advice, changes, ["conv_id"]).select("conv_id", "turn", "para_index", "node_id")
+
+
+@query("assemble_report", f"""WITH {LINES_SQL},
+ v AS (SELECT doc_id, 'v-' || idx AS id, 'verified' AS class, 'numbering_gap' AS category, CASE idx % 3 WHEN 0 THEN 'minor' ELSE 'major' END AS severity, idx AS para_index FROM lines WHERE idx % 4 = 1),
+ h AS (SELECT doc_id FROM labels WHERE quality = 0),
+ a AS (SELECT doc_id, 'a-' || idx AS id, 'advisory' AS class, 'legal_risk' AS category, CASE idx % 2 WHEN 0 THEN 'critical' ELSE 'info' END AS severity, idx AS para_index FROM lines WHERE idx % 5 = 2 AND doc_id NOT IN (SELECT doc_id FROM h)),
+ u AS (SELECT * FROM v UNION ALL SELECT * FROM a UNION ALL SELECT doc_id, '', 'advisory', 'meaning_change', 'info', NULL FROM h WHERE doc_id % 9 <> 0)
+SELECT doc_id, id, class, category, severity, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, coalesce(para_index, -1), id) AS BIGINT) AS place FROM u""")
+def assemble_report(spark, d):
+    """Lines as findings and advice; documents of low quality are those where a verdict finds nothing of substance, each ninth without a model."""
+    p = lines(spark, d)
+    found = lambda rows, kind, category, severity: rows.select("doc_id", F.concat(F.lit(kind[0] + "-"), F.col("idx").cast("string")).alias("id"), F.lit(kind).alias("class"), F.lit(category).alias("category"), severity.alias("severity"), F.lit("m").alias("message"), F.lit(0.5).alias("confidence"), F.col("idx").alias("para_index"), F.lit("").alias("node_id"))
+    verified = found(p.where("idx % 4 = 1"), "verified", "numbering_gap", F.when(F.col("idx") % 3 == 0, "minor").otherwise("major"))
+    advice = found(p.where("idx % 5 = 2"), "advisory", "legal_risk", F.when(F.col("idx") % 2 == 0, "critical").otherwise("info"))
+    verdicts = table(spark, d, "labels").select("doc_id", (F.col("quality") == 1).alias("substantive"), F.lit("r").alias("reason"), (F.col("doc_id") % 9 == 0).alias("no_model"))
+    return longs(advisory.assemble(verified, advice, verdicts, ["doc_id"]), "place").select("doc_id", "id", "class", "category", "severity", "place")
+
+
 @query("recommended_actions", "SELECT event_id, 'replacement' AS type FROM events WHERE event_type <> 'view' AND value >= 20")
 def recommended_actions(spark, d):
     e = table(spark, d, "events").select("event_id", F.when(F.col("event_type") != "view", F.col("event_type")).alias("old"), F.when(F.col("value") >= 20, F.col("event_id")).alias("paragraph_index"))

@@ -41,6 +41,12 @@ def descendants(nodes: DataFrame, node_id: str) -> DataFrame:
     return found.drop("_at", "_end", "_level").orderBy(*KEYS, "preorder")
 
 
+def siblings(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The nodes of a node's kind under its parent, itself included, in the order of the document."""
+    own = nodes.where(F.col("node_id") == node_id).select(*KEYS, "parent_id", "kind")
+    return nodes.join(own, [*KEYS, "parent_id", "kind"]).orderBy(*KEYS, "preorder")
+
+
 def resolve_reference(paragraphs: DataFrame, nodes: DataFrame, citation: str) -> DataFrame:
     """Each pair's answer to a citation: whether its target is there, the deepest node on the way, and the text of that."""
     found = R.extract(citation)

@@ -128,4 +128,4 @@ def parallel_mismatch(spark, d):
 @query("parallel_counts", f"""{_RUNS}, q AS (SELECT conv_id, run, keyword, count(*) AS n FROM p GROUP BY conv_id, run, keyword)
 SELECT conv_id, string_agg('"' || keyword || '" punya ' || n, ' dan ' ORDER BY run) AS counts FROM q GROUP BY conv_id""")
 def parallel_counts(spark, d):
-    return parallel.describe(_headings(spark, d), ["conv_id"])
+    return parallel.describe(_headings(spark, d), ["conv_id"]).select("conv_id", "counts")

@@ -205,9 +205,11 @@ def heading_renumber(spark, d):
     return table(spark, d, "part").select("p_partkey", T.change_title(F.lit("modified"), F.lit(False), prev, curr, context).alias("title"))
 
 
-@query("json_salvage")
+@query("json_salvage", """
+SELECT event_id, CASE WHEN event_id % 3 = 2 THEN '{"x": ' ELSE '' END || '{"k": ' || json_extract_string(props, '$.k') || '}' || CASE WHEN event_id % 3 = 2 THEN '}' ELSE '' END AS json FROM events
+""")
 def json_salvage(spark, d):
-    """A model's answers with prose or fences around the JSON (events.props); no SQL says how text is salvaged."""
+    """A model's answers with prose or fences around the JSON (events.props)."""
     import pandas as pd
 
     from clausegrid.operators import advisory

@@ -22,10 +22,12 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 
 def finding_lines(findings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, place, line): findings in report order as lines of text."""
+    """(keys, place, line): findings in report order as lines of text, each with a line for every piece of its evidence."""
     labels = F.create_map(*(F.lit(x) for pair in SEVERITY_LABELS.items() for x in pair))
     where = F.when(F.col("para_index").isNotNull(), F.concat(F.lit(" ["), F.col("para_index").cast("string"), F.lit("]"))).otherwise("")
-    return findings.select(*keys, "place", F.concat(F.lit("["), F.try_element_at(labels, F.col("severity")), F.lit("]"), where, F.lit(" "), T.clip(F.col("message"), EVIDENCE_CLIP, "...")).alias("line"))
+    head = F.concat(F.lit("["), F.try_element_at(labels, F.col("severity")), F.lit("]"), where, F.lit(" "), F.col("message"))
+    proof = F.transform(F.coalesce("evidence", F.array().cast("array<string>")), lambda e: F.concat(F.lit("\n    bukti: "), T.clip(e, EVIDENCE_CLIP, "...")))
+    return findings.select(*keys, "place", F.concat(head, F.array_join(proof, "")).alias("line"))
 
 
 def change_lines(changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -29,5 +29,21 @@ def test_comparisons(spark):
     summary = {r.pair_id: r for r in out["summary"].collect()}
     assert (summary["cut"].prev_articles, summary["cut"].curr_articles, summary["cut"].exit_code) == (4, 3, 2)
     assert (summary["same"].total, summary["same"].verified, summary["same"].exit_code) == (0, 0, 0)
+    proof = {(r.pair_id, r.category, r.para_index): r.evidence for r in out["findings"].collect()}
+    assert proof["cut", "broken_reference", 8] == ["[8] " + CURR[8]]
+    assert proof["cut", "numbering_gap", 6] == ["[5] huruf a", "[6] huruf c"]
+    assert proof["cut", "section_removed", 10] is None
     assert out["plan_warnings"].count() == 0
     assert {r.title for r in out["changes"].where("pair_id = 'cut'").collect()} == {"Teks diubah pada Pasal 1 ayat (1)", 'Teks dihapus pada Pasal 1 ayat (2) huruf b: "b. hal kedua;"', 'Teks dihapus pada Pasal 3: "Pasal 3 Denda keterlambatan sebesar satu persen…"'}
+
+
+def test_single_documents(spark):
+    lines = ["BAB I", "UMUM", "Pasal 1", "(1) " + "x" * 80 + " menurut Pasal 9 " + "y" * 80, "(2) lihat Pasal 1 ayat (1) dan Pasal 1 ayat (7)."]
+    out = compare.inspect(spark.createDataFrame([("p", i, t) for i, t in enumerate(lines)], "pair_id string, idx int, text string"))
+    found = [(r.severity, r.para_index, r.message, r.evidence) for r in out["findings"].orderBy("place").collect()]
+    at = lines[3].index("Pasal 9")
+    assert found == [
+        ("major", 3, "Referensi ke Pasal 9 tidak dapat ditemukan dalam dokumen", ["[3] ..." + lines[3][at - 60 : at + 67] + "..."]),
+        ("major", 4, "Referensi ke Pasal 1 ayat (7) tidak dapat ditemukan dalam dokumen", ["[4] " + lines[4]]),
+    ]
+    assert {r.node_id: r.full_path for r in out["nodes"].collect()}["pasal:1/ayat:2"] == "BAB I Pasal 1 ayat (2)"

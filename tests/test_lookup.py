@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 
+import pytest
 from pyspark.sql import types as Ty
 
 from clausegrid.__main__ import main
@@ -21,6 +23,7 @@ def test_lookups(spark):
     assert [(r.idx, r.node_id) for r in lookup.paragraph(p, nodes, 3, 99).collect()][:4] == [(0, "bab:I"), (1, "bab:I"), (2, "pasal:1"), (3, "pasal:1/ayat:1")]
     assert [(r.node_id, r.depth) for r in lookup.section_tree(nodes).collect()] == [("root", 0), ("bab:I", 1), ("pasal:1", 2), ("pasal:2", 2)]
     assert [r.node_id for r in lookup.descendants(nodes, "pasal:1").collect()] == ["pasal:1/ayat:1", "pasal:1/ayat:2"]
+    assert [r.node_id for r in lookup.siblings(nodes, "pasal:1/ayat:2").collect()] == ["pasal:1/ayat:1", "pasal:1/ayat:2"]
     hit = lookup.resolve_reference(p, nodes, "Pasal 1 ayat (2)").first()
     assert (hit.found, hit.node_id, hit.text) == (True, "pasal:1/ayat:2", "(2) lihat ayat (1)")
     miss = lookup.resolve_reference(p, nodes, "Pasal 1 ayat (9)").first()
@@ -46,6 +49,27 @@ def test_rejected_answers_are_asked_again():
     assert advisory.missing_tiers({"triage": "k", "analyze": ""}, list(usage.RATES)) == ["adjudicate", "analyze", "recommend"]
 
 
+def test_answers_that_are_cut_off():
+    asked = []
+    provider = lambda p, n: asked.append(n) or ('{"a": [1', True) if n < 8 else ('{"a": [1]}', False)
+    assert advisory.ask_whole(provider, "p", 4) == {"a": [1]}
+    with pytest.raises(ValueError, match="cut off at 6"):
+        advisory.ask_whole(provider, "p", 3)
+    with pytest.raises(ValueError, match="no JSON"):
+        advisory.ask_whole(lambda p, n: ("nothing", False), "p")
+    waits, tries = [], iter([OSError(), OSError(), ("[1]", False)])
+
+    def failing(p, n):
+        x = next(tries)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    assert advisory.ask_whole(failing, "p", wait=waits.append) == [1] and waits == [0.5, 1.0]
+    with pytest.raises(TimeoutError):
+        advisory.limited(lambda p: time.sleep(1), 0.05)("p")
+
+
 def test_shape():
     schema = Ty.StructType([Ty.StructField("ids", Ty.ArrayType(Ty.IntegerType())), Ty.StructField("ok", Ty.BooleanType())])
     assert advisory.shape_of(schema) == '{"ids": [number], "ok": boolean}'
