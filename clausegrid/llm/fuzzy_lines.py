@@ -199,9 +199,26 @@ def _apart(a: str, b: str) -> int:
     """Fewest edits that account for the three-letter strings of one that the other lacks, as each edit breaks three at most."""
     if len(a) < 24:
         return 0
-    x, y = (np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in (a, b))
-    x, y = (t[:-2] << 42 | t[1:-1] << 21 | t[2:] for t in (x, y))
-    return -(-int((~np.isin(x, y)).sum()) // 3)
+    known = set(zip(b, b[1:], b[2:]))
+    return -(-(len(a) - 2 - sum(map(known.__contains__, zip(a, a[1:], a[2:])))) // 3)
+
+
+def _anchored(a: str, b: str, most: int) -> int:
+    """A cost that turns one into the other: words of one, in order, stay where they stand once in the other and are not moved by more than ``most``; what lies between is replaced."""
+    where: dict[str, int] = {}
+    at = 0
+    for w in b.split(" "):
+        where[w] = -1 if w in where else at
+        at += len(w) + 1
+    cost = at = x = y = 0
+    for w in a.split(" "):
+        to = where.get(w, -1)
+        if to >= y and abs(to - at) <= most:
+            if a[x:at] != b[y:to]:
+                cost += max(at - x, to - y)
+            x, y = at + len(w), to + len(w)
+        at += len(w) + 1
+    return cost if a[x:] == b[y:] else cost + max(len(a) - x, len(b) - y)
 
 
 def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
@@ -218,7 +235,7 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
         return True
-    return _apart(a, b) <= most and distance(a, b, most) <= most
+    return _anchored(a, b, most) <= most or _apart(a, b) <= most and distance(a, b, most) <= most
 
 
 def _row_key(doc_id, text):

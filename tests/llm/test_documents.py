@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -290,6 +291,22 @@ def test_every_line_with_a_close_line_has_a_pair():
     assert {(r["a"], r["b"]) for batch in fuzzy_lines._close_again((22, 22), 0.8)(iter([again])) for r in batch.to_pylist()} == close
 
 
+def test_cheap_costs_bound_the_distance():
+    r = random.Random(5)
+    for _ in range(3000):
+        a, b = (" ".join(r.choices(["a", "bb", "ccc", "dddd", "e", "ffffffff"], k=r.randint(1, 14))) for _ in "ab")
+        d = fuzzy_lines.distance(a, b)
+        assert fuzzy_lines._anchored(a, b, 99) >= d and fuzzy_lines._anchored(a, b, 3) >= d and fuzzy_lines._apart(a, b) <= d
+        assert fuzzy_lines.alike(a, b) == (d <= int(fuzzy_lines._most(max(len(a), len(b)), 0.8)))
+
+
+def test_votes_of_long_runs():
+    bits = np.random.default_rng(1).integers(0, 2, (6000, 64)).astype(np.uint8)
+    for heads in ([0, 1, 256, 511, 800], [0, 255], [0]):
+        sizes = np.diff([*heads, len(bits)])
+        assert (fuzzy_lines._votes(bits, np.array(heads), sizes) == np.add.reduceat(bits, heads, axis=0, dtype=np.int32)).all()
+
+
 def test_fuzzy_lines_against_all_pairs(spark):
     rng = random.Random(17)
     vocabulary = ["".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(900)]
