@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # An absolute citation with its optional parts, what may follow one, and the three relative kinds.
 ABSOLUTE = (
-    r"(?i)\b(Pasal|Article|Clause|Section)\s+([0-9]{1,4}(?:\.[0-9]{1,3})*|[IVXLCDM]{1,7})"
+    r"(?i)\b(Pasal|Article|Clause|Section)\s+([0-9]+(?:\.[0-9]+)*|[IVXLCDM]{1,15})"
     r"(?:\s*(?:ayat|paragraph|para\.?)\s*\(\s*([0-9]{1,3})\s*\))?"
     r"(?:\s*(?:huruf|letter)\s+([a-zA-Z]{1,2})\b)?"
     r"(?:\s*(?:angka|number|no\.?)\s+([0-9]{1,3})\b)?"

@@ -44,3 +44,11 @@ def test_upper_is_one_for_one(spark):
     assert all(len(u) == 3 and u[0] == "A" and u[2] == "ẞ" for u in got.values())
     want = dict(duckdb.connect().execute("SELECT chr(CAST(i AS INT)), upper(chr(CAST(i AS INT))) FROM range(32, 65536) r(i) WHERE i NOT BETWEEN 55296 AND 57343").fetchall())
     assert [c for c in T.WIDENED if got[c][1] != want[c]] == []
+
+
+LINEITEM = "SELECT CAST(k AS BIGINT) AS l_partkey, CAST(s AS BIGINT) AS l_suppkey, 3 AS l_linenumber FROM range(3) a(k), (VALUES (12344), (1234), (59997), (59996), (1234567), (60000000)) b(s)"
+
+
+def test_extract_refs_of_long_numbers(agree):
+    """Articles of five digits and more are not cut to four."""
+    assert "12344" in {r[-1] for r in agree("extract_refs", lineitem=LINEITEM)}
