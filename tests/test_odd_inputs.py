@@ -52,3 +52,7 @@ LINEITEM = "SELECT CAST(k AS BIGINT) AS l_partkey, CAST(s AS BIGINT) AS l_suppke
 def test_extract_refs_of_long_numbers(agree):
     """Articles of five digits and more are not cut to four."""
     assert "12344" in {r[-1] for r in agree("extract_refs", lineitem=LINEITEM)}
+
+
+def test_ref_citations_of_long_numbers(agree):
+    assert "Pasal 12344" in {r[0] for r in agree("ref_citations", lineitem=LINEITEM)}
