@@ -56,3 +56,7 @@ def test_extract_refs_of_long_numbers(agree):
 
 def test_ref_citations_of_long_numbers(agree):
     assert "Pasal 12344" in {r[0] for r in agree("ref_citations", lineitem=LINEITEM)}
+
+
+def test_ref_target_ids_of_long_numbers(agree):
+    assert "pasal:12344" in {r[-1] for r in agree("ref_target_ids", lineitem=LINEITEM)}
