@@ -49,6 +49,10 @@ LEAST = 2
 #: Words that are dealt to blocks together.
 TOGETHER = 1 << 18
 HELD = 2_000_000
+#: Cuts of lines that are compared together, words of their table, fewest cuts and longest lines for which that pays.
+CHUNK, TABLE, FEW, LONGEST = 4096, 1 << 21, 64, 4096
+#: Words of either side to look ahead, the nearest first.
+_AHEAD = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda x: (x[0] + x[1], abs(x[0] - x[1])))
 _WORD = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
 _NORMAL = common.LOWER.copy()
 _NORMAL[0x30:0x3A] = 0x30
@@ -221,7 +225,8 @@ def _anchored(a: str, b: str, most: int) -> int:
     return cost if a[x:] == b[y:] else cost + max(len(a) - x, len(b) - y)
 
 
-def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+def _near(a: str, b: str, similarity: float) -> tuple[str, str, int] | bool:
+    """Whether two lines are similar enough, or, where cheap bounds do not tell, what of them differs and its greatest distance."""
     most = int(_most(np.float64(max(len(a), len(b))), similarity))
     if abs(len(a) - len(b)) > most:
         return False
@@ -231,11 +236,111 @@ def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     a, b = a[start : len(a) - stop], b[start : len(b) - stop]
     if max(len(a), len(b)) <= most:
         return True
+    if not a or not b:
+        return False
     # Replacing word by word costs no less than the distance; where that is little enough, it need not be found.
     x, y = a.split(" "), b.split(" ")
     if len(x) == len(y) and sum(max(len(v), len(w)) for v, w in zip(x, y) if v != w) <= most:
         return True
-    return _anchored(a, b, most) <= most or _apart(a, b) <= most and distance(a, b, most) <= most
+    return (a, b, most) if len(a) >= len(b) else (b, a, most)
+
+
+def _walked(a: str, b: str, most: int) -> int:
+    """A cost that turns one into the other: word by word, and where words differ, all up to the nearest two that are equal is replaced. Ends beyond ``most``."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y):
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _AHEAD:
+            if i + p < len(x) and j + q < len(y) and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        # One side without words loses or gains those of the other with a space each.
+        cost += max(sum(map(len, x[i : i + p])) + p - 1, sum(map(len, y[j : j + q])) + q - 1) + (not p or not q)
+        if cost > most:
+            return cost
+        i, j = i + p, j + q
+    return cost + sum(map(len, x[i:])) + len(x) - i + sum(map(len, y[j:])) + len(y) - j
+
+
+def far_apart(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Which (longer, shorter, most), neither empty, have an edit distance of more than ``most`` for sure.
+
+    The shorter line is cut into 64 characters a time. Each cut has a least distance to any part of the longer line
+    where an alignment of ``most`` edits can place it (off by half of what the lengths leave), and these add up to no more than the whole's.
+    """
+    if not pairs:
+        return np.zeros(0, bool)
+    m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
+    longer, shorter = (np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in zip(*((a, b) for a, b, _ in pairs)))
+    begin_a, begin_b = np.cumsum(m) - m, np.cumsum(n) - n
+    known = np.unique(shorter)
+    of_shorter = np.searchsorted(known, shorter) + 1
+    at = np.minimum(np.searchsorted(known, longer), len(known) - 1)
+    of_longer = np.where(known[at] == longer, at + 1, 0)  # 0 stands for all that no shorter line has
+    together = max(1, min(CHUNK, TABLE // (len(known) + 1)))
+    total, cuts, done = np.zeros(len(pairs), np.int64), np.where(n <= LONGEST, -(-n // 64), 0), np.zeros(len(pairs), np.int64)
+    for share in (8, 2, 1):  # an eighth of the cuts, half of them, all
+        # Those whose cuts so far would not add up to ``most`` are likely alike, and left to others.
+        rows = np.flatnonzero((done < cuts) & (total <= most) & ((total * n > most * 64 * done) | (done == 0)))
+        new = np.minimum(cuts[rows] // share + 1, cuts[rows])
+        rows, new = rows[new > done[rows]], new[new > done[rows]]
+        k = new - done[rows]
+        row = np.repeat(rows, k)
+        cut = 64 * (np.arange(len(row)) - np.repeat(np.cumsum(k) - k - done[rows], k))
+        done[rows] = new
+        left = np.maximum(cut - ((most - (m - n)) // 2)[row], 0)
+        width = np.minimum(cut + 64 + ((most + (m - n)) // 2)[row], m[row]) - left
+        order = np.argsort(-width, kind="stable")
+        for k in range(0, len(order), together):
+            own = order[k : k + together]
+            if len(own) >= FEW:
+                at = row[own]
+                np.add.at(total, at, _least(of_shorter, begin_b[at] + cut[own], np.minimum(n[at] - cut[own], 64), of_longer, begin_a[at] + left[own], width[own], len(known) + 1))
+    return total > most
+
+
+def _least(of_shorter: np.ndarray, cut: np.ndarray, length: np.ndarray, of_longer: np.ndarray, first: np.ndarray, width: np.ndarray, step: int) -> np.ndarray:
+    """Least edit distances of cuts of up to 64 characters to any part of a stretch of other characters (by falling width), with a column's cells in the bits of a word."""
+    base = np.arange(len(cut)) * step
+    same = np.zeros(len(cut) * step, np.uint64)
+    for k in range(int(length.max())):
+        have = np.flatnonzero(length > k)
+        same[base[have] + of_shorter[cut[have] + k]] |= np.uint64(1 << k)
+    one, top = np.uint64(1), (length - 1).astype(np.uint64)
+    plus, minus = np.full(len(cut), ~np.uint64(0)), np.zeros(len(cut), np.uint64)
+    score, least = length.copy(), length.copy()
+    live = np.searchsorted(-width, -np.arange(int(width[0])))  # so many are wider than that
+    for j, k in enumerate(live.tolist()):
+        equal, p, q = same[base[:k] + of_longer[first[:k] + j]], plus[:k], minus[:k]
+        across = (((equal & p) + p) ^ p) | equal
+        rise, fall = q | ~(across | p), p & across
+        score[:k] += ((rise >> top[:k]) & one).view(np.int64)
+        score[:k] -= ((fall >> top[:k]) & one).view(np.int64)
+        np.minimum(least[:k], score[:k], out=least[:k])
+        vertical = equal | q
+        rise, fall = rise << one, fall << one
+        plus[:k], minus[:k] = fall | ~(vertical | rise), rise & vertical
+    return least
+
+
+def all_alike(pairs: Iterator[tuple[str, str]], similarity: float = SIMILARITY) -> np.ndarray:
+    """``alike`` of each pair; most pairs that are not are told together."""
+    near = [_near(a, b, similarity) for a, b in pairs]
+    out = np.array([x is True for x in near], bool)
+    open_ = [k for k, x in enumerate(near) if not isinstance(x, bool)]
+    for k, far in zip(open_, far_apart([near[k] for k in open_]).tolist()):
+        if not far:
+            a, b, most = near[k]
+            out[k] = _walked(a, b, most) <= most or _anchored(a, b, most) <= most or _apart(a, b) <= most and distance(a, b, most) <= most
+    return out
+
+
+def alike(a: str, b: str, similarity: float = SIMILARITY) -> bool:
+    return bool(all_alike([(a, b)], similarity)[0])
 
 
 def _row_key(doc_id, text):
@@ -374,7 +479,7 @@ def _close_again(bits: tuple[int, int], similarity: float):
 def _verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def mapped(batches):
         for batch in batches:
-            keep = pa.array([alike(x.decode(), y.decode(), similarity) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], pa.bool_())
+            keep = pa.array(all_alike(((x.decode(), y.decode()) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())), similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("found").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("found").alias("y")), "b")

@@ -291,6 +291,24 @@ def test_every_line_with_a_close_line_has_a_pair():
     assert {(r["a"], r["b"]) for batch in fuzzy_lines._close_again((22, 22), 0.8)(iter([again])) for r in batch.to_pylist()} == close
 
 
+def test_cuts_tell_lines_apart_and_lose_none():
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghijé漢", k=r.randint(2, 9))) for _ in range(400)]
+    pairs = []
+    for _ in range(300):
+        x = r.choices(words, k=r.randint(1, 120))
+        y = [w for v in x for w in ([], [v], [r.choice(words)], [v, r.choice(words)])[r.choices((1, 2, 0, 3), (90, r.choice((2, 8, 80)), 2, 2))[0]]] or ["a"]
+        pairs.append(tuple(sorted((" ".join(x), " ".join(y)), key=len, reverse=True)))
+    most = [int(fuzzy_lines._most(len(a), 0.8)) for a, _ in pairs]
+    distances = [fuzzy_lines.distance(a, b) for a, b in pairs]
+    near = [k for k, (a, b) in enumerate(pairs) if len(a) - len(b) <= most[k]]
+    far = dict(zip(near, fuzzy_lines.far_apart([(*pairs[k], most[k]) for k in near]).tolist()))
+    assert not any(far[k] for k in near if distances[k] <= most[k])
+    assert sum(far.values()) > sum(distances[k] > 2 * most[k] for k in near) * 0.9 > 0
+    assert all(fuzzy_lines._walked(a, b, 10**9) >= d for (a, b), d in zip(pairs, distances))
+    assert fuzzy_lines.all_alike(iter(pairs)).tolist() == [d <= m for d, m in zip(distances, most)]
+
+
 def test_cheap_costs_bound_the_distance():
     r = random.Random(5)
     for _ in range(3000):
