@@ -38,18 +38,18 @@ def place(docs: DataFrame, name: str) -> str:
     return f"c{docs.columns.index(name)}"
 
 
-def own_columns(docs: DataFrame, *wanted: str) -> DataFrame:
+def own_columns(docs: DataFrame, *wanted: str, batch: str = BATCH_BYTES) -> DataFrame:
     """The wanted columns, by exact name; missing ones become nulls, all others (clashing or not) are left out.
 
     Sets the session's size of Arrow batches for what follows.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     kinds = {"doc_id": "bigint", "item_id": "bigint"}
     return plain(docs).select(*((F.col(place(docs, c)) if c in docs.columns else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in wanted))
 
 
 #: Seconds between two calls of the system to take freed memory back.
-TRIM_SECONDS = 2.0
+TRIM_SECONDS = 0.5
 _trimmed = [0.0]
 
 
@@ -57,6 +57,7 @@ def trim() -> None:
     """Hand freed memory back to the system, every few seconds at most."""
     if time.monotonic() - _trimmed[0] > TRIM_SECONDS:
         try:
+            pa.default_memory_pool().release_unused()
             ctypes.CDLL("libc.so.6").malloc_trim(0)
         except (OSError, AttributeError):  # another C library
             pass

@@ -40,7 +40,9 @@ LONGEST, STRIDE = 64, 1 << 14
 #: Distinct units whose encodings a worker keeps.
 CACHED = 1_000_000
 #: Bytes of text whose units are made distinct together.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
+#: Bytes of an Arrow batch; less than other operators take, as workers hold the vocabulary and the known units too.
+BATCH_BYTES = "4m"
 #: Units that advance together.
 TOGETHER = 20_000
 UNIGRAM, BPE = 1, 2
@@ -435,7 +437,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(same)), pa.array(np.diff(ends), pa.int64()), pa.array(same), rows], ["doc_id", "n_tokens", "round_trip", "token_ids"])
                 k += len(same)
 
-    return common.own_columns(docs, "doc_id", "text").mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, round_trip boolean, token_ids array<int>")
+    return common.own_columns(docs, "doc_id", "text", batch=BATCH_BYTES).mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, round_trip boolean, token_ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str = MODEL) -> DataFrame:
@@ -467,4 +469,4 @@ def op10_piece_codec(spark, sf_dir: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(same)), pa.array(np.diff(ends), pa.int64()), pa.array(digests), pa.array(same)], ["doc_id", "n_tokens", "ids_sha256", "round_trip"])
                 k += len(same)
 
-    return common.own_columns(docs, "doc_id", "text").mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean")
+    return common.own_columns(docs, "doc_id", "text", batch=BATCH_BYTES).mapInArrow(common.tidy(mapped), "doc_id bigint, n_tokens bigint, ids_sha256 string, round_trip boolean")

@@ -569,3 +569,9 @@ def test_checkpoints_collect_the_drivers_garbage(spark, monkeypatch):
     for _ in range(checkpoints.RELEASE_AFTER):
         checkpoints.checkpoint(spark.range(1))
     assert len(seen) == 1
+
+
+def test_encoding_takes_small_batches(spark):
+    docs = spark.createDataFrame([(1, "eins zwei")], "doc_id long, text string")
+    assert [r["round_trip"] for r in piece_codec.encode(docs).collect()] == [True]
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m" and piece_codec.BLOCK <= 1 << 20
