@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
 Texts are cut into units that no piece crosses: spaces with the word behind them, and newlines.
-Distinct units of equal length in bytes advance together: at each position the hashes of all
-substrings that end there probe the sorted keys of the pieces, and the best arc and its score are
-kept with a backpointer.
+Distinct units of equal length in bytes advance together: the hashes of all their substrings of one
+length probe the sorted keys of the pieces at once, those that begin no longer piece stop there, and at
+each position the best arc and its score are kept with a backpointer.
 
 For a unigram model an arc adds its piece's score and the maximum is the encoding. A BPE model's
 encoding is not that maximum: it is what merging by rank gives. There an arc is admitted only if
@@ -47,6 +47,8 @@ BATCH_BYTES = "4m"
 TOGETHER = 20_000
 UNIGRAM, BPE = 1, 2
 _FILTER_BITS, _MEMO_BITS = 21, 20
+#: What a substring may be: a piece, the beginning of a longer one.
+PIECE, BEGIN = np.uint8(1), np.uint8(2)
 
 
 class Codec:
@@ -86,8 +88,11 @@ class Codec:
         keys = self._key(self.raw[ids], self.size[ids])
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], ids[order]
-        self.maybe = np.zeros(1 << _FILTER_BITS, bool)
-        self.maybe[(self.keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << _FILTER_BITS, np.uint8)
+        self.maybe[self._cell(self.keys)] = PIECE
+        for i in ids.tolist():
+            sums = common.prefix_hash(np.frombuffer(self.bytes_of[i], np.uint8))[1:-1]
+            self.maybe[self._cell(self._key(sums, np.arange(1, len(sums) + 1)))] |= BEGIN
         self.longest = int(self.size[ids].max())
         single = np.array([len(b.decode()) == 1 if ok else True for b, ok in zip(self.bytes_of, normal)])
         # Merge order: characters first, then pieces by falling score.
@@ -132,10 +137,14 @@ class Codec:
     def _key(raw: np.ndarray, size) -> np.ndarray:
         return common.mix(raw + np.asarray(size).astype(np.uint64))
 
+    @staticmethod
+    def _cell(keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - _FILTER_BITS)).view(np.int64)
+
     def probe(self, keys: np.ndarray) -> np.ndarray:
         """The piece of each substring key, or -1."""
         out = np.full(len(keys), -1, np.int32)
-        at = np.flatnonzero(self.maybe[(keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+        at = np.flatnonzero(self.maybe[self._cell(keys)] & PIECE)
         if len(at):
             place = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
             same = self.keys[place] == keys[at]
@@ -212,12 +221,51 @@ class Codec:
             self.memo_key[slots[last]], self.memo[slots[last]] = keys[last], found[last]
         return out
 
-    def viterbi(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encodings of units of one length, a row of bytes each: all piece numbers, and how many each unit has."""
+    def _arcs(self, units: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Arcs of all units, as (place of the start, of the end, piece or -1 for a character without one), by end and the longer first; a place is position * len(units) + unit.
+
+        All substrings of one length are probed at once, only those that begin as a longer piece does go on to the next length.
+        """
         n, length = units.shape
         base, back_base = common.powers(length + 1)
         sums = np.zeros((length + 1, n), np.uint64)
         np.cumsum((common._BYTE[units] * base[:length]).T, axis=0, out=sums[1:])
+        sums = sums.reshape(-1)
+        live = np.flatnonzero(begins[:length])
+        after = np.where(begins, np.arange(length + 1)[:, None], length)
+        after = np.minimum.accumulate(after[::-1], axis=0)[::-1][1:].reshape(-1)  # where the next character begins
+        alone = begins[:length].reshape(-1).copy()
+        starts, stops, pieces = [], [], []
+        for size in range(1, min(self.longest, length) + 1):
+            live = live[: np.searchsorted(live, (length - size + 1) * n)]
+            if not len(live):
+                break
+            place = live // n
+            key = self._key((sums[live + size * n] - sums[live]) * back_base[place], np.full(1, size))
+            maybe = self.maybe[self._cell(key)]
+            at = np.flatnonzero(maybe & PIECE)
+            slot = np.minimum(np.searchsorted(self.keys, key[at]), len(self.keys) - 1)
+            same = self.keys[slot] == key[at]
+            at, piece = at[same], self.ids[slot[same]]
+            single = live[at[after[live[at]] == place[at] + size]]
+            alone[single] = False
+            if self.kind == BPE:
+                at, piece = at[self.whole[piece]], piece[self.whole[piece]]
+            starts.append(live[at])
+            stops.append(live[at] + size * n)
+            pieces.append(piece)
+            live = live[(maybe & BEGIN) > 0]
+        alone = np.flatnonzero(alone)
+        starts.append(alone)
+        stops.append(after[alone] * n + alone % n)
+        pieces.append(np.full(len(alone), -1, np.int32))
+        start, stop, piece = (np.concatenate(x) for x in (starts, stops, pieces))
+        order = np.lexsort((start, stop))
+        return start[order], stop[order], piece[order]
+
+    def viterbi(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodings of units of one length, a row of bytes each: all piece numbers, and how many each unit has."""
+        n, length = units.shape
         begins = np.ones((length + 1, n), bool)  # of characters
         begins[:length] = ((units & 0xC0) != 0x80).T
         last = np.full((length + 1, n), -2, np.int32)  # -2: not reached, -1: nothing that merges ends here
@@ -225,38 +273,22 @@ class Codec:
         best = np.full((length + 1, n), -np.inf)
         best[0] = 0
         origin = np.zeros((length + 1, n), np.int16)
-        lowest = float(self.score[self.ids].min()) - 10 if self.kind == UNIGRAM else -1e12
+        start, stop, piece = self._arcs(units, begins)
+        value = np.where(piece >= 0, self.score[piece], float(self.score[self.ids].min()) - 10 if self.kind == UNIGRAM else -1e12)
+        cuts = np.searchsorted(stop, np.arange(length + 2) * n)
+        flat_last, flat_best, flat_origin = last.reshape(-1), best.reshape(-1), origin.reshape(-1)
         for i in range(1, length + 1):
-            reached = begins[i]
-            if not reached.any():
-                continue
-            for j in range(max(0, i - self.longest), i):
-                rows = np.flatnonzero(reached & (last[j] > -2))
-                if not len(rows):
-                    continue
-                key = self._key((sums[i, rows] - sums[j, rows]) * back_base[j], np.full(1, i - j))
-                found = self.probe(key)
-                hit = found >= 0
-                at, piece = rows[hit], found[hit]
-                if self.kind == BPE and len(at):
-                    before = last[j, at]
-                    good = self.whole[piece]
-                    test = np.flatnonzero(good & (before >= 0))
-                    good[test] = self.stay(before[test], piece[test])
-                    at, piece = at[good], piece[good]
-                total = best[j, at] + self.score[piece]
-                better = total > best[i, at]
-                at = at[better]
-                best[i, at], last[i, at], origin[i, at] = total[better], piece[better], j
-                # A character without a piece stands alone, as bytes.
-                alone = rows[~hit]
-                if len(alone):
-                    width = begins[j + 1 : i, alone].any(0) if i - j > 1 else np.zeros(len(alone), bool)
-                    alone = alone[~width & begins[j, alone]]
-                    total = best[j, alone] + lowest
-                    better = total > best[i, alone]
-                    alone = alone[better]
-                    best[i, alone], last[i, alone], origin[i, alone] = total[better], -1, j
+            own = slice(cuts[i], cuts[i + 1])
+            before = flat_last[start[own]]
+            good = before > -2
+            if self.kind == BPE:
+                test = np.flatnonzero((before >= 0) & (piece[own] >= 0))
+                good[test] = self.stay(before[test], piece[own][test])
+            at, to, p = start[own][good], stop[own][good], piece[own][good]
+            total = flat_best[at] + value[own][good]
+            np.maximum.at(flat_best, to, total)
+            won = np.flatnonzero(total == flat_best[to])[::-1]  # of equals the longest is written last
+            flat_last[to[won]], flat_origin[to[won]] = p[won], at[won] // n
         # Walk back from the ends; each step is one arc of every unit that is not at its start yet.
         place, live, steps = np.full(n, length), np.arange(n), []
         while len(live):

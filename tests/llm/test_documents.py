@@ -578,6 +578,16 @@ def test_encoding_takes_small_batches(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m" and piece_codec.BLOCK <= 1 << 20
 
 
+def test_a_units_substrings_are_probed_a_length_at_a_time(monkeypatch):
+    codec, called = piece_codec.Codec(), []
+    monkeypatch.setattr(codec, "stay", lambda a, b: codec._stay(a, b))
+    monkeypatch.setattr(codec, "_key", lambda raw, size, real=codec._key: called.append(len(raw)) or real(raw, size))
+    unit = np.frombuffer(b" internationalisation-of-representatives-and-understanding-them", np.uint8)
+    ids, n = codec.viterbi(np.stack([unit, unit[::-1]]))
+    assert ids.tolist() == codec.merge(unit.tobytes()) + codec.merge(unit[::-1].tobytes()) and n.sum() == len(ids)
+    assert len(called) < 8 * len(unit)  # and not a call for each start and end
+
+
 def test_checkpoints_leave_few_shuffle_files(spark, monkeypatch):
     from clausegrid import checkpoints
 
