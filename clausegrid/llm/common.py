@@ -224,27 +224,37 @@ def join_known(rows: DataFrame, known: DataFrame, key: str, weight: str) -> Data
     return rows.join(hot, key).unionByName(rest)
 
 
+class Marks:
+    """A bitmap of wanted nodes, of bounded size, that tasks hold: which of some nodes may be wanted (all that are, and few others)."""
+
+    def __init__(self, nodes: DataFrame):
+        """nodes: one column, ``node``."""
+        marks = np.zeros(REDUCER_BITS // 64, np.uint64)
+        if nodes.count() > REDUCER_BITS // 2:
+            marks[:] = ~np.uint64(0)
+        else:
+            got = nodes.select(F.shiftrightunsigned(F.col("node"), 44).alias("hi"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 38) & 63 as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toArrow()  # REDUCER_BITS / 64 rows at most
+            marks[got.column("hi").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
+        self.sent = nodes.sparkSession.sparkContext.broadcast(marks)
+
+    def __call__(self, node: np.ndarray) -> np.ndarray:
+        place = node.view(np.uint64) >> U64(38)
+        return (self.sent.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)).astype(bool)
+
+
 def fetch(docs: DataFrame, nodes: DataFrame, make) -> DataFrame:
     """(node, found) of the wanted nodes (distinct, one column), made again from the column ``text``.
 
     ``make`` takes a batch and yields node numbers with a function that gives the payload of one of
     them. A bitmap of bounded size tells the tasks which to make; an exact join drops the few others.
     """
-    marks = np.zeros(REDUCER_BITS // 64, np.uint64)
-    if nodes.count() > REDUCER_BITS // 2:
-        marks[:] = ~np.uint64(0)
-    else:
-        got = nodes.select(F.shiftrightunsigned(F.col("node"), 44).alias("hi"), F.expr("shiftleft(1L, cast(shiftrightunsigned(node, 38) & 63 as int))").alias("mask")).groupBy("hi").agg(F.bit_or("mask").alias("mask")).toArrow()  # REDUCER_BITS / 64 rows at most
-        marks[got.column("hi").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
-    sent = docs.sparkSession.sparkContext.broadcast(marks)
+    marked = Marks(nodes)
 
     def mapped(batches):
         for batch in batches:
             seen = {}
             for node, payload in make(batch):
-                place = node.view(np.uint64) >> U64(38)
-                wanted = sent.value[(place >> U64(6)).astype(np.int64)] >> (place & U64(63)) & U64(1)
-                for k in np.flatnonzero(wanted).tolist():
+                for k in np.flatnonzero(marked(node)).tolist():
                     if (key := int(node[k])) not in seen:
                         seen[key] = payload(k)
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["node", "found"])

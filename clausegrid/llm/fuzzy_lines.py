@@ -51,6 +51,8 @@ TOGETHER = 1 << 18
 HELD = 2_000_000
 #: Cuts of lines that are compared together, words of their table, fewest cuts and longest lines for which that pays.
 CHUNK, TABLE, FEW, LONGEST = 4096, 1 << 21, 64, 4096
+#: Words of cells of a column that are found together; so many pairs and one for each word of a column must be for that to pay.
+CELLS, FEWEST = 1 << 14, 16
 #: Words of either side to look ahead, the nearest first.
 _AHEAD = sorted(((p, q) for p in range(5) for q in range(5) if p or q), key=lambda x: (x[0] + x[1], abs(x[0] - x[1])))
 _WORD = common.byte_class([*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -59,17 +61,23 @@ _NORMAL[0x30:0x3A] = 0x30
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
-    """Of one block: document and number of each line with words, its node, SimHash, characters of its normal form, and words' (low bytes, starts, ends, first word, hashes)."""
-    low = _NORMAL[data]
+def begins_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the lines of one block begin, their documents and their numbers in these; what is empty at a text's end is no line."""
     breaks = np.flatnonzero(data == 10)
     begins = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
     begins = begins[begins < len(data)]
+    doc = np.searchsorted(offsets, begins, "right") - 1
+    number = np.arange(len(begins)) - np.searchsorted(begins, offsets[:-1])[doc] if len(begins) else np.zeros(0, np.int64)
+    return begins, doc, number
+
+
+def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
+    """Of one block: document and number of each line with words, its node, SimHash, characters of its normal form, and words' (low bytes, starts, ends, first word, hashes)."""
+    low = np.take(_NORMAL, data, mode="clip")
+    begins, doc, number = begins_of(data, offsets)
     starts, ends, _ = common.words(low, np.append(begins, len(data)), _WORD)
     cut = np.searchsorted(starts, begins)
     full = np.flatnonzero(np.diff(np.append(cut, len(starts))) > 0)
-    doc = np.searchsorted(offsets, begins, "right") - 1
-    number = np.arange(len(begins)) - np.searchsorted(begins, offsets[:-1])[doc] if len(begins) else np.zeros(0, np.int64)
     first = cut[full]
     if not len(full):
         none = np.zeros(0, np.int64)
@@ -85,8 +93,10 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, sketched: bool = True):
         size = n[k : k + 4096]
         votes = _votes(np.unpackbits(hashed[a:b].view(np.uint8).reshape(-1, 8), axis=1), first[k : k + 4096] - a, size)
         sketch[k : k + 4096] = np.packbits(votes > (size // 2)[:, None], axis=1).view(np.int64).ravel()
-    points = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-    size = np.add.reduceat(points[ends] - points[starts], first) + n - 1
+    size = np.add.reduceat(ends - starts, first) + n - 1
+    later = np.flatnonzero((low & 0xC0) == 0x80)  # bytes of a character after its first
+    if len(later):
+        size -= np.diff(np.searchsorted(later, np.append(starts[first], len(low))))
     return doc[full], number[full], node, sketch, size, (low, starts, ends, first, hashed)
 
 
@@ -119,14 +129,14 @@ def classes(most: int):
         yield low * 4 // 5, high, blocks, together
 
 
-def block_keys(hashed: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key): the keys of lines whose words have these hashes and begin at ``first``."""
+def block_keys(hashed: np.ndarray, first: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): the keys of lines (only of the wanted ones, if given) whose words have these hashes and begin at ``first``."""
     lines, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     if not len(first):
         return lines[0], keys[0]
     n = np.diff(np.append(first, len(hashed)))
     for k, (low, high, blocks, together) in enumerate(classes(int(n.max()))):
-        chosen = np.flatnonzero((n >= low) & (n < high))
+        chosen = np.flatnonzero((n >= low) & (n < high) & (True if wanted is None else wanted))
         ends = np.cumsum(n[chosen])
         for own in np.split(chosen, np.unique(np.searchsorted(ends, np.arange(TOGETHER, ends[-1] + 1, TOGETHER)) + 1)) if len(chosen) else ():
             if not len(own):
@@ -327,15 +337,125 @@ def _least(of_shorter: np.ndarray, cut: np.ndarray, length: np.ndarray, of_longe
     return least
 
 
+def within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """Which (longer, shorter, most), neither empty, have an edit distance of ``most`` or less.
+
+    Pairs of like length are found together: of a column only the words of 64 cells that a path of ``most`` edits can lead through
+    (off by half of what the lengths leave), each word of all pairs at once. Cells outside count as reached by insertions only, so no distance comes out too little, and those of ``most`` or less are exact.
+    """
+    out = np.zeros(len(pairs), bool)
+    if not pairs:
+        return out
+    length, most = np.array([len(a) for a, _, _ in pairs]), np.array([k for *_, k in pairs])
+    wide = 4 * most > length  # what differs of lines that are alike at the ends: more edits for its length
+    order = np.lexsort((-length, wide))
+    falling, k, whole = -length[order], 0, int((~wide).sum())
+    while k < len(order):
+        words = int(-(-length[order[k]] // 64))
+        end = whole if k < whole else len(order)
+        own = order[k : min(k + int(np.searchsorted(falling[k:end], falling[k] * 3 // 4, "right")), k + max(1, CELLS // words))]
+        k += len(own)
+        if len(own) >= FEWEST + words:
+            out[own] = _within([pairs[j] for j in own])
+            continue
+        for j in own.tolist():
+            a, b, most = pairs[j]
+            out[j] = _apart(a, b) <= most and distance(a, b, most) <= most
+    return out
+
+
+def _within(pairs: list[tuple[str, str, int]]) -> np.ndarray:
+    """``within`` of pairs by falling length of the longer."""
+    m, n, most = (np.array(x, np.int64) for x in zip(*((len(a), len(b), k) for a, b, k in pairs)))
+    longer, shorter = (np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), np.uint32) for x in zip(*((a, b) for a, b, _ in pairs)))
+    begin_a, begin_b = np.cumsum(m) - m, np.cumsum(n) - n
+    number = np.zeros(int(max(longer.max(), shorter.max())) + 1, np.int64)  # 0 stands for all that no shorter line has
+    number[shorter] = 1
+    known = np.flatnonzero(number)
+    number[known] = np.arange(1, len(known) + 1)
+    step, words = len(known) + 1, int(-(-n.max() // 64))
+    if len(pairs) > 1 and len(pairs) * step * words > TABLE:
+        half = len(pairs) // 2
+        return np.concatenate([_within(pairs[:half]), _within(pairs[half:])])
+    row = np.repeat(np.arange(len(pairs)), n)
+    at = np.arange(len(shorter)) - begin_b[row]
+    cell = ((at >> 6) * len(pairs) + row) * step + number[shorter]
+    same, spread = np.zeros(words * len(pairs) * step, np.uint64), np.argsort((at & 63).astype(np.uint8), kind="stable")
+    cuts = np.concatenate([[0], np.cumsum(np.bincount(at & 63, minlength=64))])
+    for bit in range(64):  # a cell has a bit of a number once only
+        same[cell[spread[cuts[bit] : cuts[bit + 1]]]] |= np.uint64(1 << bit)
+    same, of_longer = same.reshape(words, -1), number[longer]
+    one, high, full = np.uint64(1), np.uint64(63), ~np.uint64(0)
+    base = np.arange(len(pairs)) * step
+    plus, minus = np.full((words, len(pairs)), full), np.zeros((words, len(pairs)), np.uint64)
+    room = [np.empty(len(pairs), np.uint64) for _ in range(8)]
+    last, over = (n - 1) >> 6, np.where(n & 63, full << (n & 63).astype(np.uint64), np.uint64(0))
+    up, down, low = int(((most + m - n) // 2).max()), int(((most - m + n) // 2).max()), -1
+    ends = np.searchsorted(-m, -np.arange(int(m[0]) + 1))  # so many are longer than that
+    score, found = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
+    live = -1
+    for j in range(int(m[0])):
+        if live != ends[j]:
+            live = int(ends[j])
+            equal, vertical, across, fall, *carried = (x[:live] for x in room)
+            columns, first = base[:live], begin_a[:live]
+        while low < min(words - 1, (j + down) >> 6):
+            low += 1
+            score += 64
+        place = of_longer[first + j]
+        place += columns
+        rise_in, fall_in = one, None
+        for b in range(max(0, (j - up) >> 6), low + 1):
+            p, q, rise_out, fall_out = plus[b, :live], minus[b, :live], carried[b & 1], carried[2 + (b & 1)]
+            np.take(same[b], place, out=equal, mode="clip")
+            np.bitwise_or(equal, q, out=vertical)
+            if fall_in is not None:
+                equal |= fall_in
+            np.bitwise_and(equal, p, out=across)
+            across += p
+            across ^= p
+            across |= equal
+            np.bitwise_and(p, across, out=fall)
+            across |= p
+            np.invert(across, out=across)
+            across |= q
+            np.right_shift(across, high, out=rise_out)
+            np.right_shift(fall, high, out=fall_out)
+            across <<= one
+            across |= rise_in
+            fall <<= one
+            if fall_in is not None:
+                fall |= fall_in
+            np.bitwise_and(across, vertical, out=q)
+            vertical |= across
+            np.invert(vertical, out=vertical)
+            np.bitwise_or(vertical, fall, out=p)
+            rise_in, fall_in = rise_out, fall_out
+        score[:live] += rise_in.view(np.int64)
+        score[:live] -= fall_in.view(np.int64)
+        done = slice(int(ends[j + 1]), live)
+        if done.start < live:  # back from the lowest cell to that of the shorter line's end
+            found[done] = score[done]
+            for b in range(int(last[done].min()), low + 1):
+                below = np.where(last[done] == b, over[done], np.where(last[done] < b, full, np.uint64(0)))
+                found[done] += np.bitwise_count(minus[b, done] & below).astype(np.int64) - np.bitwise_count(plus[b, done] & below)
+    return found <= most
+
+
 def all_alike(pairs: Iterator[tuple[str, str]], similarity: float = SIMILARITY) -> np.ndarray:
-    """``alike`` of each pair; most pairs that are not are told together."""
+    """``alike`` of each pair; most pairs are told together."""
     near = [_near(a, b, similarity) for a, b in pairs]
     out = np.array([x is True for x in near], bool)
     open_ = [k for k, x in enumerate(near) if not isinstance(x, bool)]
-    for k, far in zip(open_, far_apart([near[k] for k in open_]).tolist()):
+    short = [k for k in open_ if len(near[k][1]) <= 64]
+    long = [k for k in open_ if len(near[k][1]) > 64]
+    left = short
+    for k, far in zip(long, far_apart([near[k] for k in long]).tolist()):
         if not far:
             a, b, most = near[k]
-            out[k] = _walked(a, b, most) <= most or _anchored(a, b, most) <= most or _apart(a, b) <= most and distance(a, b, most) <= most
+            out[k] = _walked(a, b, most) <= most or _anchored(a, b, most) <= most
+            left += [] if out[k] else [k]
+    out[left] = within([near[k] for k in left])
     return out
 
 
@@ -347,63 +467,182 @@ def _row_key(doc_id, text):
     return F.xxhash64(F.coalesce(doc_id, F.lit(-1)), doc_id.isNull(), F.coalesce(text, F.lit("")))
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(row_key, doc_id, number, node): each line with words."""
+def _packed(*columns: np.ndarray) -> bytes:
+    return b"".join(x.tobytes() for x in columns)
 
-    def mapped(batches):
-        for batch in batches:
-            data, offsets = common.utf8(batch.column("text"))
-            for i, j in common.blocks(offsets):
-                doc, number, node, *_ = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
-                of = pa.array(doc + i)
-                yield pa.RecordBatch.from_arrays([batch.column("row_key").take(of), batch.column("doc_id").take(of), pa.array(number, pa.int32()), pa.array(node)], ["row_key", "doc_id", "number", "node"])
 
-    return docs.mapInArrow(common.tidy(mapped), "row_key bigint, doc_id bigint, number int, node bigint")
+def _unpacked(blobs, kinds: tuple) -> list[np.ndarray]:
+    """The columns of packed blobs, one after another."""
+    width, parts = sum(np.dtype(k).itemsize for k in kinds), [[np.zeros(0, k)] for k in kinds]
+    for blob in blobs:
+        blob, at = blob.as_buffer(), 0
+        n = blob.size // width
+        for part, kind in zip(parts, kinds):
+            part.append(np.frombuffer(blob, kind, n, at))
+            at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) for x in parts]
+
+
+#: Columns of blobs: node, sketch, key, size of a key; node, row_key, number of an occurrence; node and what of it comes first, with the number of its occurrences.
+_KEY = (np.int64, np.uint64, np.uint32, np.int16)
+_PLACE = (np.int64, np.int64, np.int32)
+_NODE = (np.int64, np.bool_, np.int64, np.int64, np.int32, np.int64)
+#: Nodes of a blob.
+PACKED = 1 << 16
+PAIR, KEYED, KEYS, PLACES, NODES = range(5)
+
 
+def _firsts(node, none, doc, row, number, count) -> list[np.ndarray]:
+    """Of each node, by rising node, what comes first by (doc_id, row, number), a null doc_id last, and the sum of counts."""
+    order = np.lexsort((number, row, doc, none, node))
+    node = node[order]
+    heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(count[order], heads) if len(heads) else count[:0]
+    return [node[heads], *(x[order[heads]] for x in (none, doc, row, number)), sums]
 
-def _keys(docs: DataFrame, n_buckets: int) -> DataFrame:
-    """(bucket, blob): the keys, nodes, sketches and sizes of each batch's different lines, in the bucket of the key."""
+
+def _dealt(home: np.ndarray, n_buckets: int, *columns: np.ndarray):
+    """(bucket, blob) of columns that are sorted by bucket."""
+    cuts = np.searchsorted(home, np.arange(n_buckets + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        yield k, _packed(*(x[cuts[k] : cuts[k + 1]] for x in columns))
+
+
+def _scanned(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, kind, blob) of each batch: its different lines' keys by bucket of the key, and themselves by bucket of the node; all its occurrences of lines, in any bucket."""
 
     def mapped(batches):
         for batch in batches:
             data, offsets = common.utf8(batch.column("text"))
-            held: list[tuple] = []
+            none = np.asarray(batch.column("doc_id").is_null())
+            ids, rows = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("row_key").to_numpy()
+            keyed: list[tuple] = []
+            lines: list[tuple] = []
+            known = np.zeros(0, np.int64)
             for i, j in common.blocks(offsets):
-                _, _, node, sketch, size, (*_, first, hashed) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                line, key = block_keys(hashed, first)
-                held.append((key, node[line], sketch[line], np.minimum(size[line], LONG).astype(np.int16)))
-            if not held or not sum(len(x[0]) for x in held):
+                doc, number, node, sketch, size, (*_, first, hashed) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if not len(node):
+                    continue
+                own, at = np.unique(node, return_index=True)
+                new = np.zeros(len(node), bool)
+                new[at[~np.isin(own, known, assume_unique=True)]] = True
+                known = np.append(known, node[new])
+                line, key = block_keys(hashed, first, new)
+                keyed.append((key, node[line], sketch[line], np.minimum(size[line], LONG).astype(np.int16)))
+                lines.append((node, doc + i, number.astype(np.int32)))
+            if not lines:
                 continue
-            key, node, sketch, size = (np.concatenate(x) for x in zip(*held))
+            out: list[tuple] = []
+            node, doc, number = (np.concatenate(x) for x in zip(*lines))
+            row = rows[doc]
+            out.append((int(row[0]) % n_buckets, PLACES, _packed(node, row, number)))
+            found = _firsts(node, none[doc], ids[doc], row, number, np.ones(len(node), np.int64))
+            home = (common.mix(found[0].view(np.uint64)) >> np.uint64(33)) % np.uint64(n_buckets)
+            order = np.argsort(home, kind="stable")
+            out += [(k, NODES, blob) for k, blob in _dealt(home[order], n_buckets, *(x[order] for x in found))]
+            key, node, sketch, size = (np.concatenate(x) for x in zip(*keyed))
             home = (common.mix(key) >> np.uint64(33)) % np.uint64(n_buckets)
-            order = np.lexsort((node, key, home))
+            order = np.argsort(home.astype(np.uint16) if n_buckets <= 1 << 16 else home, kind="stable")
             key, node, sketch, size, home = (x[order] for x in (key, node, sketch, size, home))
-            new = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-            key, node, sketch, size, home = (x[new] for x in (key, node, sketch, size, home))
-            key = key.astype(np.uint32)  # enough within a bucket; who shares it by chance is not close
-            cuts = np.searchsorted(home, np.arange(n_buckets + 1, dtype=np.uint64))
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            blobs = [b"".join(x[a:b].tobytes() for x in (node, sketch, key, size)) for a, b in zip(cuts[full].tolist(), cuts[1:][full].tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            # 32 bits are enough within a bucket; who shares them by chance is not close.
+            out += [(k, KEYS, blob) for k, blob in _dealt(home, n_buckets, node, sketch, key.astype(np.uint32), size)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary()))], ["bucket", "kind", "blob"])
+
+    return docs.mapInArrow(common.tidy(mapped), "bucket int, kind int, blob binary")
+
+
+def _gathered(bits: tuple[int, int], similarity: float):
+    """Reducer of a bucket: pairs and keys as of ``_close``, the different nodes with their first occurrences, and the occurrences as they are."""
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[pa.RecordBatch] = []
+        nodes: list[list[np.ndarray]] = []
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            blobs = [batch.column("blob").filter(pa.array(kind == k)) for k in (KEYS, PLACES, NODES)]
+            keys.append(pa.RecordBatch.from_arrays(blobs[:1], ["blob"]))
+            yield _blobs(PLACES, blobs[1])
+            nodes.append(_unpacked(blobs[2], _NODE))
+        found = _firsts(*(np.concatenate(x) for x in zip(*nodes)))
+        for k in range(0, len(found[0]), PACKED):
+            yield _blobs(NODES, pa.array([_packed(*(x[k : k + PACKED] for x in found))], pa.binary()))
+        for batch in _close(bits, similarity)(iter(keys)):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.binary())], _GATHERED)
+
+    return reduced
+
+
+def _blobs(kind: int, blobs: pa.Array) -> pa.RecordBatch:
+    n = len(blobs)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *(pa.nulls(n, pa.int64()) for _ in range(4)), blobs], _GATHERED)
+
 
-    return docs.select("text").mapInArrow(common.tidy(mapped), "bucket int, blob binary")
+def _lines(gathered: DataFrame, wanted: common.Marks, several: bool) -> DataFrame:
+    """(node, first, rows) of the wanted nodes (and of few others), and of those with several occurrences if asked for."""
 
+    def mapped(batches):
+        for batch in batches:
+            node, none, doc, row, number, count = _unpacked(batch.column("blob"), _NODE)
+            good = wanted(node) | (several & (count > 1))
+            arrays = [pa.array(node[good]), pa.array(none[good]), pa.array(doc[good], mask=none[good]), pa.array(row[good]), pa.array(number[good]), pa.array(count[good])]
+            yield pa.RecordBatch.from_arrays(arrays, ["node", "none", "doc_id", "row_key", "number", "rows"])
+
+    found = gathered.where(F.col("kind") == NODES).select("blob").mapInArrow(common.tidy(mapped), "node bigint, none boolean, doc_id bigint, row_key bigint, number int, rows bigint")
+    return found.select("node", F.struct("none", "doc_id", "row_key", "number").alias("first"), "rows")
+
+
+def _occurrences(gathered: DataFrame, wanted: common.Marks) -> DataFrame:
+    """(row_key, number, node): all occurrences of the wanted nodes (and of few others)."""
+
+    def mapped(batches):
+        for batch in batches:
+            node, row, number = _unpacked(batch.column("blob"), _PLACE)
+            good = wanted(node)
+            yield pa.RecordBatch.from_arrays([pa.array(row[good]), pa.array(number[good]), pa.array(node[good])], ["row_key", "number", "node"])
 
-def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, found): the normal forms of the wanted nodes."""
+    return gathered.where(F.col("kind") == PLACES).select("blob").mapInArrow(common.tidy(mapped), "row_key bigint, number int, node bigint")
 
-    def make(batch):
-        seen = {}
-        data, offsets = common.utf8(batch.column("text"))
-        for i, j in common.blocks(offsets):
-            *_, node, _, _, (low, starts, ends, first, _) = lines_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], sketched=False)
-            yield node, lambda k, low=low, starts=starts, ends=ends, first=first: b" ".join(low[s:e].tobytes() for s, e in zip(starts[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist(), ends[first[k] : first[k + 1] if k + 1 < len(first) else None].tolist()))
 
-    return common.fetch(docs, nodes, make)
+#: A prime that spreads the numbers of a row's lines over a bitmap.
+_SPREAD = 40503
 
 
-PAIR, KEYED = 0, 1
-_FOUND = "kind int, a bigint, b bigint, sketch bigint, size bigint"
+def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """(node, found): the normal forms of nodes (distinct), each made again from one of its places (node, row_key, number)."""
+    at = (F.shiftrightunsigned("row_key", 38) + F.col("number") * F.lit(_SPREAD).cast("bigint")).bitwiseAND(F.lit(common.REDUCER_BITS - 1))
+    wanted = common.Marks(places.select(F.shiftleft(at, 38).alias("node")))
+
+    def mapped(batches):
+        for batch in batches:
+            data, offsets = common.utf8(batch.column("text"))
+            rows = batch.column("row_key").to_numpy().view(np.uint64) >> np.uint64(38)
+            seen = {}
+            for i, j in common.blocks(offsets):
+                own = data[offsets[i] : offsets[j]]
+                begins, doc, number = begins_of(own, offsets[i : j + 1] - offsets[i])
+                if not len(begins):
+                    continue
+                good = np.flatnonzero(wanted((rows[doc + i] + number.astype(np.uint64) * np.uint64(_SPREAD)) % np.uint64(common.REDUCER_BITS) << np.uint64(38)))
+                if not len(good):
+                    continue
+                spans = np.append(begins, len(own))
+                size = np.diff(spans)[good]
+                ends = np.cumsum(size)
+                part = own[np.arange(ends[-1]) + np.repeat(begins[good] - ends + size, size)]
+                *_, node, _, _, (low, starts, stops, first, _) = lines_of(part, np.append(0, ends), sketched=False)
+                low, cuts = low.tobytes(), np.append(first, len(starts)).tolist()
+                starts, stops = starts.tolist(), stops.tolist()
+                for key, a, b in zip(node.tolist(), cuts, cuts[1:]):
+                    if key not in seen:
+                        seen[key] = b" ".join([low[s:e] for s, e in zip(starts[a:b], stops[a:b])])
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.binary())], ["node", "found"])
+
+    made = docs.select("row_key", "text").mapInArrow(common.tidy(mapped), "node bigint, found binary")
+    return made.join(places.select("node"), "node", "left_semi").groupBy("node").agg(F.first("found").alias("found"))
+
+
+_GATHERED = ["kind", "a", "b", "sketch", "size", "blob"]
+_FOUND = "kind int, a bigint, b bigint, sketch bigint, size bigint, blob binary"
 
 
 def _partners(key, node, sketch, size, group, bits: tuple[int, int], similarity: float, all_pairs: bool):
@@ -439,14 +678,7 @@ def _close(bits: tuple[int, int], similarity: float):
     """Reducer of a bucket of keys: a partner for every line that has one, as (a, b), and the keys of these lines, as (node, key, sketch, size)."""
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[list] = [[], [], [], []]
-        for batch in batches:
-            for blob in batch.column("blob"):
-                blob = blob.as_buffer()
-                n = blob.size // 22
-                for part, kind, at in zip(parts, (np.int64, np.uint64, np.uint32, np.int16), (0, 8, 16, 20)):
-                    part.append(np.frombuffer(blob, kind, n, at * n))
-        node, sketch, key, size = (np.concatenate(x) for x in parts)
+        node, sketch, key, size = _unpacked((blob for batch in batches for blob in batch.column("blob")), _KEY)
         order = np.argsort(key, kind="stable")
         shared = key[order][1:] == key[order][:-1]
         order = order[np.r_[shared, False] | np.r_[False, shared]]
@@ -490,14 +722,11 @@ def removed(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float = S
     """(row_key, numbers): the numbers of the lines to remove from each row that loses any."""
     docs = common.own_columns(docs, "doc_id", "text").withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
     n_buckets = common.buckets(docs)
-    last = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key", "number")
-    close = common.checkpoint(_keys(docs, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_close(bits, similarity)), _FOUND))
-    occurrences = common.checkpoint(_occurrences(docs))
-    lines = common.checkpoint(occurrences.groupBy("node").agg(F.min(last).alias("first"), F.count("*").alias("rows")))
+    close = common.checkpoint(_scanned(docs, n_buckets).groupBy("bucket").applyInArrow(common.tidy(_gathered(bits, similarity)), _FOUND))
     one = common.checkpoint(close.where(F.col("kind") == PAIR).select("a", "b").distinct())
     ends = common.checkpoint(one.select(F.col("a").alias("node")).unionByName(one.select(F.col("b").alias("node"))).distinct())  # a line with any partner has one in ``one``
-    rows = common.checkpoint(lines.join(ends, "node", "left_semi").select(F.col("first.row_key").alias("row_key")).distinct())
-    texts = common.checkpoint(_texts(common.reduce_to(docs, "row_key", rows), ends))
+    places = common.checkpoint(_lines(close, common.Marks(ends), False).join(ends, "node", "left_semi").select("node", "first.row_key", "first.number"))
+    texts = common.checkpoint(_texts(docs, places))
     # Of a line's partners the least and the greatest first; whom these leave in other groups comes next.
     first = common.checkpoint(one.groupBy("b").agg(F.min("a").alias("x"), F.max("a").alias("y")).select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), "b"))
     links = common.checkpoint(_verify(first, texts, similarity))
@@ -508,13 +737,16 @@ def removed(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float = S
     more = common.checkpoint(_verify(rest, texts, similarity))
     if not more.isEmpty():
         group = components(links.unionByName(more))
+    # Lines of one occurrence without a link lose nothing, and are left out.
+    members = group.select("node").unionByName(group.select(F.col("component").alias("node"))).distinct()
+    lines = common.checkpoint(_lines(close, common.Marks(members), True))
     grouped = lines.join(group, "node", "left").select("node", "rows", "first", F.coalesce("component", "node").alias("group"))
     least = common.checkpoint(grouped.groupBy("group").agg(F.min("first").alias("kept"), F.count("*").alias("nodes")))
     known = common.join_known(grouped, least, "group", "nodes").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number"))
     known = common.checkpoint(known)
     known = known.join(known.groupBy("kept_row", "kept_number").agg(F.sum("rows").alias("of_group")).where("of_group > 1"), ["kept_row", "kept_number"], "left_semi")
     known = common.checkpoint(known)  # lines of groups with several occurrences
-    several = common.reduce_to(occurrences.select("row_key", "number", "node"), "node", known.select("node"))
+    several = _occurrences(close, common.Marks(known.select("node")))
     placed = common.join_known(several, known, "node", "rows")
     gone = placed.where((F.col("row_key") != F.col("kept_row")) | (F.col("number") != F.col("kept_number")))
     return gone.groupBy("row_key").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
@@ -524,9 +756,9 @@ def drop_lines(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float
     """``docs`` with all their columns and texts without the removed lines, and ``n_lines`` and ``n_removed``."""
     gone = removed(docs, bits, similarity).select("row_key", F.col("numbers").alias("lost"))
     keyed, text = common.plain(docs), F.col(common.place(docs, "text"))
-    joined = keyed.withColumn("row_key", _row_key(F.col(common.place(docs, "doc_id")).cast("bigint"), text)).join(gone, "row_key", "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("lost", i)), "\n")
-    counts = {"n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("lost"), F.lit(0)), F.lit(0)).cast("long")}
+    joined = keyed.withColumn("row_key", _row_key(F.col(common.place(docs, "doc_id")).cast("bigint"), text)).join(gone, "row_key", "left").withColumn("own", F.split(text, "\n", -1))
+    kept = F.array_join(F.filter("own", lambda x, i: ~F.array_contains("lost", i)), "\n")
+    counts = {"n_lines": F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size("own")).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("lost"), F.lit(0)), F.lit(0)).cast("long")}
     names = [(c, k) for c, k in zip(docs.columns, keyed.columns) if c.lower() not in counts]
     cut = F.when(F.col("lost").isNull(), text).otherwise(kept)
     return joined.select(*((cut if k == common.place(docs, "text") else F.col(k)).alias(k) for _, k in names), *counts.values()).toDF(*(c for c, _ in names), *counts)

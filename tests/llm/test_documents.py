@@ -310,6 +310,42 @@ def test_cuts_tell_lines_apart_and_lose_none():
     assert fuzzy_lines.all_alike(iter(pairs)).tolist() == [d <= m for d, m in zip(distances, most)]
 
 
+def test_distances_of_many_pairs_together():
+    r = random.Random(11)
+    pairs = []
+    for n in [r.randint(1, 70) for _ in range(150)] + [r.randint(60, 420) for _ in range(150)] + [900, 1500]:
+        x = r.choices("abcdeé漢\U0001f600 ", k=n)
+        y = [c for v in x for c in ([v], [r.choice("abcdeé ")], [], [v, "z"])[r.choices(range(4), (90, r.choice((1, 10, 40)), r.choice((1, 9)), r.choice((1, 9))))[0]]] or ["a"]
+        a, b = sorted(("".join(x), "".join(y)), key=len, reverse=True)
+        d = fuzzy_lines.distance(a, b)
+        pairs += [(a, b, most) for most in {d - 1, d, d + r.randint(1, 9), len(a) // 5} if len(a) - len(b) <= most]
+    want = [fuzzy_lines.distance(a, b) <= most for a, b, most in pairs]
+    assert fuzzy_lines.within(pairs).tolist() == want and 0.3 < sum(want) / len(want) < 0.9
+    pairs.sort(key=lambda p: -len(p[0]))
+    assert fuzzy_lines._within(pairs).tolist() == [fuzzy_lines.distance(a, b) <= most for a, b, most in pairs]
+    assert fuzzy_lines.within([]).tolist() == []
+
+
+def test_one_scan_gives_lines_and_occurrences(spark):
+    from clausegrid.llm import common
+
+    rows = [(None, "aa bb\n\ncc dd\naa  bb"), (7, "!!\ncc dd\nee ff"), (3, "ee ff 1"), (5, ""), (6, None)]
+    docs = frame(spark, rows).select(F.col("doc_id").cast("bigint"), "text", F.monotonically_increasing_id().alias("row_key"))
+    key = {r.text: r.row_key for r in docs.collect()}
+    scanned = fuzzy_lines._scanned(docs, 3)
+    gathered = scanned.groupBy("bucket").applyInArrow(fuzzy_lines._gathered(fuzzy_lines.BITS, 0.8), fuzzy_lines._FOUND)
+    gathered = gathered.persist()
+    nodes = {t: int(fuzzy_lines.lines_of(*(lambda x: (x, np.array([0, len(x)])))(np.frombuffer(t.encode(), np.uint8)))[2][0]) for t in ("aa bb", "cc dd", "ee ff", "ee ff 1")}
+    only = lambda *t: common.Marks(spark.createDataFrame([(nodes[x],) for x in t], "node bigint"))
+    # Of a node with several occurrences what comes first by document, a null one last; those of one occurrence only where wanted.
+    got = {r.node: (r.first.doc_id, r.first.row_key, r.first.number, r.rows) for r in fuzzy_lines._lines(gathered, only("ee ff"), True).collect()}
+    assert got == {nodes["aa bb"]: (None, key[rows[0][1]], 0, 2), nodes["cc dd"]: (7, key[rows[1][1]], 1, 2), nodes["ee ff"]: (7, key[rows[1][1]], 2, 1)}
+    got = sorted((r.row_key, r.number) for r in fuzzy_lines._occurrences(gathered, only("aa bb", "ee ff 1")).collect())
+    assert got == sorted([(key[rows[0][1]], 0), (key[rows[0][1]], 3), (key[rows[2][1]], 0)])
+    places = spark.createDataFrame([(nodes["cc dd"], key[rows[1][1]], 1), (nodes["aa bb"], key[rows[0][1]], 3)], "node bigint, row_key bigint, number int")
+    assert {(r.node, bytes(r.found)) for r in fuzzy_lines._texts(docs, places).collect()} == {(nodes["cc dd"], b"cc dd"), (nodes["aa bb"], b"aa bb")}
+
+
 def test_cheap_costs_bound_the_distance():
     r = random.Random(5)
     for _ in range(3000):
