@@ -741,10 +741,8 @@ def removed(docs: DataFrame, bits: tuple[int, int] = BITS, similarity: float = S
     members = group.select("node").unionByName(group.select(F.col("component").alias("node"))).distinct()
     lines = common.checkpoint(_lines(close, common.Marks(members), True))
     grouped = lines.join(group, "node", "left").select("node", "rows", "first", F.coalesce("component", "node").alias("group"))
-    least = common.checkpoint(grouped.groupBy("group").agg(F.min("first").alias("kept"), F.count("*").alias("nodes")))
+    least = common.checkpoint(grouped.groupBy("group").agg(F.min("first").alias("kept"), F.count("*").alias("nodes"), F.sum("rows").alias("of_group")).where("of_group > 1"))
     known = common.join_known(grouped, least, "group", "nodes").select("node", "rows", F.col("kept.row_key").alias("kept_row"), F.col("kept.number").alias("kept_number"))
-    known = common.checkpoint(known)
-    known = known.join(known.groupBy("kept_row", "kept_number").agg(F.sum("rows").alias("of_group")).where("of_group > 1"), ["kept_row", "kept_number"], "left_semi")
     known = common.checkpoint(known)  # lines of groups with several occurrences
     several = _occurrences(close, common.Marks(known.select("node")))
     placed = common.join_known(several, known, "node", "rows")
